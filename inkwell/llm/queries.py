@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from inkwell.llm import tokens
+from inkwell.llm import bpe, packing, tokens
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,8 +17,19 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.over_limit(counts, 1024)
 
 
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), 4096)
+
+
+def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, path = _documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json")
+    return bpe.round_trip(docs, path, bpe.build_lexicon(docs, path))
+
+
 QUERIES = {
     "op3_token_counts": op3_token_counts,
+    "op5_best_fit_packing": op5_best_fit_packing,
+    "op7_bpe_round_trip": op7_bpe_round_trip,
 }
 
 ORACLE_SQL: dict[str, str] = {}
