@@ -5,13 +5,18 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from inkwell.llm import bpe, packing, tokens
+from inkwell.llm import bpe, packing, simhash, tokens
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(_documents(spark, sf_dir), shingle=3, distance=3)
+    return found.select("doc_id", simhash.fingerprint_hex().alias("fingerprint"), "component_id")
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = tokens.count_tokens(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
     return tokens.over_limit(counts, 1024)
@@ -27,6 +32,7 @@ def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_simhash": op1_simhash,
     "op3_token_counts": op3_token_counts,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op7_bpe_round_trip": op7_bpe_round_trip,
