@@ -3,9 +3,9 @@
 The vocabulary used here drops white space, so a text's ids are the ids of its
 white-space-free words one after another. Frequent words (counted over all
 texts) and their ids are compiled into a minimal acyclic transducer, which
-workers map into memory; words that it lacks are merged exactly by the
-tokenizers library, many in one call, kept apart by a special token between
-them. Each worker remembers recent words in a table of bounded size.
+workers map into memory; words that it lacks are merged exactly, many at once
+(``merges``); words in unusual scripts, very long ones and those that hold a
+special string go to the tokenizers library. Each worker remembers recent words in a table of bounded size.
 
 White space is what the tokenizer's pattern takes for it (the Unicode
 White_Space property); Python's split() also splits at U+001C..U+001F, so texts
@@ -23,6 +23,7 @@ import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,7 @@ from pyspark.sql import functions as F
 
 from inkwell.llm.common import by_bytes, with_text
 from inkwell.llm.lexicon import Lexicon, compile_lexicon
+from inkwell.llm.merges import BatchBPE, is_plain, pieces_of_lines
 from inkwell.llm.tokens import load_tokenizer
 
 #: The characters of the Unicode White_Space property.
@@ -53,7 +55,7 @@ def words_of(text: str) -> list[str]:
 class Encoder:
     """Encodes words: recent words, then the lexicon, then exact merges by the library."""
 
-    def __init__(self, tokenizer_path: str, lexicon: bytes | None = None, memo_words: int = 250_000) -> None:
+    def __init__(self, tokenizer_path: str, lexicon: bytes | None = None, memo_words: int = 500_000) -> None:
         self.tok = load_tokenizer(tokenizer_path)
         self.lexicon = Lexicon(lexicon) if lexicon else None
         self.memo: dict[str, bytes] = {}
@@ -62,11 +64,40 @@ class Encoder:
         self.stop_id, stop = next((i, t) for i, t in sorted(added.items()) if t.special and not (t.lstrip or t.rstrip or t.single_word))
         self.stop = stop.content
         self.specials = [t.content for t in added.values()]
+        self.batch = BatchBPE.of(self.tok)
         self._strings: list[str] | None = None
 
     def merge(self, words: list[str]) -> list[bytes]:
+        """Exact ids of words: in batches by rank where the form allows it, else by the library."""
+        if self.batch is None:
+            return self._library(words)
+        text = "\n".join(words)
+        if not is_plain(text) or any(t in text for t in self.specials):
+            odd = [w for w in words if not is_plain(w) or any(t in w for t in self.specials)]
+            apart = dict(zip(odd, self._library(odd), strict=True))
+            words, every = [w for w in words if w not in apart], words
+            text = "\n".join(words)
+            got = dict(zip(words, self._plain(text), strict=True)) if words else {}
+            return [apart[w] if w in apart else got[w] for w in every]
+        return self._plain(text) if words else []
+
+    def _plain(self, text: str) -> list[bytes]:
+        """Ids of the plain words of text, which stand a line each."""
+        parts = pieces_of_lines(text)
+        new = set(parts)
+        new.discard("\n")
+        short = [p for p in new if len(p) <= BatchBPE.LONGEST // 2]  # two bytes a sign at most
+        ids = dict(zip(short, self.batch.merge([p.encode() for p in short]), strict=True))
+        if len(short) < len(new):
+            long = [p for p in new if len(p) > BatchBPE.LONGEST // 2]
+            ids.update(zip(long, self._library(long), strict=True))
+        ids["\n"] = b"\xff\xff\xff\xff"
+        raw = b"".join(map(ids.__getitem__, parts))
+        cuts = np.nonzero(np.frombuffer(raw, "<u4") == 0xFFFFFFFF)[0].tolist()
+        return [raw[4 * a : 4 * b] for a, b in zip([0, *(c + 1 for c in cuts)], [*cuts, len(raw) // 4], strict=True)]
+
+    def _library(self, words: list[str]) -> list[bytes]:
         """Ids of words by the library: one text for many words, parted by a special token."""
-        out: list[bytes] = []
         plain = [w for w in words if not any(s in w for s in self.specials)]
         got: dict[str, bytes] = {}
         for at in range(0, len(plain), 2000):
@@ -79,9 +110,7 @@ class Encoder:
             for w, end in zip(some, [*cuts, len(ids)], strict=True):
                 got[w] = raw[4 * begin : 4 * end]
                 begin = end + 1
-        for w in words:
-            out.append(got[w] if w in got else np.array(self.tok.encode(w, add_special_tokens=False).ids, "<u4").tobytes())
-        return out
+        return [got[w] if w in got else np.array(self.tok.encode(w, add_special_tokens=False).ids, "<u4").tobytes() for w in words]
 
     def learn(self, new: list[str]) -> None:
         if self.lexicon is not None:
@@ -187,7 +216,7 @@ def build_lexicon(docs: DataFrame, tokenizer_path: str, text_col: str = "text",
     return BroadcastBlob(docs.sparkSession, blob)
 
 
-def encode(docs: DataFrame, tokenizer_path: str, lexicon: BroadcastBlob | None = None, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = 2 << 20) -> DataFrame:
+def encode(docs: DataFrame, tokenizer_path: str, lexicon: BroadcastBlob | None = None, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = 4 << 20) -> DataFrame:
     """doc_id, ids (binary, little-endian unsigned 32-bit) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,7 +241,7 @@ def decode(encoded: DataFrame, tokenizer_path: str, id_col: str = "doc_id") -> D
     return src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, text string")
 
 
-def round_trip(docs: DataFrame, tokenizer_path: str, lexicon: BroadcastBlob | None = None, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = 2 << 20) -> DataFrame:
+def round_trip(docs: DataFrame, tokenizer_path: str, lexicon: BroadcastBlob | None = None, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = 4 << 20) -> DataFrame:
     """Encode and decode every text in one pass and return digests: doc_id, n_tokens, ids_sha256, decoded_sha256."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -116,7 +116,7 @@ def pieces(
     id_col: str = "doc_id",
     text_col: str = "text",
     keep_ids: bool = False,
-    batch_bytes: int = 2 << 20,
+    batch_bytes: int = 4 << 20,
 ) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, a number of its own (and the ids).
 

@@ -64,3 +64,12 @@ def test_round_trip_digests(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert bpe.round_trip(df, PATH, bpe.build_lexicon(df, PATH)).count() == 0
+
+
+def test_batch_merges_equal_the_library():
+    enc = bpe.Encoder(PATH)
+    assert enc.batch is not None
+    rng = np.random.default_rng(0)
+    words = ["".join(rng.choice(list("abcdefghijklmnoprstuéñß'!1"), rng.integers(1, 60))) for _ in range(5000)]
+    for w, raw in zip(words, enc.merge(words), strict=True):
+        assert ids(raw) == plain(w)
