@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from inkwell.llm import bpe, kdtree, packing, simhash, tokens
+from inkwell.llm import bpe, kdtree, packing, sampling, simhash, tokens
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,12 +36,17 @@ def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(docs, path, bpe.build_lexicon(docs, path))
 
 
+def op9_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.neighbours(_documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_exact_top_k": op2_exact_top_k,
     "op3_token_counts": op3_token_counts,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op7_bpe_round_trip": op7_bpe_round_trip,
+    "op9_weighted_sampling": op9_weighted_sampling,
 }
 
 ORACLE_SQL: dict[str, str] = {
