@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -40,12 +41,25 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = table_path(spark, label)
-    df.write.parquet(path)
+    with shuffles_freed(spark):
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._inkwell_path = path
     return out
 
 
+@contextlib.contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Queries run in here leave no shuffle files behind: their result is written, none of them is read again."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    old = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, old)
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a materialized table that no later plan reads."""
     path = getattr(df, "_inkwell_path", None)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from inkwell.llm import bpe, kdtree, packing, sampling, simhash, tokens
+from inkwell.llm import bpe, kdtree, packing, sampling, simhash, substrings, tokens
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), 4096)
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.dedup(_documents(spark, sf_dir), window=20).drop("o", "th")
+
+
 def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, path = _documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json")
     return bpe.round_trip(docs, path, bpe.build_lexicon(docs, path))
@@ -45,6 +49,7 @@ QUERIES = {
     "op2_exact_top_k": op2_exact_top_k,
     "op3_token_counts": op3_token_counts,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_bpe_round_trip": op7_bpe_round_trip,
     "op9_weighted_sampling": op9_weighted_sampling,
 }
