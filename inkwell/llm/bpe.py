@@ -41,7 +41,7 @@ _WHITE = re.compile("[\\t\\n\\x0b\\x0c\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u202
 _ODD = re.compile("[\\x1c-\\x1f]")
 
 #: Words that the lexicon holds, and the longest one in bytes: they bound the broadcast.
-LEXICON_WORDS = 1 << 16
+LEXICON_WORDS = 1 << 18
 LEXICON_WORD_BYTES = 64
 
 
@@ -199,18 +199,14 @@ def word_counts(docs: DataFrame, text_col: str = "text", flush_words: int = 400_
 def build_lexicon(docs: DataFrame, tokenizer_path: str, text_col: str = "text", max_words: int = LEXICON_WORDS) -> BroadcastBlob:
     """Compile the most frequent words of all texts with their ids.
 
-    At most ``max_words`` words of at most 64 bytes go in, so the broadcast is
-    bounded (some 6 MB) whatever the corpus; the rest are merged exactly.
+    A word goes in if it makes up the texts' bytes / (2 max_words) in number or
+    more. Since a word and its space take two bytes at least, there are at most
+    ``max_words`` such words; with at most 64 bytes each, the broadcast is
+    bounded whatever the corpus. All other words are merged exactly.
     """
-    top = (
-        word_counts(docs, text_col)
-        .filter(F.octet_length("word") <= LEXICON_WORD_BYTES)
-        .orderBy(F.desc("n"), "word")
-        .limit(max_words)
-        .select("word")
-        .toPandas()["word"]
-        .tolist()
-    )
+    size = docs.agg(F.sum(F.octet_length(text_col) + 1).alias("n")).first()["n"] or 0
+    often = word_counts(docs, text_col).filter((F.col("n") * max_words * 2 >= size) & (F.octet_length("word") <= LEXICON_WORD_BYTES))
+    top = often.select("word").toPandas()["word"].tolist()
     ids = Encoder(tokenizer_path).merge(top)
     blob = compile_lexicon({w.encode(): np.frombuffer(i, "<u4").tolist() for w, i in zip(top, ids, strict=True)})
     return BroadcastBlob(docs.sparkSession, blob)

@@ -50,7 +50,8 @@ def test_encoder_equals_the_library(texts):
 
 def test_round_trip_digests(spark):
     df = spark.createDataFrame([(i % 6, t, 1) for i, t in enumerate(TEXTS)], "doc_id long, text string, ids int")
-    lex = bpe.build_lexicon(df, PATH, max_words=3)
+    lex = bpe.build_lexicon(df, PATH, max_words=40)
+    assert 0 < len(__import__('inkwell.llm.lexicon').llm.lexicon.Lexicon(lex.value).offsets) <= 41
     got = sorted(map(tuple, bpe.round_trip(df, PATH, lex, batch_bytes=64).collect()))
     dec = load_tokenizer(PATH).decode
     sha = lambda b: hashlib.sha256(b).hexdigest()
