@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from inkwell.llm import bpe, kdtree, packing, sampling, simhash, substrings, tokens
+from inkwell.llm import bpe, kdtree, packing, pages, sampling, simhash, substrings, tokens
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,6 +44,10 @@ def op9_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.neighbours(_documents(spark, sf_dir))
 
 
+def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_exact_top_k": op2_exact_top_k,
@@ -52,6 +56,7 @@ QUERIES = {
     "op6_substring_dedup": op6_substring_dedup,
     "op7_bpe_round_trip": op7_bpe_round_trip,
     "op9_weighted_sampling": op9_weighted_sampling,
+    "op10_main_text": op10_main_text,
 }
 
 ORACLE_SQL: dict[str, str] = {
