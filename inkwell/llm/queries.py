@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from inkwell.llm import bpe, kdtree, packing, pages, sampling, simhash, substrings, tokens
+from inkwell.llm import bpe, kdtree, kneser_ney, packing, pages, sampling, simhash, substrings, tokens
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,6 +40,11 @@ def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(docs, path, bpe.build_lexicon(docs, path))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = kneser_ney.classify(_documents(spark, sf_dir), kneser_ney.labels_of(spark, sf_dir))
+    return judged.select("doc_id", "lang", "perplexity", "deviation", "accepted")
+
+
 def op9_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.neighbours(_documents(spark, sf_dir))
 
@@ -55,6 +60,7 @@ QUERIES = {
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_bpe_round_trip": op7_bpe_round_trip,
+    "op8_quality": op8_quality,
     "op9_weighted_sampling": op9_weighted_sampling,
     "op10_main_text": op10_main_text,
 }
