@@ -25,7 +25,7 @@ def merge(regions: str | Column, share: float = 0.5) -> Column:
     empty = F.array().cast(f"array<{REGION}>")
 
     def step(a, x):
-        p = F.element_at(a, -1)
+        p = F.try_element_at(a, F.lit(-1))
         shared = F.greatest(F.lit(0), F.least(p["end"], x["end"]) - F.greatest(p["start"], x["start"]))
         smaller = F.least(p["end"] - p["start"], x["end"] - x["start"])
         joined = F.struct(F.least(p["start"], x["start"]).alias("start"), F.greatest(p["end"], x["end"]).alias("end"), F.greatest(p["risk"], x["risk"]).alias("risk"))

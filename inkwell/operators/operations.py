@@ -14,7 +14,7 @@ OP = "struct<start:int,end:int,text:string>"
 
 def collect(edits: DataFrame) -> DataFrame:
     """doc_id, ops (sorted) from rows doc_id, start, end, text."""
-    return edits.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(F.col("start").cast("int"), F.col("end").cast("int"), "text"))).alias("ops"))
+    return edits.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), "text"))).alias("ops"))
 
 
 def apply(text: str | Column, ops: str | Column) -> Column:
