@@ -4,10 +4,11 @@ One Arrow function turns (path, content) into evidence rows. The type comes
 from the bytes, never from the name; every parser is bounded in size, count and
 depth. Only metadata is parsed, no pixel or page is decoded.
 
-Cleaning (``clean``) drops identifying fields of PNG files and keeps the rest
-byte for byte; the result is inspected again and published only if its pixels'
-digest is unchanged and no removable evidence survives. Provenance manifests
-(C2PA) are reported and never removed.
+Cleaning (``clean``) drops identifying fields of PNG, JPEG, PDF and office files
+and keeps the rest byte for byte; the result is inspected again and published
+only if the digest of what it shows (pixels, scan, pages, parts) is unchanged
+and no removable evidence survives. Provenance manifests (C2PA) are reported
+and never removed.
 """
 
 from __future__ import annotations
@@ -296,16 +297,85 @@ def clean_png(data: bytes) -> bytes | None:
     return out if _pixels(out) == _pixels(data) and not left else None
 
 
+def _published(data: bytes, out: bytes, shown) -> bytes | None:
+    left = [r for r in evidence_of(out)[1] if r[0] != "unknown"]
+    return out if shown(out) == shown(data) and not left else None
+
+
+def _scan(data: bytes) -> bytes:
+    """A JPEG from its first frame or table segment that is no metadata."""
+    at, kept = 2, []
+    for marker, body in jpeg_segments(data):
+        if not 0xE0 <= marker <= 0xEF and marker != 0xFE:
+            kept.append(bytes((marker,)) + body)
+        at += 4 + len(body)
+    return b"".join(kept) + data[at:]
+
+
+def clean_jpeg(data: bytes) -> bytes | None:
+    out, at = [data[:2]], 2
+    for marker, body in jpeg_segments(data):
+        raw = data[at : at + 4 + len(body)]
+        at += len(raw)
+        private = marker in (0xE1, 0xED, 0xFE) and evidence_of(data[:2] + raw + b"\xff\xd9")[1]
+        if not private:
+            out.append(raw)
+    return _published(data, b"".join([*out, data[at:]]), _scan)
+
+
+def clean_pdf(data: bytes) -> bytes | None:
+    """Values of identifying fields become spaces of the same length, so no offset moves."""
+    blank = lambda m: m[0][: m.start(2) - m.start()] + b" " * len(m[2]) + m[0][m.end(2) - m.start() :]
+    out = PDF_FIELD.sub(blank, data)
+    rest = lambda d: PDF_FIELD.sub(b"", d)
+    left = [r for r in evidence_of(out)[1] if r[3].strip()]
+    return out if len(out) == len(data) and rest(out) == rest(data) and not left else None
+
+
+def clean_office(data: bytes) -> bytes | None:
+    """Parts of metadata lose the text of identifying elements; all other parts stay."""
+    is_meta = lambda n: n.startswith(("docProps/", "customXml/")) or n == "meta.xml"
+    out = io.BytesIO()
+    with zipfile.ZipFile(io.BytesIO(data)) as z, zipfile.ZipFile(out, "w") as new:
+        for info in z.infolist():
+            body = z.read(info)
+            if is_meta(info.filename):
+                if b"<!DOCTYPE" in body or b"<!ENTITY" in body:
+                    return None
+                root = ET.fromstring(body)
+                for e in root.iter():
+                    if isinstance(e.tag, str) and e.text and _xml_rows("", _leaf(e)):
+                        e.text = ""
+                body = ET.tostring(root)
+            new.writestr(info, body, info.compress_type)
+
+    def shown(d: bytes) -> list[tuple[str, bytes]]:
+        with zipfile.ZipFile(io.BytesIO(d)) as z:
+            return [(n, z.read(n)) for n in z.namelist() if not is_meta(n)]
+
+    return _published(data, out.getvalue(), shown)
+
+
+def _leaf(e: ET.Element) -> bytes:
+    x = ET.Element(e.tag.rsplit("}", 1)[-1])
+    x.text = e.text
+    return ET.tostring(x)
+
+
+CLEANERS = {"png": clean_png, "jpeg": clean_jpeg, "pdf": clean_pdf, "docx": clean_office, "odt": clean_office}
+
+
 def clean(files: DataFrame) -> DataFrame:
-    """path, cleaned (null where refused or not PNG)."""
+    """path, cleaned (null where refused or of another type)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for data in batch.column("content").to_pylist():
                 try:
-                    out.append(clean_png(data) if data and sniff(data) == "png" else None)
-                except ValueError:
+                    cleaner = CLEANERS.get(sniff(data or b""))
+                    out.append(cleaner(data) if cleaner else None)
+                except (ValueError, ET.ParseError, struct.error, zlib.error, zipfile.BadZipFile):
                     out.append(None)
             yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(out, pa.binary())], ["path", "cleaned"])
 

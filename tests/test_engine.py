@@ -46,7 +46,9 @@ def test_attachment_states(spark):
     cleaned = {r.path: r.cleaned for r in attachments.clean(fixtures.files(spark)).collect()}
     assert b"Author" not in cleaned["author.png"] and bytes(cleaned["plain.png"]) == dict((n, b) for n, b, _ in fixtures.file_bytes())["plain.png"]
     assert b"Copyright" in cleaned["software.png"] and b"Claude" not in cleaned["software.png"] and b"c2pa" in cleaned["manifest.png"]
-    assert cleaned["broken.png"] is None and cleaned["exif.jpg"] is None
+    assert cleaned["broken.png"] is None and cleaned["noise.bin"] is None
+    assert b"Ann" not in cleaned["exif.jpg"] and cleaned["exif.jpg"].endswith(b"\x12\xff\0\x34\xff\xd9") and bytes(cleaned["plain.jpg"]) == dict((n, b) for n, b, _ in fixtures.file_bytes())["plain.jpg"]
+    assert len(cleaned["info.pdf"]) == 58 and b"OpenAI" not in cleaned["info.pdf"] and b"Ann" not in cleaned["author.docx"]
 
 
 def test_proposals(spark):
@@ -96,3 +98,31 @@ def test_stream_equals_batch(spark, tmp_path):
     s = stream.carriers(stream.read_documents(spark, str(tmp_path / "docs"), batch._jdf.schema().toDDL()))
     got = stream.run_once(s.select("doc_id", "offset", "kind"), "carriers", str(tmp_path / "cp"))
     assert sorted(map(tuple, got.collect())) == want
+
+
+def test_config_and_reports(spark):
+    from inkwell.operators import diffs, scorers
+    from inkwell.plans import config, report
+
+    got = config.resolve({"cli": {"unicode.policy": "report"}, "project": config.load_toml('[unicode]\npolicy = "aggressive"\nform = "none"')})
+    assert (got["unicode.policy"].value, got["unicode.policy"].layer, got["unicode.form"].layer, got["rewrite.hops"].layer) == ("report", "cli", "project", "default")
+    for bad in ("[a]\napi_key = 'x'", "= 1"):
+        with pytest.raises(config.ConfigError):
+            config.load_toml(bad)
+    for url in ("http://example.org", "https://example.org", "https://u:p@ok.org"):
+        with pytest.raises(config.ConfigError):
+            config.check_endpoint(url, frozenset(("ok.org",)))
+    assert config.check_endpoint("https://ok.org/v1", frozenset(("ok.org",))) and config.literal_lock("a.b") == "a\\.b"
+    df = spark.createDataFrame([(1, "ab\u200bcd 42%\nx")], "doc_id long, text string")
+    r = report.inspection(df).first().report
+    assert '"findings":{"zero_width":1}' in r and '"unit":1' in r and '"removable":1' in r
+    assert '"n_ops":1' in report.edits(df).first().report and report.prompt(df).first().prompt.endswith("x")
+    pair = spark.createDataFrame([(1, "a\nb\n", "a\nc\n")], "doc_id long, before string, after string")
+    assert "-b\n+c\n" in diffs.unified(pair).first().diff
+    from pyspark.sql import functions as F
+
+    assert tuple(df.select(diffs.line_column(F.col("text"), F.lit(11)).alias("p")).first().p) == (2, 2)
+    first = scorers.score(df, lambda: len, "length", "1")
+    again = scorers.score(df, lambda: (lambda t: -1.0), "length", "1", first.select("key", "score", "token_count"))
+    assert [x.score for x in again.collect()] == [11.0]
+    assert scorers.evidence(first, "d", "surrogate", 20.0).first().below
