@@ -60,6 +60,14 @@ def shuffles_freed(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(key, old)
 
 
+def batch_rows(spark: SparkSession, rows: int) -> None:
+    """Rows of an Arrow batch from here on: few where rows hold whole texts, many where they hold numbers."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+TEXT_ROWS, NUMBER_ROWS = 1000, 20_000
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a materialized table that no later plan reads."""
     path = getattr(df, "_inkwell_path", None)

@@ -79,4 +79,8 @@ def test_empty_and_kept_text(spark):
     assert substrings.dedup(df).count() == 0
     df = spark.createDataFrame([(1, " one  two "), (2, None)], "doc_id long, text string")
     got = {r.doc_id: r.kept for r in substrings.dedup(df, keep_text=True).collect()}
-    assert got == {1: "one two", 2: None}
+    assert got == {1: " one  two ", 2: None}
+    many = " ".join(map(str, range(40)))
+    df = spark.createDataFrame([(1, many, 9, "a"), (2, f"x\ny {many}\tz", 9, "b"), (3, many, 9, "c"), (4, "", 0, "d")], "doc_id long, text string, n_chars long, rest string")
+    got = {r.doc_id: (r.text, r.n_chars, r.rest) for r in substrings.without_repeats(df).collect()}
+    assert got == {1: (many, 9, "a"), 2: ("x\ny z", 5, "b"), 4: ("", 0, "d")}
