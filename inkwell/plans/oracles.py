@@ -106,6 +106,14 @@ def oracle_sql() -> dict[str, str]:
             ELSE '---' || chr(10) || 'topic: y' || chr(10) || '---' || chr(10) || body END) AS sha256 FROM f""",
         "budget_admission": "SELECT event_id, CAST(sum(c) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS spent, sum(c) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) <= 200 AS admitted FROM (SELECT *, CAST(round(abs(value)) AS BIGINT) AS c FROM events)",
         "event_sequence": "SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS sequence FROM events",
+        "event_rates": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS hour, event_type, count(*) AS n FROM events GROUP BY ALL",
+        "rejection_tally": f"WITH c AS ({candidates}) SELECT CASE WHEN NOT valid THEN 'fidelity' WHEN NOT target_met THEN 'target' ELSE 'none' END AS reason, count(*) AS n, min(risk) AS best_risk FROM c GROUP BY ALL",
+        "candidate_ids": f"WITH c AS ({candidates}) SELECT doc_id, CAST(idx AS INTEGER) AS idx, substr(sha256(candidate_id || '|' || content_hash), 1, 12) AS id FROM c",
+        "ops_validate": """WITH e AS (SELECT doc_id, text, length(text) AS n, unnest(range(4)) AS i FROM documents),
+            o AS (SELECT doc_id, text, n, CASE WHEN i = 3 THEN n + 1 ELSE i * 5 END AS s, CASE WHEN i = 1 THEN 12 WHEN i = 3 THEN n + 2 ELSE i * 5 + 2 END AS e FROM e),
+            l AS (SELECT *, lag(e) OVER (PARTITION BY doc_id ORDER BY s, e) AS b FROM o),
+            r AS (SELECT doc_id, s, e, CASE WHEN e > n THEN 'out_of_bounds' WHEN substr(text, s + 1, e - s) = '~' THEN 'no_op' WHEN b > s THEN 'overlap' END AS reason FROM l)
+            SELECT doc_id, CAST(s AS INTEGER) AS start, CAST(e AS INTEGER) AS "end", reason FROM r WHERE reason IS NOT NULL""",
         "stagnation": f"""WITH c AS ({candidates}), b AS (SELECT doc_id, CAST(idx AS INTEGER) AS round, risk, min(risk) OVER (PARTITION BY doc_id ORDER BY idx) AS best FROM c),
             f AS (SELECT *, min(round) OVER (PARTITION BY doc_id, best) AS since FROM b) SELECT doc_id, round, risk, best, CAST(round - since AS INTEGER) AS stagnant FROM f""",
         "detection_metrics": """WITH j AS (SELECT d.lang, l.toxic = 1 AS truth, contains(d.text, 'idiot') AS predicted FROM labels l JOIN documents d USING (doc_id))

@@ -9,6 +9,7 @@ from inkwell.functions import ucd
 from inkwell.operators import attachments, fidelity, inspect, ledger, localize, metadata, operations, sanitize, search, select, structure, voice
 from inkwell.plans import fixtures
 from inkwell.session import table
+from inkwell.streaming import stream
 
 S = SparkSession
 
@@ -351,6 +352,25 @@ def event_sequence(spark: S, d: str) -> DataFrame:
     return ledger.sequence(table(spark, d, "events"), "user_id", ["ts", "event_id"]).select("event_id", "user_id", "sequence")
 
 
+def event_rates(spark: S, d: str) -> DataFrame:
+    r = stream.rates(table(spark, d, "events"))
+    return r.select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("hour"), "event_type", "n")
+
+
+def rejection_tally(spark: S, d: str) -> DataFrame:
+    c = fixtures.candidate_rows(_docs(spark, d))
+    why = F.when(~F.col("valid"), "fidelity").when(~F.col("target_met"), "target").otherwise("none")
+    return c.groupBy(why.alias("reason")).agg(F.count(F.lit(1)).alias("n"), F.min("risk").alias("best_risk"))
+
+
+def candidate_ids(spark: S, d: str) -> DataFrame:
+    return fixtures.candidate_rows(_docs(spark, d)).select("doc_id", "idx", select.candidate_id("candidate_id", "content_hash").alias("id"))
+
+
+def attachment_rows_cleaned(spark: S, d: str) -> DataFrame:
+    return attachments.clean(fixtures.files(spark)).select("path", F.length("cleaned").alias("n_bytes"))
+
+
 def stagnation(spark: S, d: str) -> DataFrame:
     r = fixtures.candidate_rows(_docs(spark, d)).select("doc_id", F.col("idx").alias("round"), "risk")
     return ledger.stagnation(r)
@@ -422,6 +442,6 @@ QUERIES = {
         ops_validate, sanitize_all_policies, span_counts, spans_resolved, span_anti_join, blocked_findings, md_blocks, plain_paragraphs, gate_matrix, gate_rejections, select_min_edit,
         skyline, topk_regions, dedup_by_hash, diverse_beam, token_windows, window_risk, regions_clipped, regions_merged, voice_by_source, voice_by_lang, ttr_by_lang, turn_bigram_divergence,
         benchmark_8gram_overlap, html_meta_evidence, html_clean, evidence_state, frontmatter_lines, frontmatter_clean, attachment_evidence, attachment_states, budget_admission,
-        event_sequence, stagnation, detection_metrics, before_after_flip, provider_separation, config_precedence, target_states, one_shot_select, recursive_rollback, beam_depths, proposals,
+        event_sequence, event_rates, rejection_tally, candidate_ids, attachment_rows_cleaned, stagnation, detection_metrics, before_after_flip, provider_separation, config_precedence, target_states, one_shot_select, recursive_rollback, beam_depths, proposals,
     )
 }
