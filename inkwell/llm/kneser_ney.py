@@ -37,6 +37,7 @@ say so; an empty table gives no rows; extra columns pass through unchanged.
 
 from __future__ import annotations
 
+import contextlib
 import math
 from collections import Counter
 from collections.abc import Iterator
@@ -46,7 +47,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import discard, materialize
+from inkwell.llm.common import TEXT_ROWS, batch_rows, discard, materialize
 
 ORDER = 5
 START, END = "\x02", "\x03"
@@ -108,7 +109,7 @@ def _string_keys(grams: list[str], size: int) -> np.ndarray:
     return _keys(codes, np.arange(1, len(grams) + 1) * size - 1, size)
 
 
-def gram_counts(texts: DataFrame, flush_units: int = 300_000) -> DataFrame:
+def gram_counts(texts: DataFrame, flush_units: int = 100_000) -> DataFrame:
     """g, c: the full-order n-grams of all texts (column text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -298,11 +299,29 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
 
 def trusted_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, lang, text, held of documents that the labels call good; held: kept for the thresholds."""
-    ids = labels.filter("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("quality").alias("q2")).filter("q = 1 and q2 = 1").select("doc_id")
-    good = docs.select("doc_id", "lang", "text").join(ids, "doc_id", "left_semi")
+    said = lambda when: labels.filter(when).select("doc_id")
+    good = docs.select("doc_id", "lang", "text").join(said("quality = 1"), "doc_id", "left_semi")
+    good = good.join(said("quality <> 1"), "doc_id", "left_anti")
     return good.withColumn("held", F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)) == 0)
 
 
+@contextlib.contextmanager
+def _early_filter(spark: SparkSession) -> Iterator[None]:
+    """Joins in here put a Bloom filter of the smaller side's keys (bounded by Spark's own limit) before the other side's shuffle."""
+    settings = {"spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    old = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in old.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
 def _deviation(mid):
     n = F.col("_kn_n")
     return (F.col("_kn_logp") / n - mid) * F.sqrt(n / (1 + n / F.lit(LENGTH_SCALE * 6)))
@@ -321,12 +340,15 @@ def thresholds(scored: DataFrame, tail: float = TAIL, margin: tuple[float, float
     return by.unionByName(every).withColumns({"low": F.col("low") * margin[0], "high": F.col("high") * margin[1]})
 
 
-def classify(docs: DataFrame, labels: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """docs with perplexity (a character), deviation and accepted."""
-    trusted = materialize(trusted_documents(docs, labels), "trusted")
+def classify(docs: DataFrame, labels: DataFrame, shard_rows: int = SHARD_ROWS, prefix: str = "") -> DataFrame:
+    """docs with perplexity (a character), deviation and accepted; the prefix keeps these apart from columns of docs."""
+    names = [prefix + c for c in ("perplexity", "deviation", "accepted")]
+    batch_rows(docs.sparkSession, TEXT_ROWS)
+    with _early_filter(docs.sparkSession):
+        trusted = materialize(trusted_documents(docs, labels), "trusted")
     has_words = F.coalesce(F.col("text").rlike(r"\S"), F.lit(False))
     if trusted.filter("text <> ''").isEmpty():
-        return docs.withColumns({"perplexity": F.lit(None).cast("double"), "deviation": F.lit(None).cast("double"), "accepted": has_words})
+        return docs.withColumns(dict(zip(names, (F.lit(None).cast("double"), F.lit(None).cast("double"), has_words), strict=True)))
     seen = trusted.filter("not held and text <> ''")
     train = trusted.filter("text <> ''") if seen.isEmpty() else seen
     full = materialize(gram_counts(train), "grams")
@@ -343,7 +365,8 @@ def classify(docs: DataFrame, labels: DataFrame, shard_rows: int = SHARD_ROWS) -
     joined = scored.join(F.broadcast(table), F.col("lang") == F.col("_kn_lang"), "left")
     mid, low, high = (F.coalesce(f"_kn_{c}", F.lit(float(common[c]))) for c in ("mid", "low", "high"))
     z = F.when(has_words, _deviation(mid))
-    out = joined.withColumns({"perplexity": F.when(has_words, F.exp(-F.col("_kn_logp") / F.col("_kn_n"))), "deviation": z, "accepted": F.coalesce((z >= low) & (z <= high), F.lit(False))})
+    made = (F.when(has_words, F.exp(-F.col("_kn_logp") / F.col("_kn_n"))), z, F.coalesce((z >= low) & (z <= high), F.lit(False)))
+    out = joined.withColumns(dict(zip(names, made, strict=True)))
     return out.drop("_kn_logp", "_kn_n", "_kn_lang", "_kn_mid", "_kn_low", "_kn_high")
 
 
