@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import by_bytes, with_text
+from inkwell.llm.common import by_bytes, with_text, worker_state
 from inkwell.llm.lexicon import Lexicon, compile_lexicon
 from inkwell.llm.merges import BatchBPE, is_plain, pieces_of_lines
 from inkwell.llm.tokens import load_tokenizer
@@ -55,11 +55,12 @@ def words_of(text: str) -> list[str]:
 class Encoder:
     """Encodes words: recent words, then the lexicon, then exact merges by the library."""
 
-    def __init__(self, tokenizer_path: str, lexicon: bytes | None = None, memo_words: int = 500_000) -> None:
+    def __init__(self, tokenizer_path: str, lexicon: bytes | None = None, memo_words: int = 300_000) -> None:
         self.tok = load_tokenizer(tokenizer_path)
         self.lexicon = Lexicon(lexicon) if lexicon else None
         self.memo: dict[str, bytes] = {}
         self.memo_words = memo_words
+        self.recent: set[str] = set()
         added = self.tok.get_added_tokens_decoder()
         self.stop_id, stop = next((i, t) for i, t in sorted(added.items()) if t.special and not (t.lstrip or t.rstrip or t.single_word))
         self.stop = stop.content
@@ -125,12 +126,17 @@ class Encoder:
         if new:
             self.memo.update(zip(new, self.merge(new), strict=True))
 
+    def trim(self) -> None:
+        """Forget all words but those of the last batch, the frequent ones among them."""
+        self.memo = {w: self.memo[w] for w in self.recent if w in self.memo}
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of whole texts, as little-endian unsigned 32-bit integers."""
         words = [words_of(t) if t else [] for t in texts]
+        self.recent = now = set().union(*words)
         if len(self.memo) > self.memo_words:
-            self.memo.clear()
-        new = list(set().union(*words).difference(self.memo))
+            self.trim()
+        new = list(now.difference(self.memo))
         if new:
             self.learn(new)
         get = self.memo.__getitem__
@@ -149,16 +155,14 @@ class Encoder:
         return " ".join(map(self._strings.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-_ENCODERS: dict[tuple, Encoder] = {}
-
-
-def worker_encoder(tokenizer_path: str, lexicon) -> Encoder:
+def worker_encoder(tokenizer_path: str, lexicon, memo_words: int = 300_000) -> Encoder:
     """One encoder per worker process and lexicon."""
+    held = worker_state("bpe")
     key = (tokenizer_path, lexicon.id if lexicon is not None else None)
-    if key not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[key] = Encoder(tokenizer_path, lexicon.value if lexicon is not None else None)
-    return _ENCODERS[key]
+    if key not in held:
+        held.clear()
+        held[key] = Encoder(tokenizer_path, lexicon.value if lexicon is not None else None, memo_words)
+    return held[key]
 
 
 class BroadcastBlob:

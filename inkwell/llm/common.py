@@ -65,6 +65,18 @@ def batch_rows(spark: SparkSession, rows: int) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+_STATE: tuple[str, dict] = ("", {})
+
+
+def worker_state(owner: str) -> dict:
+    """What an operator keeps in a worker process between tasks; another operator's start lets go of it."""
+    global _STATE
+    if _STATE[0] != owner:
+        _STATE[1].clear()
+        _STATE = (owner, {})
+    return _STATE[1]
+
+
 TEXT_ROWS, NUMBER_ROWS = 1000, 20_000
 
 

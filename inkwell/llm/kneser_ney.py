@@ -47,7 +47,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import TEXT_ROWS, batch_rows, discard, materialize
+from inkwell.llm.common import TEXT_ROWS, batch_rows, discard, materialize, worker_state
 
 ORDER = 5
 START, END = "\x02", "\x03"
@@ -109,10 +109,11 @@ def _string_keys(grams: list[str], size: int) -> np.ndarray:
     return _keys(codes, np.arange(1, len(grams) + 1) * size - 1, size)
 
 
-def gram_counts(texts: DataFrame, flush_units: int = 100_000) -> DataFrame:
+def gram_counts(texts: DataFrame, flush_units: int = 50_000) -> DataFrame:
     """g, c: the full-order n-grams of all texts (column text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("kneser-ney")
         counts: Counter = Counter()
 
         def out() -> pa.RecordBatch:
@@ -264,8 +265,9 @@ class Model:
         return s
 
 
-def _scoring(shard, names: list[str], memo_units: int = 300_000):
+def _scoring(shard, names: list[str], memo_units: int = 150_000):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("kneser-ney")
         model: Shard = shard.value
         memo: dict[str, float] = {}
         for batch in batches:
@@ -276,8 +278,8 @@ def _scoring(shard, names: list[str], memo_units: int = 300_000):
                 if len(memo) > memo_units:
                     memo.clear()
                 new = list(set().union(*some).difference(memo))
-                for a in range(0, len(new), 20_000):
-                    memo.update(zip(new[a : a + 20_000], model.score(new[a : a + 20_000]).tolist(), strict=True))
+                for a in range(0, len(new), 10_000):
+                    memo.update(zip(new[a : a + 10_000], model.score(new[a : a + 10_000]).tolist(), strict=True))
                 get = memo.__getitem__
                 for i, u in enumerate(some):
                     sums[at + i] += math.fsum(map(get, u))
