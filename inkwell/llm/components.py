@@ -56,10 +56,12 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             break
         both = e.union(e.select("b", "a")).toDF("u", "v")
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low = materialize(low, "least")  # read back, so that the join may split a node of very many edges
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         new = materialize(small.union(least.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        discard(low)
         discard(e)
         e, old, mark = new, mark, _mark(new)
         if old == mark:

@@ -43,7 +43,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import TEXT_ROWS, batch_rows, by_bytes, discard, materialize, shuffles_freed, with_text
+from inkwell.llm.common import TEXT_ROWS, batch_rows, by_bytes, discard, materialize, shuffles_freed, with_text, worker_state
 
 WINDOW = 20
 GRAM = 5
@@ -209,6 +209,7 @@ def grams(rows: DataFrame, window: int, gram: int) -> DataFrame:
     """h, o, th, n, d: the smallest grams of each document's windows, how many places have them, the text's hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("substrings")
         hasher = Hasher(window, gram)
         for batch in batches:
             for part, texts in _chunks(batch):
@@ -234,6 +235,7 @@ def candidate_windows(marked: DataFrame, window: int, gram: int) -> DataFrame:
     """w1, w2, o, th, start of the windows whose smallest gram is marked: each document's first of a kind. marked: text, o, th, hs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("substrings")
         hasher = Hasher(window, gram)
         for batch in batches:
             for part, texts in _chunks(batch):
@@ -268,6 +270,7 @@ def removals(joined: DataFrame, window: int, gram: int, keep_text: bool) -> Data
     """doc_id, n_words, n_removed, kept_sha256 (and kept). joined: doc_id, text, copy (all of it stands earlier), hs (marked grams), firsts (starts that are earliest)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("substrings")
         hasher = Hasher(window, gram)
         for batch in batches:
             for part, texts in _chunks(batch):
@@ -397,6 +400,7 @@ class WindowIndex:
         own = materialize(rows.select("o", "th", F.sha2("text", 256).alias("digest")).filter("digest is not null"), "digests")
         self.digests = own if self.digests is None else self.digests.union(own)
         first = self.digests.groupBy("digest").agg(F.min("o").alias("first"), F.count(F.lit(1)).alias("many")).filter("many > 1").select("digest", "first")
+        first = materialize(first, "first-copies")  # read back, so that the join may split a digest of very many copies
         return materialize(own.join(first, "digest").filter("o > first").select("o", "th"), "copies")
 
     def compact(self) -> None:
