@@ -37,8 +37,6 @@ from inkwell.llm.tokens import load_tokenizer
 
 #: The characters of the Unicode White_Space property.
 _WHITE = re.compile("[\\t\\n\\x0b\\x0c\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
-#: Split by str.split() but not white space for the tokenizer.
-_ODD = re.compile("[\\x1c-\\x1f]")
 
 #: Words that the lexicon holds, and the longest one in bytes: they bound the broadcast.
 LEXICON_WORDS = 1 << 18
@@ -47,7 +45,7 @@ LEXICON_WORD_BYTES = 64
 
 def words_of(text: str) -> list[str]:
     """The white-space-free words of a text, in order."""
-    if _ODD.search(text):
+    if "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text:
         return [w for w in _WHITE.split(text) if w]
     return text.split()
 
@@ -60,7 +58,6 @@ class Encoder:
         self.lexicon = Lexicon(lexicon) if lexicon else None
         self.memo: dict[str, bytes] = {}
         self.memo_words = memo_words
-        self.recent: set[str] = set()
         added = self.tok.get_added_tokens_decoder()
         self.stop_id, stop = next((i, t) for i, t in sorted(added.items()) if t.special and not (t.lstrip or t.rstrip or t.single_word))
         self.stop = stop.content
@@ -88,7 +85,7 @@ class Encoder:
         new = set(parts)
         new.discard("\n")
         short = [p for p in new if len(p) <= BatchBPE.LONGEST // 2]  # two bytes a sign at most
-        ids = dict(zip(short, self.batch.merge([p.encode() for p in short]), strict=True))
+        ids = dict(zip(short, self.batch.merge("\n".join(short).encode().split(b"\n") if short else []), strict=True))
         if len(short) < len(new):
             long = [p for p in new if len(p) > BatchBPE.LONGEST // 2]
             ids.update(zip(long, self._library(long), strict=True))
@@ -126,16 +123,12 @@ class Encoder:
         if new:
             self.memo.update(zip(new, self.merge(new), strict=True))
 
-    def trim(self) -> None:
-        """Forget all words but those of the last batch, the frequent ones among them."""
-        self.memo = {w: self.memo[w] for w in self.recent if w in self.memo}
-
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of whole texts, as little-endian unsigned 32-bit integers."""
         words = [words_of(t) if t else [] for t in texts]
-        self.recent = now = set().union(*words)
         if len(self.memo) > self.memo_words:
-            self.trim()
+            self.memo.clear()
+        now = set().union(*words)
         new = list(now.difference(self.memo))
         if new:
             self.learn(new)

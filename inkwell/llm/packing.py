@@ -125,7 +125,7 @@ def pieces(
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "nr"] + ["ids"] * keep_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = worker_encoder(tokenizer_path, None)
+        enc = worker_encoder(tokenizer_path, None, 500_000)
         end = np.array([closing_id], "<u4").tobytes()
         nr = TaskContext.get().partitionId() << 33
         for batch in by_bytes(batches, "text", batch_bytes):
