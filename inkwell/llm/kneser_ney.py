@@ -24,13 +24,14 @@ A document's mean log probability a character is set against the median of its
 language's held-out documents, scaled by the spread that its length has, and
 accepted between two quantiles of the same measure over those documents, each
 widened by ``MARGIN``. Both sides count: text far too predictable (one common
-word over and over) is junk like noise is. A language with fewer than
-``MIN_DOCUMENTS`` held-out documents takes the figures of all languages
-together.
+word over and over) is junk like noise is. Every language that has a held-out
+document has limits around its own median. With n below ``MIN_DOCUMENTS`` of
+them the quantiles are n / ``MIN_DOCUMENTS`` its own and for the rest those of
+all documents, each taken around its own language's median.
 
 Defined results: null texts and texts without any non-space character are
-rejected (their perplexity is null); documents without a language use the
-common figures; without any trusted document all others are accepted; repeated
+rejected (their perplexity is null); documents without a language, or of one
+without held-out documents, use the common figures; without any trusted document all others are accepted; repeated
 rows give a row each; several labels of a document count as trusted only if all
 say so; an empty table gives no rows; extra columns pass through unchanged.
 """
@@ -52,7 +53,10 @@ from inkwell.llm.common import TEXT_ROWS, batch_rows, discard, materialize, work
 ORDER = 5
 START, END = "\x02", "\x03"
 SHARD_ROWS = 4_000_000
+#: Held-out documents from which on a language's tails are its own alone.
 MIN_DOCUMENTS = 100
+#: Limits of more languages are joined without a broadcast.
+BROADCAST_LANGUAGES = 10_000
 #: The outer hundredths of held-out documents, widened: noise is some ten times as far out.
 TAIL = 0.01
 MARGIN = (2.0, 4.0)
@@ -329,14 +333,18 @@ def _deviation(mid):
     return (F.col("_kn_logp") / n - mid) * F.sqrt(n / (1 + n / F.lit(LENGTH_SCALE * 6)))
 
 
-def thresholds(scored: DataFrame, tail: float = TAIL, margin: tuple[float, float] = MARGIN, most_languages: int = 10_000) -> DataFrame:
+def thresholds(scored: DataFrame, tail: float = TAIL, margin: tuple[float, float] = MARGIN) -> DataFrame:
     """lang (null: all together), mid, low, high from held-out documents' scores."""
-    rows = scored.select("lang", "_kn_logp", "_kn_n")
+    rows = materialize(scored.select("lang", "_kn_logp", "_kn_n"), "held")
     n = F.count(F.lit(1)).alias("n")
     mid = F.percentile_approx(F.col("_kn_logp") / F.col("_kn_n"), 0.5, 100_000).alias("mid")
     tails = [F.percentile_approx("z", tail, 100_000).alias("low"), F.percentile_approx("z", 1 - tail, 100_000).alias("high")]
-    own = rows.filter("lang is not null").groupBy("lang").agg(n, mid).filter(F.col("n") >= MIN_DOCUMENTS).orderBy(F.desc("n")).limit(most_languages)
-    by = rows.join(F.broadcast(own.select("lang", "mid")), "lang").withColumn("z", _deviation(F.col("mid"))).groupBy("lang").agg(F.first("mid").alias("mid"), *tails)
+    own = materialize(rows.filter("lang is not null").groupBy("lang").agg(n, mid), "medians")
+    around = rows.join(own, "lang").withColumn("z", _deviation(F.col("mid")))
+    pooled = around.agg(*tails).first()
+    share = F.least(F.lit(1.0), F.col("n") / F.lit(float(MIN_DOCUMENTS)))
+    by = around.groupBy("lang").agg(F.first("mid").alias("mid"), F.first("n").alias("n"), *tails)
+    by = by.select("lang", "mid", *((share * F.col(c) + (1 - share) * F.lit(pooled[c]).cast("double")).alias(c) for c in ("low", "high")))
     whole = rows.agg(mid).first()["mid"]
     every = rows.withColumn("z", _deviation(F.lit(whole))).agg(*tails).select(F.lit(None).cast("string").alias("lang"), F.lit(whole).alias("mid"), "low", "high")
     return by.unionByName(every).withColumns({"low": F.col("low") * margin[0], "high": F.col("high") * margin[1]})
@@ -357,14 +365,14 @@ def classify(docs: DataFrame, labels: DataFrame, shard_rows: int = SHARD_ROWS, p
     model = Model(estimate(full), shard_rows)
     held = trusted.filter("held").filter(has_words)
     held = trusted.filter(has_words) if held.isEmpty() else held
-    limits = thresholds(score(held, model)).toPandas()  # a row a language, at most 10,001
-    common = limits[limits.lang.isna()].iloc[0]
-    table = docs.sparkSession.createDataFrame(
-        [(r.lang, float(r.mid), float(r.low), float(r.high)) for r in limits[limits.lang.notna()].itertuples()], "_kn_lang string, _kn_mid double, _kn_low double, _kn_high double"
-    )
+    limits = materialize(thresholds(score(held, model)), "limits")
+    common = limits.filter("lang is null").first()
+    table = limits.filter("lang is not null").select(*(F.col(c).alias(f"_kn_{c}") for c in ("lang", "mid", "low", "high")))
+    if table.count() <= BROADCAST_LANGUAGES:
+        table = F.broadcast(table)
     discard(trusted)
     scored = score(docs, model)
-    joined = scored.join(F.broadcast(table), F.col("lang") == F.col("_kn_lang"), "left")
+    joined = scored.join(table, F.col("lang") == F.col("_kn_lang"), "left")
     mid, low, high = (F.coalesce(f"_kn_{c}", F.lit(float(common[c]))) for c in ("mid", "low", "high"))
     z = F.when(has_words, _deviation(mid))
     made = (F.when(has_words, F.exp(-F.col("_kn_logp") / F.col("_kn_n"))), z, F.coalesce((z >= low) & (z <= high), F.lit(False)))

@@ -105,3 +105,20 @@ def test_no_labels_and_empty(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {r.doc_id: r.accepted for r in kn.classify(docs, none).collect()} == {1: True, 2: False}
     assert kn.classify(docs.limit(0), none).count() == 0
+
+
+def test_small_languages_have_their_own_limits(spark):
+    rng = random.Random(4)
+    rows = [(lang, 1000 * (mid + rng.gauss(0, 0.02)), 1000) for lang, mid, n in (("en", -2.0, 400), ("fr", -3.0, 60), ("es", -2.5, 1)) for _ in range(n)]
+    rows.append((None, -2000.0, 1000))
+    found = {r.lang: r for r in kn.thresholds(spark.createDataFrame(rows, "lang string, _kn_logp double, _kn_n long")).collect()}
+    assert set(found) == {"en", "fr", "es", None}
+    for lang, mid in (("en", -2.0), ("fr", -3.0), ("es", -2.5)):
+        assert found[lang].mid == pytest.approx(mid, abs=0.06)
+        assert 0.5 < found[lang].low / found["en"].low < 2
+        assert found[lang].low < 0 < found[lang].high
+
+
+def test_many_languages(spark):
+    many = spark.range(10_050).selectExpr("cast(id as string) as lang", "-2000.0D as _kn_logp", "1000L as _kn_n")
+    assert kn.thresholds(many).count() == 10_051
