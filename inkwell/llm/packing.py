@@ -7,7 +7,8 @@ largest piece left and filled greedily with the largest that fits; where a gap
 stays, the bin's smallest piece is taken out if two unpacked ones fill the
 expanded gap more tightly. Bins that stay underfull are taken apart and packed
 again together with those of other shards, in ever fewer shards, until one
-shard holds the rest or nothing is gained. A task never sees more than a shard,
+shard holds the rest or nothing is gained (less than one underfull bin in 256 is
+saved); then the better of the last two packings of the rest stays. A task never sees more than a shard,
 and lengths are kept as a histogram, so a shard costs time in proportion to its
 bins.
 
@@ -157,13 +158,13 @@ def pieces(
     return src.mapInArrow(run, f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, nr bigint" + ", ids binary" * keep_ids)
 
 
-def _shard_packer(names: list[str], capacity: int, level: int, last: bool):
+def _shard_packer(names: list[str], capacity: int, first: int, last: bool):
     """Packs a shard; pieces of underfull bins are loose, save in the last shard."""
 
     def run(key: tuple, t: pa.Table) -> pa.Table:
         where, offset, fill = best_two_fit(t.column("length").to_numpy().astype(np.int64), capacity)
         loose = np.zeros(len(where), bool) if last else (capacity - fill > capacity // 256)[where]
-        base = (level << 56) + (key[0].as_py() << 28)
+        base = (first + key[0].as_py()) << 28
         t = t.select(names).append_column("sequence_id", pa.array(base + where, pa.int64()))
         return t.append_column("offset", pa.array(offset, pa.int64())).append_column("loose", pa.array(loose))
 
@@ -179,17 +180,28 @@ def pack(parts: DataFrame, capacity: int, shard_pieces: int = SHARD_PIECES) -> D
         {"sequence_id": -F.col("nr") - 1, "offset": F.lit(0).cast("long")}
     )
     rest = parts.filter(F.col("length") < capacity)
-    done = None
-    level, n = 0, rest.count()
+    names = [f.name for f in fields]
+    at_start = F.col("offset") == 0  # one piece a bin
+    done, before, loose = None, None, None
+    level, first, n = 0, 0, rest.count()
     while n:
         shards = max(1, math.ceil(n / shard_pieces))
-        run = _shard_packer([f.name for f in fields], capacity, level, shards == 1)
+        run = _shard_packer(names, capacity, first, shards == 1)
         dealt = rest.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "nr", F.lit(level)), F.lit(shards)))
         packed = materialize(dealt.groupBy("shard").applyInArrow(run, f"{ddl}, sequence_id bigint, offset bigint, loose boolean"), "packed")
-        placed = packed.filter("not loose").drop("loose")
+        seen = packed.agg(F.count_if("loose").alias("n"), F.count_if(at_start).alias("bins"), F.count_if(at_start & F.col("loose")).alias("loose")).first()
+        ends = before is not None and before - seen["bins"] < before / 256
+        if ends:  # nothing gained
+            placed = packed if seen["bins"] < before else loose
+        else:
+            placed = packed.filter("not loose")
+        placed = placed.drop("loose")
         done = placed if done is None else done.unionByName(placed)
-        rest = packed.filter("loose").select([f.name for f in fields])
-        n, level = rest.count(), level + 1
+        if ends:
+            break
+        loose, before = packed.filter("loose"), seen["loose"]
+        rest = loose.select(names)
+        n, level, first = seen["n"], level + 1, first + shards
     return full if done is None else full.unionByName(done)
 
 

@@ -78,3 +78,21 @@ def test_many_shards(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert packing.pack_documents(df, PATH).count() == 0
+
+
+def test_pieces_that_never_fill_a_bin_end(spark):
+    df = spark.range(20_000).selectExpr("id as doc_id", "0 as piece", "0L as start", "3000L as length", "id as ids_crc32", "id as nr")
+    rows = packing.pack(df, 4096, shard_pieces=2000)
+    assert rows.count() == 20_000 == rows.select("sequence_id").distinct().count()
+    mixed = spark.range(6000).selectExpr("id as doc_id", "0 as piece", "0L as start", "id * 37 % 50 + 14 as length", "id as ids_crc32", "id as nr")
+    rows = packing.pack(mixed, 64, shard_pieces=100).collect()
+    assert sorted(r.nr for r in rows) == list(range(6000))
+    bins = defaultdict(list)
+    for r in rows:
+        bins[r.sequence_id].append((r.offset, r.length))
+    for held in bins.values():
+        at = 0
+        for begin, size in sorted(held):
+            assert begin == at
+            at += size
+        assert at <= 64
