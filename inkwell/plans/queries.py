@@ -175,7 +175,7 @@ def blocked_findings(spark: S, d: str) -> DataFrame:
 
 
 def md_blocks(spark: S, d: str) -> DataFrame:
-    text = F.concat(F.lit("# Title\n\n"), F.substring("text", 1, 200), F.lit("\n\n- one\n- two\n  more\n> q\n\n| a | b |\n|---|---|\n| 1 | 2 |\n\n```\ncode\n"))
+    text = F.concat(F.lit("# Title\n\n"), F.col("text"), F.lit("\n\n- one\n- two\n  more\n> q\n\n| a | b |\n|---|---|\n| 1 | 2 |\n\n```\ncode\n"))
     return structure.blocks(_docs(spark, d).withColumn("text", text), "text/markdown").groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -248,7 +248,7 @@ def window_risk(spark: S, d: str) -> DataFrame:
 
 def regions_clipped(spark: S, d: str) -> DataFrame:
     m = _marked(spark, d)
-    regions = m.select("doc_id", F.lit(0).alias("start"), F.least(F.length("text"), F.lit(300)).alias("end"), F.lit(1.0).alias("risk"))
+    regions = m.select("doc_id", F.lit(0).alias("start"), F.length("text").alias("end"), F.lit(1.0).alias("risk"))
     return localize.clip(regions, structure.spans(m))
 
 
