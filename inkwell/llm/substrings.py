@@ -72,24 +72,20 @@ class Hasher:
     """
 
     B1, B2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
+    BASES = (0xD1342543DE82EF95, 0xAF251AF3B0F025B5)
+    #: Bytes that are hashed at a time, so that a long text takes no more room than a short one.
+    ROOM = 1 << 20
 
     def __init__(self, window: int = WINDOW, gram: int = GRAM) -> None:
         if not 1 <= gram <= window:
             raise ValueError("a gram is a part of a window")
         self.window, self.gram = window, gram
         self.p1, self.p2 = _powers(self.B1, window), _powers(self.B2, window)
-        self.room = 0
+        self.up: list[np.ndarray] = []
 
     def words(self, text: str | None) -> list[bytes]:
         return text.encode("utf-8", "surrogatepass").split() if text else []
 
-    def _grow(self, n: int) -> None:
-        if n > self.room:
-            self.room = max(n, 1 << 20)
-            bases = (0xD1342543DE82EF95, 0xAF251AF3B0F025B5)
-            self.up = [_powers(b, self.room) for b in bases]
-            self.down = [_powers(pow(b, -1, 1 << 64), self.room) for b in bases]
-
     def places(self, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where words start and end in a buffer."""
         space = np.ones(len(raw) + 2, bool)
@@ -98,18 +94,39 @@ class Hasher:
         return edge[::2], edge[1::2]
 
     def word_hash(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray, which: int) -> np.ndarray:
-        self._grow(len(raw) + 1)
-        total = np.zeros(len(raw) + 1, np.uint64)
-        part = _BYTE[which][raw]
-        part *= self.up[which][: len(raw)]
-        np.cumsum(part, out=total[1:])
-        h = (total[end] - total[start]) * self.down[which][start]
+        if not self.up:
+            self.up = [_powers(b, self.ROOM) for b in self.BASES]
+            self.down = [_powers(pow(b, -1, 1 << 64), self.ROOM) for b in self.BASES]
+        h = np.empty(len(start), np.uint64)
+        at = 0
+        while at < len(start):
+            base = int(start[at])
+            to = max(at + 1, int(np.searchsorted(end, base + self.ROOM, "right")))
+            if to == at + 1 and end[at] - base > self.ROOM:  # one word that fills more
+                h[at] = self._long(raw[base : int(end[at])], which)
+            else:
+                some = raw[base : int(end[to - 1])]
+                total = np.zeros(len(some) + 1, np.uint64)
+                part = _BYTE[which][some]
+                part *= self.up[which][: len(some)]
+                np.cumsum(part, out=total[1:])
+                first = start[at:to] - base
+                h[at:to] = (total[end[at:to] - base] - total[first]) * self.down[which][first]
+            at = to
         h ^= h >> np.uint64(32)
         h *= np.uint64(0xD6E8FEB86659FD93)
         h ^= h >> np.uint64(29)
         h *= np.uint64(0xBF58476D1CE4E5B9)
         return h
 
+    def _long(self, word: np.ndarray, which: int) -> np.uint64:
+        out = 0
+        for at in range(0, len(word), self.ROOM):
+            part = _BYTE[which][word[at : at + self.ROOM]]
+            part *= self.up[which][: len(part)]
+            out += int(part.sum(dtype=np.uint64)) * pow(self.BASES[which], at, 1 << 64)
+        return np.uint64(out & ((1 << 64) - 1))
+
     def hashes(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         raw = np.frombuffer(b" ".join(words), np.uint8)
         start, end = self.places(raw)
