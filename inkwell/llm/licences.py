@@ -1,6 +1,8 @@
 """Licence scan: a trained paragraph classifier with template comparison, in DataFrame operations only.
 
-A paragraph is a line. Lines that hold one of the ``STEMS`` are scored by a
+A paragraph is a run of lines: a line break ends it if a blank line follows or
+the line before ends in one of . ! ? : (a wrapped notice is one paragraph; marks
+of comments at the start of lines don't count). Paragraphs are scored by a
 multinomial logistic regression on their distinct word 1- to 3-grams: one class
 a licence family and one for everything else. Weights are whole numbers
 (thousandths), so every engine gets the same sums. A family is predicted if it
@@ -9,11 +11,16 @@ held-out paragraphs: at most one unknown paragraph in 200 passes it. A
 prediction is confirmed by comparison with the family's templates: at least
 ``COVER`` of a template's distinct word pairs stand in the paragraph.
 
+Texts and paragraphs without any of ``gate_words`` are left out first. That
+loses nothing: the words are chosen so that, of every template, more than
+1 - ``COVER`` of the pairs hold one of them, and a paragraph without them all
+has less than ``COVER`` of any template.
+
 The model is trained on the driver with numpy from the templates below, cut,
 thinned and mixed with other words, against lines that use the same words
 otherwise; their number is a parameter and does not depend on the input. The
-main path has no Python: documents are filtered by their stems inside the scan's
-stage, only lines with a stem are exploded, and weights and template pairs (some
+main path has no Python: documents pass the gate inside the scan's
+stage, only their paragraphs are exploded, and weights and template pairs (some
 ten thousand rows, fixed by the templates) are broadcast.
 
 Defined results: null texts and texts without a notice give an empty list and a
@@ -25,6 +32,7 @@ table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import json
+import math
 import random
 from functools import lru_cache
 
@@ -32,12 +40,6 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: What a line must hold (lower case) to be scored.
-STEMS = (
-    "licen", "copyright", "rights reserved", "warrant", "permission", "redistribut", "public domain", "creative commons", "cc by", "cc-by", "cc0",
-    "gpl", "apache", "mozilla public", "spdx", "proprietary", "confidential",
-)
-
 #: Notice texts of licence families.
 TEMPLATES: dict[str, list[str]] = {
     "Apache-2.0": [
@@ -236,11 +238,50 @@ def template_pairs() -> list[tuple[str, int, str, int]]:
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def _has_stem(text: Column) -> Column:
-    low, out = F.lower(text), F.lit(False)
-    for s in STEMS:
-        out = out | low.contains(s)
-    return F.coalesce(out, F.lit(False))
+#: A line's start with marks of comments, and a break inside a paragraph.
+_MARKS = r"\r?\n[ \t]*(?:(?://+|#+|/?\*+|--+|;+|%+|<!--)[ \t]*)?"
+_WRAP = r"([^\n.!?:])\n([^\n])"
+
+
+@lru_cache(maxsize=1)
+def gate_words() -> tuple[str, ...]:
+    """Words without one of which no paragraph can be confirmed, fewest first found by greedy choice."""
+    templates: dict[int, list[tuple[str, ...]]] = {}
+    for _, number, pair, _ in template_pairs():
+        templates.setdefault(number, []).append(tuple(pair.split()))
+    short = {n: len(pairs) - math.ceil(COVER * len(pairs) - 1e-9) + 1 for n, pairs in templates.items()}  # pairs that must hold a gate word
+    words = sorted({w for pairs in templates.values() for p in pairs for w in p if len(w) > 1 and w not in STOP and not w.isdigit()})
+    chosen: list[str] = []
+
+    def held(some: list[str]) -> dict[int, int]:
+        return {n: sum(any(g in w for g in some for w in p) for p in pairs) for n, pairs in templates.items()}
+
+    while True:
+        now = held(chosen)
+        if all(now[n] >= short[n] for n in short):
+            return tuple(chosen)
+        gain = lambda w: sum(min(short[n], x) - min(short[n], now[n]) for n, x in held([*chosen, w]).items())  # noqa: B023, E731
+        best = max(words, key=lambda w: (gain(w), w))
+        if not gain(best):
+            raise ValueError("a template has too few words of its own for the gate")
+        chosen.append(best)
+
+
+def _has_word(text: Column) -> Column:
+    """Whether a text holds a gate word; the lower case is taken once."""
+
+    def test(low: Column) -> Column:
+        out = F.lit(False)
+        for w in gate_words():
+            out = out | low.contains(w)
+        return out
+
+    return F.coalesce(F.exists(F.array(F.translate(text, _UPPER, _LOWER)), test), F.lit(False))
+
+
+def paragraphs(text: Column) -> Column:
+    """A text's paragraphs, each on one line."""
+    return F.split(F.regexp_replace(F.regexp_replace(text, _MARKS, "\n"), _WRAP, "$1 $2"), "\n")
 
 
 def _literal(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
@@ -253,17 +294,17 @@ def _ddl(schema: str) -> str:
 
 
 def notices(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, line (from 0), family of every confirmed notice."""
+    """doc_id, line (the paragraph's number, from 0), family of every confirmed notice."""
     spark = docs.sparkSession
     weights, bias, margin = model()
     table = _literal(spark, [{"gram": g, "class": c, "weight": v} for g, x in weights.items() for c, v in x.items()], "gram string, class string, weight bigint")
     biases = _literal(spark, [{"class": c, "bias": v} for c, v in bias.items()], "class string, bias bigint")
     pairs = _literal(spark, [dict(zip(("family", "template", "gram", "n"), r, strict=True)) for r in template_pairs()], "family string, template int, gram string, n int")
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter(_has_stem(F.col("text")))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter(_has_word(F.col("text")))
     # a line is told apart by a number of its row; the id is not unique
-    lines = rows.withColumn("row", F.xxhash64("text")).select("doc_id", "row", F.posexplode(F.split("text", "\n")).alias("line", "paragraph")).distinct()
-    lines = lines.filter(_has_stem(F.col("paragraph")))
+    lines = rows.withColumn("row", F.xxhash64("text")).select("doc_id", "row", F.posexplode(paragraphs(F.col("text"))).alias("line", "paragraph")).distinct()
+    lines = lines.filter(_has_word(F.col("paragraph")))
     words = F.regexp_extract_all(F.translate("paragraph", _UPPER, _LOWER), F.lit("[a-z0-9]+"), 0)
     lines = lines.select("doc_id", "row", "line", words.alias("w"))
     n = F.size("w")
@@ -301,17 +342,18 @@ def oracle_sql() -> str:
     w = ", ".join(f"({q(g)}, {q(c)}, {v})" for g, x in sorted(weights.items()) for c, v in sorted(x.items()))
     b = ", ".join(f"({q(c)}, {v})" for c, v in sorted(bias.items()))
     p = ", ".join(f"({q(f)}, {t}, {q(g)}, {n})" for f, t, g, n in template_pairs())
-    stems = " OR ".join(f"contains(lower(paragraph), {q(s)})" for s in STEMS)
+    gate = " OR ".join(f"contains(translate(paragraph, '{_UPPER}', '{_LOWER}'), {q(w)})" for w in gate_words())
+    joined = f"regexp_replace(regexp_replace(text, {q(_MARKS)}, chr(10), 'g'), {q(_WRAP)}, '\\1 \\2', 'g')"
     return f"""
         WITH weights(gram, class, weight) AS (VALUES {w}),
         biases(class, bias) AS (VALUES {b}),
         pairs(family, template, gram, n) AS (VALUES {p}),
         split_lines AS (
-            SELECT doc_id, unnest(string_split(text, chr(10))) AS paragraph, generate_subscripts(string_split(text, chr(10)), 1) AS line
-            FROM (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL)
+            SELECT doc_id, unnest(string_split(joined, chr(10))) AS paragraph
+            FROM (SELECT doc_id, {joined} AS joined FROM (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL))
         ), chosen AS (
             SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(translate(paragraph, '{_UPPER}', '{_LOWER}'), '[a-z0-9]+') AS w
-            FROM split_lines WHERE {stems}
+            FROM split_lines WHERE {gate}
         ), grams AS (
             SELECT DISTINCT k, doc_id, gram FROM (
                 SELECT k, doc_id, unnest(w) AS gram FROM chosen
