@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import materialize
+from inkwell.llm.common import discard, materialize
 
 SHARD_ROWS = 4096
 BLOCK_ROWS = 4096
@@ -144,9 +144,14 @@ class Tree:
             bound[i] = worst
 
 
-def build_trees(vectors: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """shard, dim, tree: one row per shard. vectors: vec_id, v."""
-    shards = max(1, math.ceil(vectors.count() / shard_rows))
+def build_trees(vectors: DataFrame, k: int, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """shard, dim, tree: one row per shard. vectors: vec_id, v.
+
+    Rows alike in id and vector tie with each other, so k of them are as good as
+    all: they are counted map-side, k at most go on, each dealt by its own number.
+    """
+    same = materialize(vectors.groupBy("vec_id", "v").agg(F.count(F.lit(1)).alias("n")).select("vec_id", "v", F.explode(F.sequence(F.lit(1), F.least("n", F.lit(k)).cast("int"))).alias("copy")), "vectors")
+    shards = max(1, math.ceil(same.count() / shard_rows))
 
     def run(key: tuple, t: pa.Table) -> pa.Table:
         ids = t.column("vec_id").to_numpy()
@@ -154,8 +159,10 @@ def build_trees(vectors: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
         vecs = np.asarray(v.flatten()).reshape(len(ids), -1)
         return pa.table({"shard": [key[0].as_py()], "dim": [key[1].as_py()], "tree": [Tree.build(ids, vecs).dump()]}, schema=pa.schema([("shard", pa.int64()), ("dim", pa.int32()), ("tree", pa.binary())]))
 
-    dealt = vectors.withColumn("shard", F.pmod(F.xxhash64("vec_id", "v"), F.lit(shards))).withColumn("dim", F.size("v"))
-    return materialize(dealt.groupBy("shard", "dim").applyInArrow(run, "shard bigint, dim int, tree binary"), "trees")
+    dealt = same.withColumn("shard", F.pmod(F.xxhash64("vec_id", "v", "copy"), F.lit(shards))).withColumn("dim", F.size("v"))
+    out = materialize(dealt.groupBy("shard", "dim").applyInArrow(run, "shard bigint, dim int, tree binary"), "trees")
+    discard(same)
+    return out
 
 
 def _walk(block, number: int, k: int):
@@ -189,7 +196,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, shard_rows: int =
     vectors, queries: vec_id, v as integer_vectors gives them.
     """
     spark = vectors.sparkSession
-    trees = build_trees(vectors, shard_rows)
+    trees = build_trees(vectors, k, shard_rows)
     schema = "query_id bigint, query_row bigint, vec_id bigint, score bigint"
     many = queries.count()
     blocks = max(1, math.ceil(many / block_rows))
@@ -219,7 +226,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, shard_rows: int =
                 if len(found) >= k:
                     bound[dim][i] = (-found[k - 1][0], found[k - 1][1])
         second = spark.sparkContext.broadcast((ids, vecs, bound))
-        part = trees.mapInArrow(_walk(second, b, k), schema)
+        part = materialize(trees.mapInArrow(_walk(second, b, k), schema), "best")
+        for used in (block, second):
+            used.destroy()
         out = part if out is None else out.unionByName(part)
     if out is None:
         out = spark.createDataFrame([], schema)

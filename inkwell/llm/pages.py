@@ -15,7 +15,10 @@ parameter (``TRAINING_PAGES``) and does not depend on the input.
 Character references are decoded as in HTML5. White space, and a line break
 element, become one space inside a block. Elements are closed as HTML5 implies
 it (a paragraph by the next block, a list item by the next one, and so on);
-an unfinished tag, comment or script at the end of a page is dropped.
+an unfinished tag, comment or script at the end of a page is dropped. Formulas
+(math) are text of their block; svg, select, template and noscript elements are
+left out, but where their end tag is missing only the start tag is. Time and
+memory are in proportion to the page, however deep it nests.
 
 Defined results: a null or empty page gives an empty text; repeated rows give a
 row each; an empty table gives no rows; extra columns are ignored.
@@ -35,6 +38,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from inkwell.llm.common import by_bytes
+
 TRAINING_PAGES = 500
 
 _TAG = re.compile(
@@ -45,7 +50,8 @@ _ATTR = re.compile(r"([^\s\"'>/=]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)
 _NAME = re.compile(r"[a-z]+")
 
 #: Element classes of HTML.
-RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes svg math select".split())
+TEXT_ONLY = frozenset("script style textarea title iframe xmp noembed noframes".split())  # hold no elements
+LEFT_OUT = TEXT_ONLY | frozenset("noscript template svg select".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "html head body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
@@ -80,6 +86,7 @@ def parse(page: str) -> list[Node]:
     """Block elements and runs of text in page order; a parent comes before its children."""
     nodes = [Node("#root", -1)]
     stack: list[tuple[str, int]] = [("#root", 0)]  # open block elements
+    places: dict[str, list[int]] = {}  # of each tag, where it stands in the stack
     run: Node | None = None
     anchors = 0
     at, end, low = 0, len(page), None
@@ -99,9 +106,14 @@ def parse(page: str) -> list[Node]:
 
     def close_to(depth: int) -> None:
         nonlocal run
-        del stack[depth:]
+        while len(stack) > depth:
+            places[stack.pop()[0]].pop()
         run = None
 
+    def last(tags) -> int:
+        """The innermost place of any of the tags, 0 if none is open."""
+        return max((places[t][-1] for t in tags if places.get(t)), default=0)
+
     while at < end:
         m = _TAG.search(page, at)
         if m is None:
@@ -120,20 +132,18 @@ def parse(page: str) -> list[Node]:
             if tag == "a":
                 anchors = max(0, anchors - 1)
             elif tag in BLOCK:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] == tag:
-                        close_to(i)
-                        break
-                else:
-                    run = None
+                if depth := last((tag,)):
+                    close_to(depth)
+                run = None
             continue
-        if tag in RAW and not m[3].rstrip().endswith("/"):
+        if tag in LEFT_OUT and not (tag == "svg" and m[3].rstrip().endswith("/")):
             if low is None:
                 low = page.lower()
             stop = low.find(f"</{tag}", at)
-            if stop < 0:
+            if stop >= 0:
+                at = page.find(">", stop) + 1 or end
+            elif tag in TEXT_ONLY:  # the rest of the page is its text
                 break
-            at = page.find(">", stop) + 1 or end
             continue
         if tag == "br":
             if run is not None:
@@ -146,26 +156,18 @@ def parse(page: str) -> list[Node]:
             continue
         if tag not in BLOCK:
             continue
-        if tag in CLOSES_P:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == "p":
-                    close_to(i)
-                    break
-                if stack[i][0] in ("button", "td", "th", "caption"):
-                    break
+        if tag in CLOSES_P and (depth := last(("p",))) > last(("button", "td", "th", "caption")):
+            close_to(depth)
         if tag in IMPLIED:
             closes, stops = IMPLIED[tag]
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] in closes:
-                    close_to(i)
-                    break
-                if stack[i][0] in stops:
-                    break
+            if (depth := last(closes)) > last(stops):
+                close_to(depth)
         run = None
         anchors = 0 if tag in ("article", "main", "section", "p") else anchors
         if tag in VOID:
             continue
         nodes.append(Node(tag, stack[-1][1], m[3]))
+        places.setdefault(tag, []).append(len(stack))
         stack.append((tag, len(nodes) - 1))
     return nodes
 
@@ -505,7 +507,7 @@ def main_text(pages: DataFrame, model: Model | None = None, id_col: str = "page_
     model = model or default_model()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in by_bytes(batches, "html", 4 << 20):
             texts = [model.extract(h) for h in batch.column("html").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
 

@@ -29,16 +29,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkwell.llm.common import materialize, with_text
+from inkwell.llm.substrings import Hasher
 
 SAMPLES = 64
 SHINGLE = 5
 _LEVELS = 1 << 12
+#: Terms whose draws (256 bytes each) are held together; a longer text goes by blocks.
+TERMS = 1 << 17
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -61,25 +63,18 @@ _LN_C = np.log(_GAMMA).astype(np.float32)
 
 
 class Sampler:
-    """Fingerprints of texts; holds the hashes of recent words."""
+    """Fingerprints of texts."""
 
-    def __init__(self, samples: int = SAMPLES, shingle: int = SHINGLE, memo_words: int = 400_000) -> None:
-        self.k, self.shingle, self.memo_words = samples, shingle, memo_words
+    def __init__(self, samples: int = SAMPLES, shingle: int = SHINGLE) -> None:
+        self.k, self.shingle, self.hasher = samples, shingle, Hasher()
         rng = np.random.Generator(np.random.PCG64(20240607))
         self.step = rng.integers(0, 1 << 63, samples, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         self.place = rng.integers(0, 1 << 63, shingle, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        self.words: dict[bytes, int] = {}
 
     def terms(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Sorted term hashes and their counts."""
-        words = text.encode("utf-8", "surrogatepass").lower().split()
-        memo = self.words
-        if len(memo) > self.memo_words:
-            memo.clear()
-        digest = xxhash.xxh64_intdigest
-        for w in set(words).difference(memo):
-            memo[w] = digest(w)
-        h = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
+        raw = np.frombuffer(text.encode("utf-8", "surrogatepass").lower(), np.uint8)
+        h = self.hasher.word_hash(raw, *self.hasher.places(raw), 0)
         n = self.shingle
         if len(h) < n:
             s = np.zeros(1, np.uint64) + np.uint64(len(h) + 1)
@@ -118,26 +113,51 @@ class Sampler:
             out[part] = beta
         return out
 
-    def pick(self, h: np.ndarray, weight: np.ndarray, arrivals: np.ndarray) -> np.ndarray:
-        """The samples of one text: 16 bits of the earliest term and its level."""
-        first = arrivals.argmin(0)
+    def pick(self, hh: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """16 bits of each sample's earliest term and its level."""
         every = np.arange(self.k)
-        hh = h[first]
         z = hh * self.step
         z ^= z >> np.uint64(32)
         z *= _MIX
         z ^= z >> np.uint64(31)
         r = _R[(z >> np.uint64(52)).view(np.int64)]
         beta = ((z >> np.uint64(16)) & np.uint64(0xFFFFFF)).astype(np.float32) * np.float32(1 / (1 << 24))
-        t = np.floor(np.log(weight[first]).astype(np.float32) / r + beta).astype(np.int64).view(np.uint64)
+        t = np.floor(np.log(weight).astype(np.float32) / r + beta).astype(np.int64).view(np.uint64)
         s = (hh ^ (t * _ODD)) * _MIX + every.astype(np.uint64) * _ODD
         s ^= s >> np.uint64(33)
         s *= _ODD
         return (s >> np.uint64(48)).astype(">u2")
 
+    def long_fingerprint(self, h: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """Of one text with many terms: blocks of terms, keeping each sample's earliest term so far."""
+        every = np.arange(self.k)
+        best, bh, bw = np.full(self.k, np.inf, np.float32), np.zeros(self.k, np.uint64), np.ones(self.k, np.int64)
+        for at in range(0, len(h), TERMS):
+            a = self.arrivals(h[at : at + TERMS], w[at : at + TERMS])
+            first = a.argmin(0)
+            earlier = a[first, every] < best
+            best[earlier] = a[first, every][earlier]
+            bh[earlier], bw[earlier] = h[at + first[earlier]], w[at + first[earlier]]
+        return self.pick(bh, bw)
+
     def fingerprints(self, texts: list[str]) -> list[np.ndarray]:
-        """Fingerprints of texts; terms that texts share are drawn once."""
-        found = [self.terms(t) for t in texts]
+        """Fingerprints of texts; terms that some texts share are drawn once. At most about TERMS terms' draws are held."""
+        out: list[np.ndarray] = []
+        some: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+        for t in texts:
+            h, w = self.terms(t)
+            if some and size + len(h) > TERMS:
+                out += self._together(some)
+                some, size = [], 0
+            if len(h) > TERMS:
+                out.append(self.long_fingerprint(h, w))
+            else:
+                some.append((h, w))
+                size += len(h)
+        return out + self._together(some)
+
+    def _together(self, found: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
         if not found:
             return []
         flat_h = np.concatenate([h for h, _ in found])
@@ -152,9 +172,9 @@ class Sampler:
         where = back[where]
         out, at = [], 0
         for th, tw in found:
-            rows = where[at : at + len(th)]
+            first = a[where[at : at + len(th)]].argmin(0)
             at += len(th)
-            out.append(self.pick(th, tw, a[rows]))
+            out.append(self.pick(th[first], tw[first]))
         return out
 
 

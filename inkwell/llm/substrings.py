@@ -16,8 +16,13 @@ before it, bucket by bucket and without a shuffle; windows whose smallest gram
 occurs in another text, or twice in their own, are candidates. Candidates, of the batch and of the older
 documents that share a gram with it, are verified by their 128-bit window
 hashes from two independent word hashes: the earliest place of each is found by
-an aggregate, and a batch's candidates that aren't earliest are repeats. Once
-more than ``fan_out`` runs stand, they are compacted into one.
+an aggregate, and a batch's candidates that aren't earliest are repeats. A batch
+that finds ``fan_out`` runs compacts them into one first. Window hashes are not
+kept, as they take five times the room of the text; the texts of older documents
+that share a gram are hashed again.
+
+All entries of one gram stand in one bucket, sorted on disk; a task reads them as
+a stream and holds none but the least and greatest text hash.
 
 No list of a gram's or window's places is ever gathered; only a document's own
 grams and starts meet in one row.
@@ -32,6 +37,7 @@ columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 import uuid
 from collections.abc import Iterator
@@ -43,7 +49,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import TEXT_ROWS, batch_rows, by_bytes, discard, materialize, shuffles_freed, with_text, worker_state
+from inkwell.llm.common import TEXT_ROWS, batch_rows, by_bytes, discard, materialize, remove, shuffles_freed, table_path, with_text, worker_state
 
 WINDOW = 20
 GRAM = 5
@@ -347,29 +353,72 @@ def removals(joined: DataFrame, window: int, gram: int, keep_text: bool) -> Data
 
 
 class WindowIndex:
-    """Immutable sorted runs of gram hashes with the documents they came from."""
+    """Immutable sorted runs of gram hashes, the documents they came from and these documents' digests.
+
+    Runs are files of the index's folder, bucketed and sorted by gram; the
+    catalog's entries for them are made when the index is opened. Batches must
+    come in ascending order of ids. ``save`` makes the folder complete, ``open``
+    goes on from it in another session.
+    """
 
-    def __init__(self, spark: SparkSession, window: int = WINDOW, gram: int = GRAM, fan_out: int = 2, buckets: int | None = None) -> None:
+    def __init__(self, spark: SparkSession, window: int = WINDOW, gram: int = GRAM, fan_out: int = 2, buckets: int | None = None, folder: str | None = None) -> None:
         self.spark, self.window, self.gram, self.fan_out = spark, window, gram, fan_out
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.folder = folder or table_path(spark, "window-index")
         self.runs: list[str] = []
         self.documents: DataFrame | None = None
         self.digests: DataFrame | None = None
         self.copies: DataFrame | None = None
         self._alone = True
 
+    def save(self) -> str:
+        """Write what the index holds besides its runs, then the list of all of it; returns the folder."""
+        stamp = uuid.uuid4().hex
+        parts = {}
+        for name in ("documents", "digests", "copies"):
+            table = getattr(self, name)
+            if table is not None:
+                parts[name] = f"{name}-{stamp}"
+                table.write.parquet(f"{self.folder}/{parts[name]}")
+        state = {"window": self.window, "gram": self.gram, "fan_out": self.fan_out, "buckets": self.buckets, "alone": self._alone, "runs": self.runs, "parts": parts}
+        self.spark.createDataFrame([(json.dumps(state),)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.folder}/state")
+        return self.folder
+
+    @classmethod
+    def open(cls, spark: SparkSession, folder: str) -> WindowIndex:
+        state = json.loads(spark.read.text(f"{folder}/state").first().value)
+        index = cls(spark, state["window"], state["gram"], state["fan_out"], state["buckets"], folder)
+        index._alone, index.runs = state["alone"], state["runs"]
+        for name in index.runs:
+            spark.sql(f"CREATE TABLE IF NOT EXISTS {name} (h BIGINT, o BIGINT, th BIGINT, n INT, d BIGINT) USING parquet CLUSTERED BY (h) SORTED BY (h) INTO {index.buckets} BUCKETS LOCATION '{folder}/{name}'")
+        for name, where in state["parts"].items():
+            setattr(index, name, spark.read.parquet(f"{folder}/{where}"))
+        return index
+
+    def detach(self) -> None:
+        """Forget the runs' catalog entries; the files stay."""
+        for r in self.runs:
+            self.spark.sql(f"DROP TABLE IF EXISTS {r}")
+
     def _write_run(self, entries: DataFrame) -> str:
         name = f"inkwell_run_{uuid.uuid4().hex}"
         sorted_rows = entries.repartition(self.buckets, "h").sortWithinPartitions("h")
         with shuffles_freed(self.spark):
-            sorted_rows.write.bucketBy(self.buckets, "h").sortBy("h").format("parquet").saveAsTable(name)
+            sorted_rows.write.bucketBy(self.buckets, "h").sortBy("h").format("parquet").option("path", f"{self.folder}/{name}").saveAsTable(name)
         return name
 
+    def _drop(self, names: list[str]) -> None:
+        for r in names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {r}")
+            remove(self.spark, f"{self.folder}/{r}")
+
     def _run(self, name: str) -> DataFrame:
         return self.spark.table(name)
 
     def add(self, rows: DataFrame, keep_text: bool = False) -> DataFrame:
         """Judge a batch (from ``keyed``) against itself and all batches before, then index it."""
+        if len(self.runs) >= self.fan_out:
+            self.compact()
         single = self._single(rows)
         once = rows if single else rows.dropDuplicates(["o", "th"])
         place = ["o", "th"]
@@ -388,8 +437,9 @@ class WindowIndex:
         marks = marks.groupBy(*place).agg(F.collect_list("h").alias("hs"))
         every_copy = copies if self.copies is None else copies.union(self.copies)
         marks = materialize(marks.join(every_copy, place, "left_anti"), "marks")
-        texts = once if self.documents is None else once.unionByName(self.documents)
-        found = candidate_windows(texts.select("o", "th", "text").join(marks.hint("merge"), place), self.window, self.gram)
+        own = once.select("o", "th", "text")
+        texts = own if self.documents is None else own.unionByName(self.documents)
+        found = candidate_windows(texts.join(marks.hint("merge"), place), self.window, self.gram)
         if single:
             first = found.groupBy("w1", "w2").agg(F.min("o").alias("o"), F.min_by("start", "o").alias("start")).withColumn("th", F.lit(0).cast("long"))
         else:
@@ -401,10 +451,8 @@ class WindowIndex:
         for t in (marks, firsts):
             discard(t)
         self.runs.append(new)
-        self.documents = once if self.documents is None else self.documents.unionByName(once)
+        self.documents = texts
         self.copies = every_copy
-        if len(self.runs) >= self.fan_out:
-            self.compact()
         return out
 
     def _single(self, rows: DataFrame) -> bool:
@@ -428,17 +476,17 @@ class WindowIndex:
         for r in self.runs[1:]:
             every = every.union(self._run(r))
         merged = self._write_run(every)
-        for r in self.runs:
-            self.spark.sql(f"DROP TABLE IF EXISTS {r}")
+        self._drop(self.runs)
         self.runs = [merged]
 
     def close(self) -> None:
-        for r in self.runs:
-            self.spark.sql(f"DROP TABLE IF EXISTS {r}")
+        """Delete the index."""
+        self._drop(self.runs)
         self.runs = []
+        remove(self.spark, self.folder)
 
 
-def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batches: int = 2, fan_out: int = 2, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batches: int = 3, fan_out: int = 2, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
     """All documents through the index, in batches of ascending id: doc_id, n_words, n_removed, kept_sha256, o, th.
 
     keep_text: also kept (the text without the removed words) and rest (a struct of all other columns).
@@ -451,16 +499,18 @@ def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batches: int
     index = WindowIndex(spark, window, gram, fan_out)
     out = None
     low = None
-    for high in [*cuts, None]:
-        part = rows
-        if low is not None:
-            part = part.filter(F.col("o") > low)
-        if high is not None:
-            part = part.filter(F.col("o") <= high)
-        low = high
-        done = index.add(part, keep_text)
-        out = done if out is None else out.unionByName(done)
-    index.close()
+    try:
+        for high in [*cuts, None]:
+            part = rows
+            if low is not None:
+                part = part.filter(F.col("o") > low)
+            if high is not None:
+                part = part.filter(F.col("o") <= high)
+            low = high
+            done = index.add(part, keep_text)
+            out = done if out is None else out.unionByName(done)
+    finally:
+        index.close()
     return out
 
 
@@ -468,8 +518,6 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """Documents without their repeated passages; those of which nothing stays go, n_chars follows the text."""
     columns = docs.columns
     done = dedup(docs, window, keep_text=True).filter("n_words = 0 or n_removed < n_words")
-    others = [c for c in columns if c not in ("doc_id", "text")]
-    out = done.select("doc_id", F.col("kept").alias("text"), "n_removed", *(F.col("rest")[c].alias(c) for c in others))
-    if "n_chars" in others:
-        out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*columns)
+    length = F.when(F.col("n_removed") > 0, F.length("kept")).otherwise(F.col("rest")["n_chars"]) if "n_chars" in columns else None
+    made = {"doc_id": F.col("doc_id"), "text": F.col("kept"), "n_chars": length if length is None else length.cast(docs.schema["n_chars"].dataType)}
+    return done.select(*((made[c] if c in made else F.col("rest")[c]).alias(c) for c in columns))

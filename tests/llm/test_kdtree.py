@@ -60,3 +60,14 @@ def test_empty_table(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     vs = kdtree.integer_vectors(df, "vec_id", "embedding")
     assert kdtree.top_k(vs, vs).count() == 0
+
+
+def test_equal_vectors_are_split(spark):
+    df = spark.range(20_000).selectExpr("if(id < 10000, id, 7) as vec_id", "array(1.0D, 2.0D) as v").repartition(4)
+    trees = kdtree.build_trees(df, 5, shard_rows=500)
+    sizes = [len(kdtree.Tree.load(r.tree).ids) for r in trees.collect()]
+    assert sum(sizes) == 10_004 and max(sizes) < 700
+    got = kdtree.top_k(df, df.filter("vec_id = 9"), 5, shard_rows=500).orderBy("rank").collect()
+    assert [r.vec_id for r in got] == [0, 1, 2, 3, 4]
+    got = kdtree.top_k(df.filter("vec_id in (7, 8)"), df.filter("vec_id = 8"), 5).collect()
+    assert [r.vec_id for r in got] == [7] * 5 and sorted(r.rank for r in got) == [1, 2, 3, 4, 5]

@@ -81,3 +81,30 @@ def test_main_text(spark, model):
     assert by[2].text == "" and by[3].text == "" and by[2].url is None
     assert by[4].n_chars == 17 * 20000 - 1
     assert pages.main_text(df.limit(0), model).count() == 0
+
+
+def test_deep_pages_take_time_in_proportion(model):
+    import time
+
+    for open_, close in (("<div>", "</div>"), ("<p><button>" + "<div>" * 1, ""), ("<li>", "</li>"), ("<table><tr><td>", ""), ("<b><div>", "")):
+        took = []
+        for n in (10_000, 100_000):
+            page = open_ * n + "word" + close * n
+            began = time.process_time()
+            assert runs(page) == ["word"]
+            took.append(time.process_time() - began)
+        assert took[1] < 40 * max(took[0], 0.05)
+    assert isinstance(model.extract("<div>" * 100_000 + "x"), str)
+
+
+def test_elements_left_out():
+    assert runs("<p>a <math><mi>x</mi><mo>=</mo><mn>2</mn></math> b") == ["a x=2 b"]
+    assert runs("<p>a<svg><text>no</text></svg>b<svg/>c<script/>no</script>d<select><option>no</select>e") == ["abcde"]
+    assert runs("<p>a<svg>b<p>c<noscript>d") == ["ab", "cd"]
+
+
+def test_small_batches_and_columns(spark):
+    rows = [(i, "u", "<article><p>" + "Some words of an article, and more of them here. " * 5 + "</p></article>", "t", i) for i in range(20)] + [(None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars int")
+    got = pages.main_text(df).collect()
+    assert len(got) == 21 and sum(r.n_chars == 0 for r in got) == 1 and tuple(got[0].__fields__) == ("page_id", "url", "text", "n_chars")

@@ -70,3 +70,25 @@ def test_one_and_none(spark):
     assert sampling.neighbours(one.limit(0)).count() == 0
     fp = sampling.fingerprint_documents(one).collect()[0]
     assert fp.fingerprint == r.fingerprint
+
+
+def test_long_texts_go_by_blocks(monkeypatch):
+    rng = np.random.default_rng(5)
+    text = " ".join(f"w{i}" for i in rng.integers(0, 3000, 4000))
+    whole = sampling.Sampler().fingerprints([text, "a b", text + " end"])
+    monkeypatch.setattr(sampling, "TERMS", 100)
+    blocks = sampling.Sampler().fingerprints([text, "a b", text + " end"])
+    assert all((x == y).all() for x, y in zip(whole, blocks, strict=True))
+
+
+def test_memory_of_a_very_long_text():
+    import tracemalloc
+
+    text = "some words of a very long text that goes on " * 200_000 + " ".join(map(str, range(300_000)))
+    s = sampling.Sampler()
+    s.fingerprints(["warm up"])
+    tracemalloc.start()
+    s.fingerprints([text])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 * len(text)

@@ -84,3 +84,40 @@ def test_empty_and_kept_text(spark):
     df = spark.createDataFrame([(1, many, 9, "a"), (2, f"x\ny {many}\tz", 9, "b"), (3, many, 9, "c"), (4, "", 0, "d")], "doc_id long, text string, n_chars long, rest string")
     got = {r.doc_id: (r.text, r.n_chars, r.rest) for r in substrings.without_repeats(df).collect()}
     assert got == {1: (many, 9, "a"), 2: ("x\ny z", 5, "b"), 4: ("", 0, "d")}
+
+
+def test_three_sessions_equal_one_batch(spark):
+    rng = np.random.default_rng(9)
+    words = [f"w{i}" for i in range(30)]
+    passage = rng.choice(words, 12).tolist()
+    rows = [(i, " ".join(rng.choice(words, 8).tolist() + passage * (i % 3 != 1))) for i in range(45)] + [(45, None)]
+    rows.append((46, rows[7][1]))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    one = substrings.dedup(df, window=6, gram=3, batches=1).drop("o", "th").collect()
+    index = substrings.WindowIndex(spark, 6, 3, fan_out=2)
+    got = []
+    for low, high in ((0, 15), (15, 30), (30, 99)):
+        part = substrings.keyed(index.spark.createDataFrame([r for r in rows if low <= r[0] < high], "doc_id long, text string"))
+        got += index.add(part).drop("o", "th").collect()
+        folder = index.save()
+        index.detach()
+        assert not [t for t in spark.catalog.listTables() if t.name.startswith("inkwell_run")]
+        index = substrings.WindowIndex.open(spark.newSession(), folder)
+    assert sorted(map(tuple, got)) == sorted(map(tuple, one)) == sorted(brute(rows, 6))
+    assert len(index.runs) == 2  # the first two batches' runs are one since the third came
+    index.close()
+
+
+def test_long_words_and_texts():
+    h = substrings.Hasher()
+    h.ROOM = 64
+    words = [b"a" * n for n in (1, 63, 64, 65, 200)] + [bytes([97 + i % 7]) * (i % 90 + 1) for i in range(300)]
+    whole = substrings.Hasher()
+    assert all((a == b).all() for a, b in zip(h.hashes(words), whole.hashes(words), strict=True))
+
+
+def test_clashing_columns(spark):
+    many = " ".join(map(str, range(40)))
+    df = spark.createDataFrame([(1, many, 5, "k"), (2, "x " + many, 6, "l"), (3, many, 7, "m")], "doc_id long, text string, n_removed long, kept string")
+    got = {r.doc_id: (r.text, r.n_removed, r.kept) for r in substrings.without_repeats(df).collect()}
+    assert got == {1: (many, 5, "k"), 2: ("x", 6, "l")}
