@@ -254,14 +254,14 @@ def gate_words() -> tuple[str, ...]:
     chosen: list[str] = []
 
     def held(some: list[str]) -> dict[int, int]:
-        return {n: sum(any(g in w for g in some for w in p) for p in pairs) for n, pairs in templates.items()}
+        return {n: sum(not set(some).isdisjoint(p) for p in pairs) for n, pairs in templates.items()}
 
     while True:
         now = held(chosen)
         if all(now[n] >= short[n] for n in short):
             return tuple(chosen)
         gain = lambda w: sum(min(short[n], x) - min(short[n], now[n]) for n, x in held([*chosen, w]).items())  # noqa: B023, E731
-        best = max(words, key=lambda w: (gain(w), w))
+        best = max(words, key=lambda w: (gain(w) * min(len(w), 8), w))  # longer words are rarer elsewhere
         if not gain(best):
             raise ValueError("a template has too few words of its own for the gate")
         chosen.append(best)
@@ -306,10 +306,11 @@ def notices(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     lines = rows.withColumn("row", F.xxhash64("text")).select("doc_id", "row", F.posexplode(paragraphs(F.col("text"))).alias("line", "paragraph")).distinct()
     lines = lines.filter(_has_word(F.col("paragraph")))
     words = F.regexp_extract_all(F.translate("paragraph", _UPPER, _LOWER), F.lit("[a-z0-9]+"), 0)
-    lines = lines.select("doc_id", "row", "line", words.alias("w"))
+    lines = lines.select("doc_id", "row", "line", words.alias("w")).filter(F.arrays_overlap("w", F.array(*map(F.lit, gate_words()))))
     n = F.size("w")
     gram = lambda size: F.transform(F.sequence(F.lit(1), F.greatest(n - size + 1, F.lit(1))), lambda i: F.array_join(F.slice("w", i, size), " "))
-    some = F.array_distinct(F.concat(gram(1), F.when(n > 1, gram(2)).otherwise(F.array()), F.when(n > 2, gram(3)).otherwise(F.array())))
+    pairs_of = F.when(n > 1, gram(2)).otherwise(F.array())
+    some = F.array_distinct(F.concat(gram(1), pairs_of, F.when(n > 2, gram(3)).otherwise(F.array())))
     key = ["doc_id", "row", "line"]
     grams = lines.select(*key, F.explode(some).alias("gram"))
 
@@ -322,7 +323,7 @@ def notices(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     predicted = judged.filter(-F.col("best.s") - F.col("unknown") >= margin).select(*key, F.col("best.family").alias("family"))
 
     again = predicted.select(*(F.col(k).alias(f"p_{k}") for k in key), "family")
-    both = grams.join(again, [F.col(k).eqNullSafe(F.col(f"p_{k}")) for k in key]).select(*key, "family", "gram")
+    both = lines.join(again, [F.col(k).eqNullSafe(F.col(f"p_{k}")) for k in key]).select(*key, "family", F.explode(F.array_distinct(pairs_of)).alias("gram"))
     cover = both.join(F.broadcast(pairs), ["family", "gram"]).groupBy(*key, "family", "template").agg((F.count(F.lit(1)) / F.first("n")).alias("cover"))
     return cover.groupBy(*key, "family").agg(F.max("cover").alias("cover")).filter(F.col("cover") >= COVER).select("doc_id", "line", "family", "cover", "row")
 
