@@ -32,6 +32,7 @@ MOST_BYTES = 50 << 20
 MOST_CHUNKS = 10_000
 MOST_INFLATED = 1 << 20
 MOST_IFDS, MOST_ENTRIES = 32, 4096
+MOST_NODES = 100_000
 PNG = b"\x89PNG\r\n\x1a\n"
 #: EXIF tags with free text or personal data, and the keys of PNG and PDF fields.
 EXIF_TEXT = {0x010E: "ImageDescription", 0x0131: "Software", 0x9286: "UserComment"}
@@ -90,13 +91,17 @@ def _judge(place: str, key: str, value: bytes, private: bool) -> list[Row]:
 def png_chunks(data: bytes) -> list[tuple[bytes, bytes]]:
     """(kind, payload) of a PNG; a broken checksum or length is an error."""
     out, at = [], len(PNG)
-    while at < len(data) and len(out) < MOST_CHUNKS:
+    while at < len(data):
+        if len(out) == MOST_CHUNKS:
+            raise ValueError("png has too many chunks")
         if at + 12 > len(data):
             raise ValueError("png ends inside a chunk")
         n, kind = struct.unpack(">I4s", data[at : at + 8])
         body = data[at + 8 : at + 8 + n]
         if len(body) < n or zlib.crc32(kind + body) != struct.unpack(">I", data[at + 8 + n : at + 12 + n])[0]:
             raise ValueError("png chunk is broken")
+        if not out and kind != b"IHDR":
+            raise ValueError("png does not start with its header")
         out.append((kind, body))
         at += 12 + n
         if kind == b"IEND":
@@ -168,7 +173,9 @@ def _exif_rows(tiff: bytes) -> list[Row]:
 def jpeg_segments(data: bytes) -> list[tuple[int, bytes]]:
     """(marker, payload) up to the scan."""
     out, at = [], 2
-    while at + 4 <= len(data) and len(out) < MOST_CHUNKS:
+    while at + 4 <= len(data):
+        if len(out) == MOST_CHUNKS:
+            raise ValueError("jpeg has too many segments")
         if data[at] != 0xFF:
             raise ValueError("jpeg marker is missing")
         marker = data[at + 1]
@@ -190,7 +197,10 @@ def _xml_rows(place: str, data: bytes) -> list[Row]:
     if b"<!DOCTYPE" in data or b"<!ENTITY" in data:
         raise ValueError("xml declares a type or entity")
     out: list[Row] = []
-    for e in list(ET.fromstring(data).iter())[:100_000]:
+    nodes = list(ET.fromstring(data).iter())
+    if len(nodes) > MOST_NODES:
+        raise ValueError("xml has too many nodes")
+    for e in nodes:
         key = e.tag.rsplit("}", 1)[-1] if isinstance(e.tag, str) else ""
         private = key.lower() in ("creator", "lastmodifiedby", "initial-creator", "generator", "created", "modified", "creation-date", "date", "author", "application", "company")
         for k, v in [(key, e.text or ""), *((a.rsplit("}", 1)[-1], v) for a, v in e.attrib.items())]:
@@ -199,6 +209,30 @@ def _xml_rows(place: str, data: bytes) -> list[Row]:
     return out
 
 
+def _html_rows(page: str) -> list[Row]:
+    """What metadata.html_evidence says, for one file."""
+    telling, private = re.compile(metadata.AI_LINE), re.compile(metadata.PRIVATE_META)
+    metas = re.findall(metadata.META, page)
+    linked = [v for v in re.findall(metadata.JSON_LD, page) if telling.search(v)]
+    data_ai = [m.group() for m in re.finditer(metadata.DATA_AI, page)]
+    rows = [("unsigned_ai_metadata", "html", "meta", v) for v in metas if telling.search(v)]
+    rows += [("unsigned_ai_metadata", "html", "json-ld", v) for v in linked] + [("unsigned_ai_metadata", "html", "data-ai", v) for v in data_ai]
+    return rows + [("embedded_metadata", "html", "meta", v) for v in metas if private.search(v)]
+
+
+def _front_rows(text: str) -> list[Row]:
+    """What metadata.front_lines says, for one file."""
+    front = re.match(metadata.FRONT, text)
+    rows: list[Row] = []
+    for line in front[1].splitlines() if front else ():
+        key = line.split(":", 1)[0].strip().lower().replace("-", "_").replace(" ", "_")
+        if re.search(metadata.AI_LINE, line):
+            rows.append(("unsigned_ai_metadata", "frontmatter", key, line))
+        elif key in metadata.PRIVATE_KEYS:
+            rows.append(("embedded_metadata", "frontmatter", key, line))
+    return rows
+
+
 def evidence_of(data: bytes) -> tuple[str, list[Row]]:
     """The type and the evidence of one file; what can't be read is evidence of kind unknown."""
     kind = sniff(data)
@@ -233,11 +267,17 @@ def evidence_of(data: bytes) -> tuple[str, list[Row]]:
                 rows += _judge("pdf:Info", key.decode(), value, True)
         elif kind in ("docx", "odt"):
             with zipfile.ZipFile(io.BytesIO(data)) as z:
-                for info in z.infolist()[:MOST_CHUNKS]:
+                if len(z.infolist()) > MOST_CHUNKS:
+                    raise ValueError("zip has too many parts")
+                for info in z.infolist():
                     if info.filename.startswith(("docProps/", "customXml/")) or info.filename == "meta.xml":
                         if info.file_size > MOST_INFLATED:
                             raise ValueError("part inflates beyond its bound")
                         rows += _xml_rows(f"zip:{info.filename}", z.read(info))
+        elif kind == "html":
+            rows += _html_rows(data.decode("utf-8-sig"))
+        elif kind == "markdown":
+            rows += _front_rows(data.decode("utf-8-sig"))
         elif kind == "svg":
             for e in ET.fromstring(data).iter():
                 if isinstance(e.tag, str) and e.tag.rsplit("}", 1)[-1] == "metadata":

@@ -106,8 +106,9 @@ def findings(docs: DataFrame, policy: UnicodePolicy | None = None) -> DataFrame:
     """doc_id, offset, codepoint, char, kind, severity, removable, replacement, protected_by (carriers; not confusables)."""
     policy = policy or UnicodePolicy()
     some = docs.filter(F.col("text").rlike(f"[{ucd.notable_class()}]")).select("doc_id", "text")
-    chars = some.select("doc_id", "text", F.posexplode(F.split("text", "")).alias("offset", "char"))
-    chars = chars.filter(F.col("char").rlike(f"^[{ucd.notable_class()}]$"))
+    placed = F.transform(F.split("text", ""), lambda c, i: F.struct(i.alias("offset"), c.alias("char")))
+    notable = F.filter(placed, lambda x: ~x["char"].between(" ", "~") & x["char"].rlike(f"^[{ucd.notable_class()}]$"))  # before the explode, which repeats the text
+    chars = some.select("doc_id", "text", F.explode(notable).alias("c")).select("doc_id", "text", "c.*")
     judged = chars.withColumn("v", verdict(F.col("char"), F.col("text"), F.col("offset"), policy))
     return judged.filter("v is not null").select("doc_id", "offset", F.ascii("char").alias("codepoint"), "char", "v.*")
 
@@ -124,8 +125,11 @@ def confusables(docs: DataFrame) -> DataFrame:
 
 def scripts(docs: DataFrame) -> DataFrame:
     """doc_id, scripts: the sorted scripts whose letters or marks a document holds."""
-    held = F.array(*(F.when(F.col("text").rlike(f"[{ucd.script_class(s)}]"), F.lit(s)) for s in ucd.script_names()))
-    return docs.select("doc_id", F.array_sort(F.array_compact(held)).alias("scripts"))
+    # one pass leaves a text's distinct characters beyond ASCII; the scripts are looked for in these few
+    rest = F.array_join(F.array_distinct(F.split(F.regexp_replace("text", "[\\x00-\\x7F]+", ""), "")), "")
+    few = F.concat(F.when(F.col("text").rlike("[A-Za-z]"), F.lit("A")).otherwise(F.lit("")), rest)
+    held = lambda c: F.array(*(F.when(c.rlike(f"[{ucd.script_class(s)}]"), F.lit(s)) for s in ucd.script_names()))
+    return docs.select("doc_id", F.array_sort(F.array_compact(F.get(F.transform(F.array(few), held), F.lit(0)))).alias("scripts"))
 
 
 def summary(docs: DataFrame) -> DataFrame:

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, StructType
 
 #: A rewrite's edit limits (characters, tokens, drift) by strength, and provider names.
 EDIT_LIMITS = {"light": (0.20, 0.25, 0.10), "medium": (0.50, 0.55, 0.15), "strong": (0.70, 0.75, 0.25)}
@@ -15,9 +19,32 @@ LAYERS = ("cli", "environment", "project", "user", "preset", "default")
 
 
 def admit(requests: DataFrame, by: str, order: list[str], cost: str, limit: float) -> DataFrame:
-    """requests with spent (the running sum in order) and admitted (still within the limit)."""
-    w = Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return requests.withColumn("spent", F.sum(cost).over(w)).withColumn("admitted", F.col("spent") <= F.lit(limit))
+    """requests with admitted (its cost still fits what is left of the limit) and spent (the admitted costs up to it).
+
+    A refused request spends nothing, so a sum over a window can't tell: each
+    key's requests are read in order as a stream that holds its sum alone. A
+    null cost is nothing; a negative one is refused.
+    """
+    names = requests.columns
+    kind = "bigint" if requests.schema[cost].dataType.typeName() in ("byte", "short", "integer", "long") else "double"
+    number = pa.int64() if kind == "bigint" else pa.float64()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, used = (), 0
+        for batch in batches:
+            spent, admitted = [], []
+            for k, c in zip(batch.column(by).to_pylist(), batch.column(cost).to_pylist(), strict=True):
+                if (k,) != key:
+                    key, used = (k,), 0
+                c = c or 0
+                ok = 0 <= c <= limit - used
+                used += c if ok else 0
+                spent.append(used)
+                admitted.append(ok)
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(spent, number), pa.array(admitted, pa.bool_())], [*names, "spent", "admitted"])
+
+    schema = StructType([*requests.schema.fields, StructField("spent", LongType() if kind == "bigint" else DoubleType()), StructField("admitted", BooleanType())])
+    return requests.repartition(by).sortWithinPartitions(by, *order).mapInArrow(run, schema)
 
 
 def usage(charges: DataFrame, by: str = "run_id") -> DataFrame:
@@ -62,15 +89,20 @@ def precedence(settings: DataFrame) -> DataFrame:
 
 
 def threshold_met(score: Column, threshold: Column, direction: Column) -> Column:
-    return F.when(direction == "lower_is_riskier", score > threshold).otherwise(score < threshold)
+    """Whether a score is on the safe side of a threshold or at it; direction: which scores are riskier (higher, lower)."""
+    return F.when(direction == "higher", score <= threshold).otherwise(score >= threshold)
+
 
+def target_met(mode: Column, kind: Column, base: Column, score: Column, threshold: Column, least: Column, direction: Column | None = None) -> Column:
+    """Whether a candidate's score meets a target; a surrogate can verify nothing.
 
-def target_met(mode: Column, kind: Column, base: Column, score: Column, threshold: Column, least: Column) -> Column:
-    """Whether a candidate's score meets a target; a surrogate can verify nothing."""
-    gain = base - score
+    direction: which scores are riskier (higher unless given); reductions are those of the risk.
+    """
+    direction = F.lit("higher") if direction is None else direction
+    gain = F.when(direction == "higher", base - score).otherwise(score - base)
     return (
         F.when(score.isNull(), False)
-        .when(mode == "verify_below_threshold", (kind != "surrogate") & F.coalesce(score < threshold, F.lit(False)))
+        .when(mode == "verify_below_threshold", (kind != "surrogate") & F.coalesce(threshold_met(score, threshold, direction), F.lit(False)))
         .when(mode == "relative_reduction", F.coalesce((gain > 0) & (gain >= least), F.lit(False)))
         .when(mode == "minimize_surrogate", F.coalesce((kind == "surrogate") & (gain > least), F.lit(False)))
         .otherwise(False)

@@ -27,15 +27,21 @@ def apply(text: str | Column, ops: str | Column) -> Column:
 
 
 def invert(text: str | Column, ops: str | Column) -> Column:
-    """Operations that turn the result back into the text."""
+    """Operations that turn the result back into the text; insertions that meet at one offset are one."""
     t, o = (F.col(c) if isinstance(c, str) else c for c in (text, ops))
     empty = F.array().cast(f"array<{OP}>")
     start = F.struct(empty.alias("out"), F.lit(0).alias("drift"))
 
     def step(a, x):
         at = x["start"] + a["drift"]
-        back = F.struct(at.alias("start"), (at + F.length(x["text"])).alias("end"), F.substring(t, x["start"] + 1, x["end"] - x["start"]).alias("text"))
-        return F.struct(F.concat(a["out"], F.array(back)).alias("out"), (a["drift"] + F.length(x["text"]) - x["end"] + x["start"]).alias("drift"))
+        source = F.substring(t, x["start"] + 1, x["end"] - x["start"])
+        end = at + F.length(x["text"])
+        before = F.try_element_at(a["out"], F.lit(-1))
+        meets = F.coalesce((at == end) & (before["start"] == at) & (before["end"] == at), F.lit(False))
+        kept = F.when(meets, F.slice(a["out"], F.lit(1), F.greatest(F.size(a["out"]) - 1, F.lit(0)))).otherwise(a["out"])
+        back = F.struct(at.alias("start"), end.alias("end"), F.concat(F.when(meets, before["text"]).otherwise(F.lit("")), source).alias("text"))
+        nothing = (at == end) & (F.length(source) == 0)
+        return F.struct(F.when(nothing, a["out"]).otherwise(F.concat(kept, F.array(back))).alias("out"), (a["drift"] + F.length(x["text"]) - x["end"] + x["start"]).alias("drift"))
 
     return F.aggregate(o, start, step)["out"]
 
@@ -50,7 +56,7 @@ def violations(rows: DataFrame) -> DataFrame:
     reason = (
         F.when((F.col("start") < 0) | (F.col("end") < F.col("start")) | (F.col("end") > F.length("text")), "out_of_bounds")
         .when(F.col("original").isNotNull() & (F.substring(F.col("text"), F.col("start") + 1, F.col("end") - F.col("start")) != F.col("original")), "original_mismatch")
-        .when(F.substring(F.col("text"), F.col("start") + 1, F.col("end") - F.col("start")) == F.col("replacement"), "no_op")
+        .when(insert & (F.col("replacement") == ""), "no_op")
         .when(insert & (F.col("before_start") == F.col("start")) & (F.col("before") == F.col("end")), "duplicate_insertion")
         .when(F.col("before") > F.col("start"), "overlap")
     )

@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from inkwell.functions import ucd
 from inkwell.operators import inspect, operations, structure
 
-#: What NFC or NFKC can change: anything outside ASCII and plain Latin-1.
-_BEYOND = r"[^\x00-\x{FF}]"
+#: What a form can change: NFC nothing of Latin-1, NFKC nothing of ASCII.
+_BEYOND = {"NFC": r"[^\x00-\x{FF}]", "NFKC": r"[^\x00-\x7F]"}
 
 
 def clusters(text: str, form: str, held: list[tuple[int, int]], edits: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
@@ -90,7 +90,7 @@ def sanitize(docs: DataFrame, policy: inspect.UnicodePolicy | None = None, held:
     rows = base.join(ops, "doc_id", "left")
     if policy.mutates and policy.normalization_form != "none":
         spans = (held if held is not None else base.select("doc_id", F.lit(0).alias("start"), F.lit(0).alias("end")).limit(0)).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("held"))
-        needs = F.col("text").rlike(_BEYOND)
+        needs = F.col("text").rlike(_BEYOND[policy.normalization_form])
         done = rows.filter(needs).join(spans, "doc_id", "left").mapInArrow(_compose(policy.normalization_form), f"doc_id bigint, text string, ops array<{operations.OP}>")
         rows = rows.filter(~needs).unionByName(done)
     rows = rows.withColumn("ops", F.coalesce("ops", F.array().cast(f"array<{operations.OP}>")))

@@ -54,7 +54,7 @@ def scored(rows: DataFrame, scorer: Scorer, threshold: float, limits: tuple[floa
     """Candidates with valid, risk and target_met; a scorer runs on what the cheap gates let through."""
     valid = (F.col("char_ratio") <= limits[0]) & (F.col("drift") <= limits[1])
     r = rows.withColumn("valid", valid).withColumn("risk", F.when(valid, scorer(F.col("result"))))
-    return r.withColumns({"target_met": F.coalesce(F.col("risk") < threshold, F.lit(False)), "token_ratio": F.col("char_ratio"), "model_calls": F.lit(0), "detector_queries": F.lit(1), "cost_usd": F.lit(0.0), "n_ops": F.lit(1)})
+    return r.withColumns({"target_met": F.coalesce(F.col("risk") <= threshold, F.lit(False)), "token_ratio": F.col("char_ratio"), "model_calls": F.lit(0), "detector_queries": F.lit(1), "cost_usd": F.lit(0.0), "n_ops": F.lit(1)})
 
 
 def one_shot(docs: DataFrame, options: DataFrame, scorer: Scorer, threshold: float) -> DataFrame:

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkwell.operators.voice import ngrams
+
 #: What a candidate is better by when smaller (skyline).
 COSTS = ("risk", "char_ratio", "token_ratio", "drift", "model_calls", "detector_queries", "cost_usd")
 
@@ -90,10 +92,7 @@ def bigram_divergence(a: str, b: str) -> Column:
 
 
 def _bigrams(text: Column) -> Column:
-    words = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+"), 0)
-    return F.when(F.size(words) < 2, F.array().cast("array<string>")).otherwise(
-        F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda i: F.concat_ws(" ", F.get(words, i - 1), F.get(words, i))))
-    )
+    return ngrams(text, 2)
 
 
 def rewrite_gate(texts: Iterator[str]) -> list[bool]:

@@ -94,9 +94,11 @@ def sample(text: Column, most: int = 60_000) -> Column:
 
 
 def ngrams(text: Column, n: int) -> Column:
-    """The distinct n-grams of lower-cased words."""
-    w = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+"), 0)
-    return F.when(F.size(w) < n, F.array().cast("array<string>")).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " "))))
+    """The distinct n-grams of lower-cased words. The words are bound once: a lambda's own expressions run for each element."""
+    words = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+"), 0)
+    gram = lambda w: lambda i: F.array_join(F.slice(w, i, n), " ")
+    of = lambda w: F.when(F.size(w) < n, F.array().cast("array<string>")).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), gram(w))))
+    return F.get(F.transform(F.array(words), of), F.lit(0))
 
 
 def shared_ngrams(docs: DataFrame, items: DataFrame, n: int = 8) -> DataFrame:

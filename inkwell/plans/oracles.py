@@ -104,7 +104,10 @@ def oracle_sql() -> dict[str, str]:
             SELECT key, CASE WHEN contains(line, 'Claude') THEN 'unsigned_ai_metadata' ELSE 'embedded_metadata' END AS kind, count(*) AS n FROM k WHERE key IN ('author', 'creation_date', 'tool') GROUP BY ALL""",
         "frontmatter_clean": f"""WITH f AS ({q._FRONTED}) SELECT doc_id, sha256(CASE doc_id % 3 WHEN 0 THEN '---' || chr(10) || 'topic: x' || chr(10) || '---' || chr(10) || body WHEN 1 THEN body
             ELSE '---' || chr(10) || 'topic: y' || chr(10) || '---' || chr(10) || body END) AS sha256 FROM f""",
-        "budget_admission": "SELECT event_id, CAST(sum(c) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS spent, sum(c) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) <= 200 AS admitted FROM (SELECT *, CAST(round(abs(value)) AS BIGINT) AS c FROM events)",
+        "budget_admission": """WITH RECURSIVE e AS (SELECT event_id, user_id, CAST(round(abs(value)) AS BIGINT) AS c, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+            f AS (SELECT event_id, user_id, k, c <= 200 AS admitted, CASE WHEN c <= 200 THEN c ELSE 0 END AS spent FROM e WHERE k = 1
+            UNION ALL SELECT e.event_id, e.user_id, e.k, f.spent + e.c <= 200, CASE WHEN f.spent + e.c <= 200 THEN f.spent + e.c ELSE f.spent END FROM f JOIN e ON e.user_id = f.user_id AND e.k = f.k + 1)
+            SELECT event_id, CAST(spent AS BIGINT) AS spent, admitted FROM f""",
         "event_sequence": "SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS sequence FROM events",
         "event_rates": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS hour, event_type, count(*) AS n FROM events GROUP BY ALL",
         "rejection_tally": f"WITH c AS ({candidates}) SELECT CASE WHEN NOT valid THEN 'fidelity' WHEN NOT target_met THEN 'target' ELSE 'none' END AS reason, count(*) AS n, min(risk) AS best_risk FROM c GROUP BY ALL",
@@ -112,7 +115,7 @@ def oracle_sql() -> dict[str, str]:
         "ops_validate": """WITH e AS (SELECT doc_id, text, length(text) AS n, unnest(range(4)) AS i FROM documents),
             o AS (SELECT doc_id, text, n, CASE WHEN i = 3 THEN n + 1 ELSE i * 5 END AS s, CASE WHEN i = 1 THEN 12 WHEN i = 3 THEN n + 2 ELSE i * 5 + 2 END AS e FROM e),
             l AS (SELECT *, lag(e) OVER (PARTITION BY doc_id ORDER BY s, e) AS b FROM o),
-            r AS (SELECT doc_id, s, e, CASE WHEN e > n THEN 'out_of_bounds' WHEN substr(text, s + 1, e - s) = '~' THEN 'no_op' WHEN b > s THEN 'overlap' END AS reason FROM l)
+            r AS (SELECT doc_id, s, e, CASE WHEN e > n THEN 'out_of_bounds' WHEN b > s THEN 'overlap' END AS reason FROM l)
             SELECT doc_id, CAST(s AS INTEGER) AS start, CAST(e AS INTEGER) AS "end", reason FROM r WHERE reason IS NOT NULL""",
         "stagnation": f"""WITH c AS ({candidates}), b AS (SELECT doc_id, CAST(idx AS INTEGER) AS round, risk, min(risk) OVER (PARTITION BY doc_id ORDER BY idx) AS best FROM c),
             f AS (SELECT *, min(round) OVER (PARTITION BY doc_id, best) AS since FROM b) SELECT doc_id, round, risk, best, CAST(round - since AS INTEGER) AS stagnant FROM f""",
@@ -126,10 +129,10 @@ def oracle_sql() -> dict[str, str]:
         "config_precedence": f"""WITH r AS (SELECT 'k' || (o_orderkey % 50) AS key, {layers}[o_orderkey % 7 % 6 + 1] AS layer, count(*) AS value FROM orders GROUP BY ALL)
             SELECT key, value, layer FROM r QUALIFY row_number() OVER (PARTITION BY key ORDER BY list_position({layers}, layer)) = 1""",
         "target_states": f"""WITH c AS ({candidates}), m AS (SELECT ['verify_below_threshold', 'relative_reduction', 'minimize_surrogate', 'stress_test'][doc_id % 4 + 1] AS mode, CASE WHEN idx % 2 = 0 THEN 'surrogate' ELSE 'named' END AS kind, risk FROM c)
-            SELECT mode, kind, CASE mode WHEN 'verify_below_threshold' THEN kind <> 'surrogate' AND risk < 0.5 WHEN 'relative_reduction' THEN 0.75 - risk > 0 AND 0.75 - risk >= 0.125
+            SELECT mode, kind, CASE mode WHEN 'verify_below_threshold' THEN kind <> 'surrogate' AND risk <= 0.5 WHEN 'relative_reduction' THEN 0.75 - risk > 0 AND 0.75 - risk >= 0.125
             WHEN 'minimize_surrogate' THEN kind = 'surrogate' AND 0.75 - risk > 0.125 ELSE false END AS met, count(*) AS n FROM m GROUP BY ALL""",
         "one_shot_select": f"""WITH {options}, c AS (SELECT doc_id, result, least(1.0::DOUBLE, greatest(length(a), length(b)) / CAST(length(text) AS DOUBLE)) AS cr, abs(length(result) - length(text)) / CAST(length(text) AS DOUBLE) AS dr, {risk('result')} AS risk FROM made)
-            SELECT doc_id, sha256(result) AS sha256, risk, risk < 50 AS target_met FROM c WHERE cr <= 0.2 AND dr <= 0.1
-            QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN risk < 50 THEN 0 ELSE 1 END, round(cr, 6), round(dr, 6), risk, sha256(result)) = 1""",
+            SELECT doc_id, sha256(result) AS sha256, risk, risk <= 50 AS target_met FROM c WHERE cr <= 0.2 AND dr <= 0.1
+            QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN risk <= 50 THEN 0 ELSE 1 END, round(cr, 6), round(dr, 6), risk, sha256(result)) = 1""",
     }
 
