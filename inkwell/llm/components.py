@@ -7,6 +7,7 @@ the number of rounds grows with the logarithm of the longest path.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +17,9 @@ from pyspark.sql import functions as F
 
 from inkwell.llm.common import discard, materialize
 
+#: Edges that one task joins to parts in memory (16 bytes each).
+EDGES = 1 << 18
+
 
 def _mark(edges: DataFrame) -> tuple[int, int]:
     r = edges.agg(F.count(F.lit(1)).alias("n"), F.expr("bit_xor(xxhash64(a, b))").alias("x")).first()
@@ -23,11 +27,14 @@ def _mark(edges: DataFrame) -> tuple[int, int]:
 
 
 def _local_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Replace a batch's edges by stars to the smallest node of each part: fewer edges, same components."""
-    for batch in batches:
-        a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        nodes, inverse = np.unique(np.concatenate((a, b)), return_inverse=True)
-        x, y = inverse[: len(a)], inverse[len(a) :]
+    """Replace up to EDGES edges by stars to the smallest node of each part: fewer edges, same components."""
+    held: list[np.ndarray] = []
+
+    def forest() -> pa.RecordBatch:
+        ends = np.concatenate(held, axis=1)
+        held.clear()
+        nodes, inverse = np.unique(ends, return_inverse=True)
+        x, y = inverse.reshape(ends.shape)
         label = np.arange(len(nodes))
         while True:  # smallest label over edges, then pointer jumping
             before = label.copy()
@@ -39,7 +46,14 @@ def _local_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             if np.array_equal(before, label):
                 break
         far = label != np.arange(len(nodes))
-        yield pa.RecordBatch.from_arrays([pa.array(nodes[far]), pa.array(nodes[label[far]])], ["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(nodes[far]), pa.array(nodes[label[far]])], ["a", "b"])
+
+    for batch in batches:
+        held.append(np.stack((batch.column(0).to_numpy(), batch.column(1).to_numpy())))
+        if sum(x.shape[1] for x in held) >= EDGES:
+            yield forest()
+    if held:
+        yield forest()
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -49,7 +63,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
     a, b = edges.columns[:2]
     e = edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).filter("a is not null and b is not null and a <> b")
-    e = materialize(e.mapInArrow(_local_forest, "a bigint, b bigint").distinct(), "edges")
+    links = materialize(e, "links")
+    parts = max(1, math.ceil(links.count() / EDGES))  # so that a task's links are many of the same nodes
+    e = materialize(links.coalesce(parts).mapInArrow(_local_forest, "a bigint, b bigint").distinct(), "edges")
+    discard(links)
     mark = _mark(e)
     for _ in range(max_rounds):
         if not mark[0]:
