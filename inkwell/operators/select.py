@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+import os
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -64,6 +65,33 @@ def similarity(a: str, b: str) -> float:
     return difflib.SequenceMatcher(None, a, b, autojunk=False).ratio()
 
 
+def _longest_common(a: str, b: str) -> int:
+    """Length of the longest common subsequence; one bit for each character of b, so len(a) steps over words of 64."""
+    masks: dict[str, int] = {}
+    for i, c in enumerate(b):
+        masks[c] = masks.get(c, 0) | (1 << i)
+    full = (1 << len(b)) - 1
+    row = full
+    for c in a:
+        hit = row & masks.get(c, 0)
+        row = ((row + hit) | (row - hit)) & full
+    return len(b) - row.bit_count()
+
+
+def is_alike(a: str, b: str, least: float) -> bool:
+    """similarity(a, b) >= least. Matching blocks hold a longest common substring, so a shared prefix or suffix bounds them from below;
+    they form a common subsequence, so its greatest length bounds them from above. Only texts between the bounds are aligned."""
+    total = len(a) + len(b)
+    if a == b or not total:
+        return least <= 1.0
+    ends = max(len(os.path.commonprefix([a, b])), len(os.path.commonprefix([a[::-1], b[::-1]])))
+    if 2.0 * ends / total >= least:
+        return True
+    if 2.0 * min(len(a), len(b)) / total < least or 2.0 * _longest_common(a, b) / total < least:
+        return False
+    return similarity(a, b) >= least
+
+
 def diverse_beam(candidates: DataFrame, width: int, most_alike: float = 0.9, by: str = "doc_id") -> DataFrame:
     """Greedy by key: skip what is too like a chosen text, then fill up with the skipped. candidates: by, text and a position (place) in key order."""
 
@@ -72,7 +100,7 @@ def diverse_beam(candidates: DataFrame, width: int, most_alike: float = 0.9, by:
         texts = t.column("text").to_pylist()
         chosen: list[int] = []
         for i, text in enumerate(texts):
-            if len(chosen) < width and all(similarity(texts[j], text) < most_alike for j in chosen):
+            if len(chosen) < width and not any(is_alike(texts[j], text, most_alike) for j in chosen):
                 chosen.append(i)
         chosen += [i for i in range(len(texts)) if i not in chosen][: max(0, width - len(chosen))]
         return t.take(sorted(chosen))

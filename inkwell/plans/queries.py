@@ -227,7 +227,7 @@ def dedup_by_hash(spark: S, d: str) -> DataFrame:
 
 
 def diverse_beam(spark: S, d: str) -> DataFrame:
-    rows = _docs(spark, d).select("doc_id", F.substring("text", 1, 80).alias("t"), F.explode(F.sequence(F.lit(0), F.lit(4))).alias("place"))
+    rows = _docs(spark, d).select("doc_id", F.col("text").alias("t"), F.explode(F.sequence(F.lit(0), F.lit(4))).alias("place"))
     text = F.when(F.col("place") % 2 == 0, F.col("t")).otherwise(F.concat(F.reverse("t"), F.col("place").cast("string")))
     return select.diverse_beam(rows.select("doc_id", "place", text.alias("text")), 3).select("doc_id", "place")
 

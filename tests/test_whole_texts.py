@@ -1,5 +1,8 @@
 """Registered queries take whole texts, not prefixes."""
 
+import random
+
+from inkwell.operators.select import diverse_beam, is_alike, similarity
 from inkwell.plans import queries
 
 
@@ -11,3 +14,22 @@ def test_what_stands_late_in_a_text_counts(spark, tmp_path):
     assert kinds["heading"] == 3  # two titles and the late one
     clipped = queries.regions_clipped(spark, str(tmp_path)).filter("doc_id = 1").collect()
     assert max(r.end for r in clipped) > 1000
+
+
+def test_bounds_decide_likeness_as_the_alignment_does():
+    r = random.Random(3)
+    for _ in range(3000):
+        a = "".join(r.choices("abc", k=r.randint(0, 14)))
+        b = a[::-1] if r.random() < 0.2 else a
+        for _ in range(r.randint(0, 3)):
+            i = r.randint(0, len(b))
+            b = b[:i] + "".join(r.choices("abc", k=r.randint(0, 2))) + b[i + r.randint(0, 1) :]
+        for least in (0.5, 0.9, 1.0):
+            assert is_alike(a, b, least) == (similarity(a, b) >= least), (a, b, least)
+
+
+def test_beam_reads_what_stands_late(spark):
+    same = "ab" * 100
+    rows = [(1, 0, same + "x" * 100), (1, 1, same + "y" * 100), (1, 2, same + "x" * 99 + "z"), (1, 3, "q" * 300), (2, 0, ""), (2, 1, "")]
+    got = diverse_beam(spark.createDataFrame(rows, "doc_id long, place int, text string"), 3).collect()
+    assert sorted((r.doc_id, r.place) for r in got) == [(1, 0), (1, 1), (1, 3), (2, 0), (2, 1)]
