@@ -150,7 +150,8 @@ def near_links(fps: DataFrame, distance: int = 3, bucket: int = BUCKET) -> DataF
     if not 0 <= distance <= 3:
         raise ValueError("two segments find up to three differing bits")
     out = None
-    rows = fps
+    # A row becomes 64 keys, so few bytes are dealt to all tasks before (a stated number is not coalesced).
+    rows = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
     for level in (1, 2, 3):
         keys = [f"b{i}" for i in range(1, level + 1)]
         keyed = _variants(rows, level)
