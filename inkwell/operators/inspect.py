@@ -1,8 +1,8 @@
 """Hidden and unusual characters: findings with script-aware verdicts.
 
-A document with nothing notable costs one regular expression; only the others
-are exploded into code points, and only their notable ones are classified. All
-of it stays in the JVM. Context (emoji neighbours, scripts within 12 or 40 code
+A document with nothing notable costs one regular expression; the others are
+cut at each notable code point, and only these are classified. All of it
+stays in the JVM. Context (emoji neighbours, scripts within 12 or 40 code
 points) is read from the text around an offset, so no window or shuffle is
 needed and findings keep the documents' partitioning.
 """
@@ -102,13 +102,34 @@ def verdict(char: Column, text: Column, offset: Column, policy: UnicodePolicy) -
     return out
 
 
+def carriers(text: Column) -> Column:
+    """The notable code points of a text in their order: array of struct(offset, char).
+
+    The text goes by blocks of 512 code points, which bounds what the running
+    sum of lengths copies; a block without a notable code point costs one
+    regular expression.
+    """
+    kind = "array<struct<offset:int,char:string>>"
+    one = ucd.notable_pattern()
+    none = F.array().cast(kind)
+
+    def step(seen, piece):  # a carrier stands behind each piece but the last
+        return F.concat(seen, F.array(F.coalesce(F.try_element_at(seen, F.lit(-1)) + 1, F.lit(0)) + F.length(piece)))
+
+    def of_block(block, k):
+        places = F.transform(F.array(F.split(block, one, -1)), lambda p: F.aggregate(F.slice(p, F.lit(1), F.size(p) - 1), F.array().cast("array<int>"), step))
+        found = F.zip_with(F.get(places, F.lit(0)), F.regexp_extract_all(block, F.lit(one), 0), lambda at, c: F.struct((at + k * 512).alias("offset"), c.alias("char")))
+        return F.when(block.rlike(one), found).otherwise(none)
+
+    blocks = F.regexp_extract_all(text, F.lit("(?s).{1,512}"), 0)
+    return F.when(text.rlike(one), F.flatten(F.transform(blocks, of_block))).otherwise(none)
+
+
 def findings(docs: DataFrame, policy: UnicodePolicy | None = None) -> DataFrame:
     """doc_id, offset, codepoint, char, kind, severity, removable, replacement, protected_by (carriers; not confusables)."""
     policy = policy or UnicodePolicy()
-    some = docs.filter(F.col("text").rlike(f"[{ucd.notable_class()}]")).select("doc_id", "text")
-    placed = F.transform(F.split("text", ""), lambda c, i: F.struct(i.alias("offset"), c.alias("char")))
-    notable = F.filter(placed, lambda x: ~x["char"].between(" ", "~") & x["char"].rlike(f"^[{ucd.notable_class()}]$"))  # before the explode, which repeats the text
-    chars = some.select("doc_id", "text", F.explode(notable).alias("c")).select("doc_id", "text", "c.*")
+    some = docs.filter(F.col("text").rlike(ucd.notable_pattern())).select("doc_id", "text")
+    chars = some.select("doc_id", "text", F.explode(carriers(F.col("text"))).alias("c")).select("doc_id", "text", "c.*")
     judged = chars.withColumn("v", verdict(F.col("char"), F.col("text"), F.col("offset"), policy))
     return judged.filter("v is not null").select("doc_id", "offset", F.ascii("char").alias("codepoint"), "char", "v.*")
 

@@ -20,10 +20,10 @@ def collect(edits: DataFrame) -> DataFrame:
 def apply(text: str | Column, ops: str | Column) -> Column:
     """The text with its sorted operations carried out."""
     t, o = (F.col(c) if isinstance(c, str) else c for c in (text, ops))
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-    step = lambda a, x: F.struct(F.concat(a["out"], F.substring(t, a["at"] + 1, x["start"] - a["at"]), x["text"]).alias("out"), x["end"].alias("at"))
-    done = F.aggregate(o, start, step)
-    return F.when(o.isNull() | (F.size(o) == 0), t).otherwise(F.concat(done["out"], F.substring(t, done["at"] + 1, F.length(t))))
+    end_of = lambda i: F.coalesce(F.get(o, i)["end"], F.lit(0))
+    part = lambda x, i: F.concat(F.substring(t, end_of(i - 1) + 1, x["start"] - end_of(i - 1)), x["text"])
+    done = F.concat(F.array_join(F.transform(o, part), ""), F.substring(t, end_of(F.size(o) - 1) + 1, F.length(t)))
+    return F.when(o.isNull() | (F.size(o) == 0), t).otherwise(done)
 
 
 def invert(text: str | Column, ops: str | Column) -> Column:

@@ -8,11 +8,11 @@ through untouched and never reach Python.
 
 from __future__ import annotations
 
+import re
 import unicodedata
-from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkwell.functions import ucd
@@ -20,52 +20,75 @@ from inkwell.operators import inspect, operations, structure
 
 #: What a form can change: NFC nothing of Latin-1, NFKC nothing of ASCII.
 _BEYOND = {"NFC": r"[^\x00-\x{FF}]", "NFKC": r"[^\x00-\x7F]"}
+#: The same for Python: runs of such characters behind the one they may belong to.
+_RUNS = {"NFC": re.compile(r"[\x00-\xFF]?[^\x00-\xFF]+"), "NFKC": re.compile(r"[\x00-\x7F]?[^\x00-\x7F]+")}
 
 
 def clusters(text: str, form: str, held: list[tuple[int, int]], edits: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-    """Compose clusters (a character and its combining marks) after the edits inside them; sorted operations."""
+    """Compose clusters (a character and its combining marks) after the edits inside them; sorted operations.
+
+    Only runs of characters that the form can change, with the character before
+    each, are walked; edits elsewhere go on as they are.
+    """
     out: list[tuple[int, int, str]] = []
-    todo = sorted(edits)
-    at = k = 0
-    n = len(text)
-    while at < n:
-        end = at + 1
-        while end < n and unicodedata.combining(text[end]):
-            end += 1
-        mine = []
-        while k < len(todo) and todo[k][0] < end:
-            mine.append(todo[k])
+    todo, spans = sorted(edits), sorted(held)
+    k = s = 0
+    for run in _RUNS[form].finditer(text):
+        at, last = run.span()
+        while k < len(todo) and todo[k][0] < at:
+            out.append(todo[k])
             k += 1
-        source = text[at:end]
-        if any(a < end and at < b for a, b in held) or unicodedata.is_normalized(form, source):
-            out += mine
-        else:
-            clean, place = [], at
-            for a, b, t in mine:
-                clean += [text[place:a], t]
-                place = b
-            composed = unicodedata.normalize(form, "".join([*clean, text[place:end]]))
-            if composed != source:
-                out.append((at, end, composed))
-        at = end
-    return out
+        while at < last:
+            end = at + 1
+            while end < last and unicodedata.combining(text[end]):
+                end += 1
+            mine = []
+            while k < len(todo) and todo[k][0] < end:
+                mine.append(todo[k])
+                k += 1
+            while s < len(spans) and spans[s][1] <= at:
+                s += 1
+            source = text[at:end]
+            if any(a < end and at < b for a, b in spans[s : s + 1]) or unicodedata.is_normalized(form, source):
+                out += mine
+            else:
+                clean, place = [], at
+                for a, b, t in mine:
+                    clean += [text[place:a], t]
+                    place = b
+                composed = unicodedata.normalize(form, "".join([*clean, text[place:end]]))
+                if composed != source:
+                    out.append((at, end, composed))
+            at = end
+    return out + todo[k:]
 
 
 def _compose(form: str):
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("text", pa.string())]))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for text, ops, held in zip(*(batch.column(c).to_pylist() for c in ("text", "ops", "held")), strict=True):
-                edits = [(o["start"], o["end"], o["text"]) for o in ops or ()]
-                spans = [(h["start"], h["end"]) for h in held or ()]
-                out.append([dict(zip(("start", "end", "text"), c, strict=True)) for c in clusters(text, form, spans, edits)])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array(out, kind)], ["doc_id", "text", "ops"])
+    @F.arrow_udf(f"array<{operations.OP}>")
+    def run(text: pa.Array, ops: pa.Array, held: pa.Array) -> pa.Array:
+        out = []
+        for t, changes, kept in zip(text, ops.to_pylist(), held.to_pylist(), strict=True):
+            if not t.is_valid:
+                out.append(None)
+                continue
+            done = clusters(t.as_py(), form, [(h["start"], h["end"]) for h in kept or ()], [(o["start"], o["end"], o["text"]) for o in changes or ()])
+            out.append([dict(zip(("start", "end", "text"), c, strict=True)) for c in done])
+        return pa.array(out, kind)
 
     return run
 
 
+def carrier_ops(text: Column, policy: inspect.UnicodePolicy) -> Column:
+    """The sorted carrier edits of a text, without protected spans; no shuffle, no join."""
+    if not policy.mutates:
+        return F.array().cast(f"array<{operations.OP}>")
+    judged = F.transform(inspect.carriers(text), lambda x: F.struct(x["offset"].alias("at"), inspect.verdict(x["char"], text, x["offset"], policy).alias("v")))
+    wanted = F.filter(judged, lambda x: F.coalesce(x["v"]["removable"] & x["v"]["replacement"].isNotNull(), F.lit(False)))
+    return F.transform(wanted, lambda x: F.struct(x["at"].alias("start"), (x["at"] + 1).alias("end"), x["v"]["replacement"].alias("text")))
+
+
 def edits(docs: DataFrame, policy: inspect.UnicodePolicy | None = None, held: DataFrame | None = None) -> DataFrame:
     """doc_id, start, end, text, operator of every carrier edit outside protected spans."""
     policy = policy or inspect.UnicodePolicy()
@@ -83,17 +106,24 @@ def blocked(docs: DataFrame, held: DataFrame, policy: inspect.UnicodePolicy | No
 
 
 def sanitize(docs: DataFrame, policy: inspect.UnicodePolicy | None = None, held: DataFrame | None = None) -> DataFrame:
-    """doc_id, text, ops, clean, edit_ratio, length_drift of every document."""
+    """doc_id, text, ops, clean, edit_ratio, length_drift of every document.
+
+    Without protected spans each row is done where it stands; with them, the
+    edits and spans of a document meet its text in one shuffle on doc_id.
+    """
     policy = policy or inspect.UnicodePolicy()
-    base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    ops = operations.collect(edits(base, policy, held))
-    rows = base.join(ops, "doc_id", "left")
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    if held is None:
+        rows = rows.withColumns({"ops": carrier_ops(F.col("text"), policy), "held": F.lit(None).cast("array<struct<start:int,end:int>>")})
+    else:
+        place = F.struct(F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"))
+        ops, spans = operations.collect(edits(rows, policy, held)), held.groupBy("doc_id").agg(F.collect_list(place).alias("held"))
+        rows = rows.join(ops, "doc_id", "left").join(spans, "doc_id", "left")
     if policy.mutates and policy.normalization_form != "none":
-        spans = (held if held is not None else base.select("doc_id", F.lit(0).alias("start"), F.lit(0).alias("end")).limit(0)).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("held"))
         needs = F.col("text").rlike(_BEYOND[policy.normalization_form])
-        done = rows.filter(needs).join(spans, "doc_id", "left").mapInArrow(_compose(policy.normalization_form), f"doc_id bigint, text string, ops array<{operations.OP}>")
-        rows = rows.filter(~needs).unionByName(done)
-    rows = rows.withColumn("ops", F.coalesce("ops", F.array().cast(f"array<{operations.OP}>")))
+        composed = _compose(policy.normalization_form)(F.when(needs, F.col("text")), F.when(needs, F.col("ops")), F.when(needs, F.col("held")))
+        rows = rows.withColumn("ops", F.coalesce(composed, "ops"))
+    rows = rows.withColumn("ops", F.coalesce("ops", F.array().cast(f"array<{operations.OP}>"))).drop("held")
     rows = rows.withColumn("clean", operations.apply("text", "ops"))
     return rows.withColumns({"edit_ratio": operations.edit_ratio("text", "ops"), "length_drift": operations.length_drift("text", "clean")})
 
