@@ -26,34 +26,38 @@ def _mark(edges: DataFrame) -> tuple[int, int]:
     return r["n"], r["x"] or 0
 
 
-def _local_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Replace up to EDGES edges by stars to the smallest node of each part: fewer edges, same components."""
-    held: list[np.ndarray] = []
+def forest(ends: np.ndarray) -> np.ndarray:
+    """Edges (two rows of ends) that join each node to the smallest one of its part: fewer edges, same components."""
+    nodes, inverse = np.unique(ends, return_inverse=True)
+    x, y = inverse.reshape(ends.shape)
+    label = np.arange(len(nodes))
+    while True:  # smallest label over edges, then pointer jumping
+        before = label.copy()
+        low = np.minimum(label[x], label[y])
+        np.minimum.at(label, x, low)
+        np.minimum.at(label, y, low)
+        np.minimum.at(label, before, label)
+        label = label[label]
+        if np.array_equal(before, label):
+            break
+    far = label != np.arange(len(nodes))
+    return np.stack((nodes[far], nodes[label[far]]))
+
 
-    def forest() -> pa.RecordBatch:
-        ends = np.concatenate(held, axis=1)
-        held.clear()
-        nodes, inverse = np.unique(ends, return_inverse=True)
-        x, y = inverse.reshape(ends.shape)
-        label = np.arange(len(nodes))
-        while True:  # smallest label over edges, then pointer jumping
-            before = label.copy()
-            low = np.minimum(label[x], label[y])
-            np.minimum.at(label, x, low)
-            np.minimum.at(label, y, low)
-            np.minimum.at(label, before, label)
-            label = label[label]
-            if np.array_equal(before, label):
-                break
-        far = label != np.arange(len(nodes))
-        return pa.RecordBatch.from_arrays([pa.array(nodes[far]), pa.array(nodes[label[far]])], ["a", "b"])
+def edge_batch(ends: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(ends[0]), pa.array(ends[1])], ["a", "b"])
 
+
+def _local_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Replace up to EDGES edges by their forest."""
+    held: list[np.ndarray] = []
     for batch in batches:
         held.append(np.stack((batch.column(0).to_numpy(), batch.column(1).to_numpy())))
         if sum(x.shape[1] for x in held) >= EDGES:
-            yield forest()
+            yield edge_batch(forest(np.concatenate(held, axis=1)))
+            held.clear()
     if held:
-        yield forest()
+        yield edge_batch(forest(np.concatenate(held, axis=1)))
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

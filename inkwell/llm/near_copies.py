@@ -8,25 +8,26 @@ words is then some 0.8). Words, not word shingles: a changed word takes one term
 and not five, which keeps edited copies close. Unrelated texts of one language
 agree in 0.65 of the bits at most on the test tables.
 
-The fingerprint is cut into twelve segments of 21 or 22 bits; each distinct
-fingerprint is indexed under every segment with one wildcard, and fingerprints
-that share a variant are verified on all bits. Up to 23 differing bits (0.91)
-some segment differs by at most one, so no pair is missed; beyond, a pair is
-missed if every segment differs by two or more: ``chance_of_missing`` gives it
-(0.01 at 32 bits, 0.06 at 36, 0.15 at 40, 0.28 at 44, 0.52 at 51, for a pair without
-a third text between them).
-Segments cannot be both few and certain at that distance: certainty at 51 bits
-takes 26 segments of ten bits, which unrelated texts share by the thousand.
+The fingerprint is cut into twelve segments of 21 or 22 bits. Fingerprints that
+share a segment are verified on all bits and linked first, which joins nearly all
+of a group of copies. Then each distinct fingerprint is indexed under every segment with one wildcard,
+and members of different components that share a variant are verified on all bits.
 Some segments are matched at a time: fingerprints are sorted by variant, and a
-task links the members of a key.
-
-The members of a key with more than ``BUCKET`` are linked in blocks as they
-come, and components are taken. A key whose members are all of one component is
-done. Of any other, the members outside its largest component are dealt into
-blocks that meet each other and every block of the largest one, so each two
-members of different components are compared, whatever the key's size; a task
-holds two blocks. Nothing is capped or dropped. Links join a component's members in a task to one
-of them; they need not be near copies of that one themselves.
+task links the members of a key, up to ``BUCKET`` of them at once.
+
+Up to 23 differing bits (0.91) some segment differs by at most one, so the pair
+shares a variant; beyond, it shares none if every segment differs by two or more:
+``chance_of_missing`` gives it (0.01 at 32 bits, 0.06 at 36, 0.15 at 40, 0.28 at
+44, 0.52 at 51). No segments are both few and certain at that distance: certainty
+at 51 bits takes 26 segments of ten bits, which unrelated texts share by the
+thousand. So all distinct fingerprints then meet block by block, and every two
+of different components are compared: pairs without a shared variant and members of crowded
+keys that came in different lots. No link is missed at any distance. Nothing is capped
+or dropped. This takes a time that grows with the square of the distinct
+fingerprints (some 0.3 billion pairs a second and core), and in memory two blocks a task.
+
+Links join components as found so far by their smallest members; members of a
+component need not be near copies of that one themselves.
 
 Defined results: null texts and texts without words share the zero
 fingerprint; rows with one id are one document; rows without an id take no part
@@ -44,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkwell.llm.common import NUMBER_ROWS, TEXT_ROWS, batch_rows, by_bytes, discard, materialize, with_text, worker_state
-from inkwell.llm.components import connected_components
+from inkwell.llm.components import EDGES, connected_components, edge_batch, forest
 from inkwell.llm.substrings import Hasher
 
 BITS = 256
@@ -52,6 +53,9 @@ SEGMENTS = 12
 #: Bits that may differ: a fifth.
 DISTANCE = BITS // 5
 BUCKET = 4096
+#: Fingerprints of a block in the last step (48 bytes each), and blocks that even a small table is dealt into.
+BLOCK = 1 << 18
+SPREAD = 12
 #: Keys of up to so many members are compared together.
 FEW = 16
 #: Segments that are matched in one pass; their variants are on disk together.
@@ -102,7 +106,10 @@ class WideHasher:
 
 
 def chance_of_missing(bits: int) -> float:
-    """The chance that two fingerprints which differ in so many places, at random, differ by two or more in every segment."""
+    """The chance that two fingerprints which differ in so many places, at random, differ by two or more in every segment.
+
+    Such pairs share no variant and are left to the comparison of all.
+    """
     sizes = [b - a for a, b in zip(_CUTS, _CUTS[1:], strict=False)]
     ways = [1]  # ways[d]: placements of d differing bits in the segments so far, two or more in each
     for size in sizes:
@@ -139,6 +146,12 @@ def _segment(number: int):
     return bits.bitwiseAND(F.lit((1 << (end - begin)) - 1)), end - begin
 
 
+def _exact(rows: DataFrame) -> DataFrame:
+    """rows under the values (k) of all their segments."""
+    keys = [F.lit(n << 40).bitwiseOR(_segment(n)[0]) for n in range(SEGMENTS)]
+    return rows.withColumn("k", F.explode(F.array(*keys)))
+
+
 def _variants(rows: DataFrame, numbers: list[int]) -> DataFrame:
     """rows under the one-wildcard variants (k) of some segments."""
     keys = []
@@ -187,45 +200,51 @@ def _stars(fps: np.ndarray, distance: int, chunk: int = 64) -> tuple[list[np.nda
     return a, b
 
 
-def _links(keys: int, distance: int, bucket: int, last: bool):
-    """Reads rows sorted by key and links each key's members; unless last, those of too large a key are linked by blocks and come back (part 1)."""
-    schema = pa.schema([("part", pa.int32()), *((c, pa.int64()) for c in ("a", "b", *_WORDS))])
+class _Found:
+    """Links of a task, held as a forest while they are few."""
+
+    def __init__(self) -> None:
+        self.ends: list[np.ndarray] = []
+        self.held = 0
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        if len(a):
+            self.ends.append(np.stack((a, b)))
+            self.held += len(a)
+
+    def take(self, most: int) -> Iterator[pa.RecordBatch]:
+        """What to hand on when more than so many links are held."""
+        if self.held <= most:
+            return
+        ends = forest(np.concatenate(self.ends, axis=1))
+        self.ends, self.held = [ends], ends.shape[1]
+        if 2 * self.held > most:
+            self.ends, self.held = [], 0
+            yield edge_batch(ends)
+
+
+def _links(distance: int, bucket: int):
+    """Reads k, label and the fingerprint, sorted by key, and links the labels of each key's near members, up to bucket members at once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = np.zeros(0, np.int64)
         fps = np.zeros((0, _N), np.uint64)
-        key, large = None, False
-        found: list[np.ndarray] = []  # two rows: the ends of links
-
-        def links() -> pa.RecordBatch:
-            ends = np.unique(np.sort(np.concatenate(found, 1), axis=0), axis=1)
-            found.clear()
-            n = ends.shape[1]
-            none = pa.nulls(n, pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), pa.array(ends[0]), pa.array(ends[1]), *[none] * _N], schema=schema)
-
-        def back(k: int, ids: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
-            f = fps.view(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(ids), np.int32)), pa.array(np.full(len(ids), k)), pa.array(ids), *(pa.array(np.ascontiguousarray(f[:, i])) for i in range(_N))], schema=schema)
+        key = None
+        found = _Found()
 
         def link(ids: np.ndarray, fps: np.ndarray) -> None:
-            a, b = _stars(fps, distance)
-            if a:
-                found.append(np.stack((ids[np.concatenate(a)], ids[np.concatenate(b)])))
-
-        def close() -> Iterator[pa.RecordBatch]:
-            if len(ids) > 1:
-                link(ids, fps)
-            if large and len(ids):
-                yield back(key[0], ids, fps)
+            if len(ids) > 1 and (ids != ids[0]).any():
+                a, b = _stars(fps, distance)
+                if a:
+                    a, b = ids[np.concatenate(a)], ids[np.concatenate(b)]
+                    found.add(a[a != b], b[a != b])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cols = np.stack([batch.column(i).to_numpy() for i in range(keys)])
-            new_ids = batch.column(keys).to_numpy()
-            new_fps = np.stack([batch.column(keys + 1 + i).to_numpy() for i in range(_N)], 1).view(np.uint64)
-            starts = np.concatenate(([0], np.nonzero((cols[:, 1:] != cols[:, :-1]).any(0))[0] + 1))
+            k, new_ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            new_fps = np.stack([batch.column(2 + i).to_numpy() for i in range(_N)], 1).view(np.uint64)
+            starts = np.concatenate(([0], np.nonzero(k[1:] != k[:-1])[0] + 1))
             ends = np.concatenate((starts[1:], [len(new_ids)]))
             size = ends - starts
             small = (size > 1) & (size <= FEW)
@@ -237,75 +256,128 @@ def _links(keys: int, distance: int, bucket: int, last: bool):
                 if not len(one):
                     break
                 a, b = rows[one], rows[one + lag]
+                apart = new_ids[a] != new_ids[b]
+                a, b = a[apart], b[apart]
                 near = _near(new_fps[a], new_fps[b], distance)
-                if near.any():
-                    found.append(np.stack((new_ids[a[near]], new_ids[b[near]])))
+                found.add(new_ids[a[near]], new_ids[b[near]])
             take = size > FEW
             take[[0, -1]] = True
             for s, e in zip(starts[take].tolist(), ends[take].tolist(), strict=True):
-                now = tuple(cols[:, s].tolist())
-                if now != key:
-                    yield from close()
-                    key, large = now, False
-                    ids, fps = new_ids[s:e], new_fps[s:e]
+                if k[s] != key:
+                    link(ids, fps)
+                    key, ids, fps = k[s], new_ids[s:e], new_fps[s:e]
                 else:
                     ids, fps = np.concatenate((ids, new_ids[s:e])), np.concatenate((fps, new_fps[s:e]))
-                if len(ids) > bucket and not last:
-                    large = True
-                    link(ids, fps)
-                    yield back(key[0], ids, fps)
-                    ids, fps = ids[:0], fps[:0]
-            if sum(f.shape[1] for f in found) > 50_000:
-                yield links()
+                while len(ids) > bucket:
+                    link(ids[:bucket], fps[:bucket])
+                    ids, fps = ids[bucket:], fps[bucket:]
+            yield from found.take(EDGES)
+        link(ids, fps)
+        yield from found.take(0)
+
+    return run
+
+
+def _meet(x: np.ndarray, of_x: np.ndarray, y: np.ndarray, of_y: np.ndarray, distance: int, found: _Found, rows: int = 64, columns: int = 4096) -> Iterator[pa.RecordBatch]:
+    """Links the labels of all near fingerprints of two blocks, or of one (y is x), whose labels differ."""
+    one = y is x
+    order = np.argsort(of_x, kind="stable")  # a component's members stand together, and what is all of one is passed over
+    x, of_x = np.ascontiguousarray(x[order].T), of_x[order]
+    if one:
+        y, of_y = x, of_x
+    else:
+        order = np.argsort(of_y, kind="stable")
+        y, of_y = np.ascontiguousarray(y[order].T), of_y[order]
+    for s in range(0, len(of_x), rows):
+        part, label = x[:, s : s + rows], of_x[s : s + rows]
+        for o in range(s if one else 0, len(of_y), columns):
+            other, labels = y[:, o : o + columns], of_y[o : o + columns]
+            if label[0] == label[-1] == labels[0] == labels[-1]:
+                continue
+            bits = np.bitwise_count(part[0][:, None] ^ other[0][None])
+            for w in range(1, _N - 1):
+                bits += np.bitwise_count(part[w][:, None] ^ other[w][None])
+            if bits.min() > distance:  # nearly always, before the last word
+                continue
+            i, j = np.nonzero(bits <= distance)
+            apart = label[i] != labels[j]
+            i, j = i[apart], j[apart]
+            near = bits[i, j].astype(np.uint16) + np.bitwise_count(part[-1][i] ^ other[-1][j]) <= distance
+            found.add(label[i[near]], labels[j[near]])
+            yield from found.take(EDGES)
+
+
+def _met(distance: int):
+    """Reads i, j, own (the row's block), label and the fingerprint, sorted by i and j, and compares each two blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []  # numbers and fingerprints of the two blocks at hand
+        found = _Found()
+
+        def close() -> Iterator[pa.RecordBatch]:
+            if not held:
+                return
+            numbers, fps = (np.concatenate(x, axis=1) for x in zip(*held, strict=True))
+            held.clear()
+            (i, j), fps = numbers[:2, 0], fps.T
+            first = numbers[2] == i
+            x, of_x = fps[first], numbers[3, first]
+            if i == j:
+                yield from _meet(x, of_x, x, of_x, distance, found)
+            else:
+                yield from _meet(x, of_x, fps[~first], numbers[3, ~first], distance, found)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            numbers = np.stack([batch.column(c).to_numpy() for c in range(4)])
+            fps = np.stack([batch.column(4 + c).to_numpy() for c in range(_N)]).view(np.uint64)
+            cuts = [0, *(np.nonzero((numbers[:2, 1:] != numbers[:2, :-1]).any(0))[0] + 1).tolist(), numbers.shape[1]]
+            for s, e in zip(cuts, cuts[1:], strict=False):
+                if held and (held[-1][0][:2, -1] != numbers[:2, s]).any():
+                    yield from close()
+                held.append((numbers[:, s:e], fps[:, s:e]))
         yield from close()
-        if found:
-            yield links()
+        yield from found.take(0)
 
     return run
 
 
-_OUT = f"part int, a bigint, b bigint, {_DDL}"
+_OUT = "a bigint, b bigint"
 
 
-def _between_components(large: DataFrame, parts: DataFrame, block: int) -> DataFrame:
-    """Members of crowded keys under every pair of blocks (i, j) in which they meet members of other components.
+def _in_blocks(rows: DataFrame, block: int, spread: int = SPREAD) -> DataFrame:
+    """rows (label and the fingerprint) under every pair of blocks (i, j) that holds their own."""
+    n = rows.count()
+    blocks = max(1, math.ceil(n / block), min(spread, math.ceil(n / 512)))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64(*_WORDS), F.lit(blocks)).cast("long"))
+    every = F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))
+    met = rows.withColumn("other", F.explode(every)).withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
+    key = ["i", "j"]
+    return met.select("i", "j", "own", "label", *_WORDS).repartition(blocks * (blocks + 1) // 2, *key).sortWithinPartitions(*key)
 
-    large: k, rep and the fingerprint; parts: node, root. The key's largest
-    component is dealt into blocks -1, -2, ..., all its other members into 0, 1, ...
-    """
-    rows = large.join(parts.hint("merge"), large.rep == parts.node, "left").withColumn("label", F.coalesce("root", "rep"))
-    sizes = rows.groupBy("k", "label").agg(F.count(F.lit(1)).alias("n"))
-    most = F.max(F.struct("n", "label"))
-    keys = sizes.groupBy("k").agg(most["label"].alias("top"), most["n"].alias("t"), (F.sum("n") - most["n"]).alias("m")).filter("m > 0")
-    rows = rows.join(keys.hint("merge"), "k")
-    blocks = lambda n: F.ceil(F.col(n) / block).cast("long")
-    upto = lambda n: F.sequence(F.lit(0).cast("long"), blocks(n) - 1)
-    own = lambda n: F.pmod(F.xxhash64("rep"), blocks(n))
-    pair = lambda i, j: F.struct(i.alias("i"), j.alias("j"))
-    of_top = F.transform(upto("m"), lambda j: pair(-1 - own("t"), j))
-    of_other = F.concat(F.transform(upto("m"), lambda j: pair(F.least(own("m"), j), F.greatest(own("m"), j))), F.transform(upto("t"), lambda i: pair(-1 - i, own("m"))))
-    met = rows.withColumn("p", F.explode(F.when(F.col("label") == F.col("top"), of_top).otherwise(of_other)))
-    key = ["k", "i", "j"]
-    return met.select("k", "p.i", "p.j", "rep", *_WORDS).repartition(*key).sortWithinPartitions(*key)
-
-
-def near_links(classes: DataFrame, distance: int = DISTANCE, bucket: int = BUCKET) -> DataFrame:
-    """a, b: links that connect all near copies among distinct fingerprints which share a variant. classes: rep, f0, f1, ..."""
-    links, large = None, None
-    for first in range(0, SEGMENTS, TOGETHER):
-        numbers = list(range(first, min(first + TOGETHER, SEGMENTS)))
-        keyed = _variants(classes, numbers).select("k", "rep", *_WORDS).repartition("k").sortWithinPartitions("k")
-        found = materialize(keyed.mapInArrow(_links(1, distance, bucket, False), _OUT), "near-links")
-        part = found.filter("part = 0").select("a", "b")
-        links = part if links is None else links.union(part)
-        crowded = found.filter("part = 1").select(F.col("a").alias("k"), F.col("b").alias("rep"), *_WORDS)
-        large = crowded if large is None else large.union(crowded)
-    if not large.isEmpty():
+
+def near_links(classes: DataFrame, distance: int = DISTANCE, bucket: int = BUCKET, block: int = BLOCK) -> DataFrame:
+    """a, b: links that connect all near copies among distinct fingerprints. classes: rep, f0, f1, ..."""
+
+    def matched(keyed: DataFrame) -> DataFrame:
+        keyed = keyed.select("k", "label", *_WORDS).repartition("k").sortWithinPartitions("k")
+        return materialize(keyed.mapInArrow(_links(distance, bucket), _OUT), "near-links")
+
+    def labelled(links: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Components so far as links, and the fingerprints under their component's smallest rep."""
         parts = materialize(connected_components(links), "components")
-        again = _between_components(large, parts, max(1, bucket // 2))
-        links = links.union(materialize(again.mapInArrow(_links(3, distance, bucket, True), _OUT), "near-links").select("a", "b"))
-        discard(parts)
-    return links
+        rows = classes.join(parts.hint("merge"), classes.rep == parts.node, "left")
+        return parts.toDF("a", "b"), materialize(rows.select(F.coalesce("root", "rep").alias("label"), *_WORDS), "labelled")
+
+    links, rows = labelled(matched(_exact(classes.withColumnRenamed("rep", "label"))))
+    for first in range(0, SEGMENTS, TOGETHER):
+        links = links.union(matched(_variants(rows, list(range(first, min(first + TOGETHER, SEGMENTS))))))
+    discard(rows)
+    links, rows = labelled(links)
+    met = materialize(_in_blocks(rows, block).mapInArrow(_met(distance), _OUT), "near-links")
+    discard(rows)
+    return links.union(met)
 
 
 def near_copies(docs: DataFrame, distance: int = DISTANCE, id_col: str = "doc_id", text_col: str = "text", bucket: int = BUCKET) -> DataFrame:

@@ -161,3 +161,34 @@ def test_one_hot_group_is_one_component(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     got = {r.doc_id: r.component_id for r in nc.near_copies(df, bucket=20).collect()}
     assert all(got[i] == 0 for i in range(300)) and all(got[1000 + i] == 1000 + i for i in range(50))
+
+
+@pytest.mark.parametrize("block", [16, nc.BLOCK])
+def test_pairs_without_a_shared_variant_are_found(spark, block):
+    # 2 to 4 differing bits in every segment: no variant is shared, up to the distance itself
+    rng = np.random.default_rng(10)
+    cuts = [nc.BITS * i // nc.SEGMENTS for i in range(nc.SEGMENTS + 1)]
+    fps, pairs = [], []
+    for d in (24, 32, 40, 48, 50, 51, 52, 60):
+        for _ in range(5):
+            f = rng.integers(0, 1 << 63, N, dtype=np.uint64)
+            each = [d // nc.SEGMENTS + (s < d % nc.SEGMENTS) for s in range(nc.SEGMENTS)]
+            places = np.concatenate([rng.choice(np.arange(s, e), c, False) for s, e, c in zip(cuts, cuts[1:], each, strict=False)])
+            pairs.append((len(fps), len(fps) + 1, d <= nc.DISTANCE))
+            fps += [f, flipped(rng, f, places)]
+    assert not any(met(fps[a], fps[b]) for a, b, _ in pairs)
+    label = linked(spark, np.array(fps), block=block)
+    assert [(label[a] == label[b]) == near for a, b, near in pairs] == [True] * len(pairs)
+    assert len(set(label)) == len(fps) - sum(near for *_, near in pairs)
+
+
+def test_links_of_a_hot_group_are_few(spark):
+    # its members share most segments; each step hands on forests, and no links within a component
+    rng = np.random.default_rng(11)
+    f = rng.integers(0, 1 << 63, N, dtype=np.uint64)
+    group = np.unique([flipped(rng, f, rng.choice(nc.BITS, 3, False)) for _ in range(600)], axis=0)
+    rows = [(i, *r) for i, r in enumerate(group.view(np.int64).tolist())]
+    classes = spark.createDataFrame(rows, "rep long, " + ", ".join(f"f{i} long" for i in range(N))).repartition(3)
+    links = nc.near_links(classes)
+    assert links.count() < 2 * len(group)
+    assert {r.a for r in links.collect()} | {r.b for r in links.collect()} == set(range(len(group)))
