@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -75,3 +76,38 @@ def test_merge_and_clip(spark):
     spans = spark.createDataFrame([(1, 2, 4), (1, 8, 12)], "doc_id long, start int, end int")
     got = localize.clip(df, spans).collect()
     assert sorted((x.start, x.end) for x in got) == [(0, 2), (4, 6), (4, 8), (6, 8), (12, 14), (30, 40)] or sorted((x.start, x.end) for x in got) == [(0, 2), (4, 8), (6, 8), (12, 14), (30, 40)]
+
+
+def test_token_limit_is_decided_as_the_blocks_do():
+    r = random.Random(5)
+    for _ in range(4000):
+        a = r.choices("abcde", k=r.randint(0, 12))
+        b = list(a) if r.random() < 0.7 else r.choices("abcde", k=r.randint(0, 12))
+        for _ in range(r.randint(0, 3)):
+            i = r.randint(0, len(b))
+            b[i : i + r.randint(0, 2)] = r.choices("abcde", k=r.randint(0, 2))
+        for most in (0.0, 0.1, 0.25, 0.5, 1.0):
+            assert fidelity.exceeds(a, b, most) == (fidelity.token_ratio(" ".join(a), " ".join(b)) > most), (a, b, most)
+
+
+def test_long_texts_need_no_matching_of_blocks(monkeypatch):
+    text = "the cat, the dog " * 20_000
+    monkeypatch.setattr(fidelity.difflib, "SequenceMatcher", None)  # quadratic on such a text
+    for ops, want in (([(0, 1, "T")], ""), ([(1, 2, "9")], ""), ([(len(text) // 2, len(text), "")], "character edit ratio, token edit ratio, length drift")):
+        assert fidelity.gates_of(text, ops, [(0, len(text))], "text/plain", (0.2, 0.25, 0.1), False)[2][3] == want
+
+
+def test_a_documents_spans_are_found_once(monkeypatch):
+    text, seen = "It cost $5 on 2024-03-05.", []
+    spans_of = structure.spans_of
+    monkeypatch.setattr(structure, "spans_of", lambda *a: seen.append(a) or spans_of(*a))
+    facts = fidelity._Facts(text, "text/plain")
+    got = [fidelity.gates_of(text, [(0, 2, t)], [(0, len(text))], "text/plain", (1, 1, 1), False, facts) for t in ("A", "B")]
+    assert len(seen) == 1 and got[0] == fidelity.gates_of(text, [(0, 2, "A")], [(0, len(text))], "text/plain", (1, 1, 1), False)
+
+
+@pytest.mark.parametrize("mark", ["٣", "7", "www.a.org", "a@b.org", "doi: 10.1234/x", "May 2021", "[١٢]"])
+def test_texts_without_a_pattern_s_marks_are_not_searched(mark):
+    for text in (f"One {mark} two", "One and two"):
+        want = [(a, b, k, n) for k, n, p in structure.PATTERNS for a, b in (m.span() for m in p.finditer(text))]
+        assert structure.spans_of(text) == structure.resolve(want)
