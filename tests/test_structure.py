@@ -111,3 +111,14 @@ def test_texts_without_a_pattern_s_marks_are_not_searched(mark):
     for text in (f"One {mark} two", "One and two"):
         want = [(a, b, k, n) for k, n, p in structure.PATTERNS for a, b in (m.span() for m in p.finditer(text))]
         assert structure.spans_of(text) == structure.resolve(want)
+
+
+def test_tokens_after_edits_are_those_of_the_whole_text():
+    r = random.Random(9)
+    for _ in range(3000):
+        text = "".join(r.choices("ab,. \n é", k=r.randint(0, 14)))
+        s = r.randint(0, len(text))
+        e = r.randint(s, len(text))
+        result = text[:s] + "".join(r.choices("ab, ", k=r.randint(0, 3))) + text[e:]
+        assert fidelity._Facts(text, "text/plain").tokens_of(result, s, e) == fidelity.TOKEN.findall(result), (text, s, e, result)
+    assert fidelity.gates_of("one", [(0, 1, "\ud800")], [(0, 3)], "text/plain", (1, 1, 1), False) == [(fidelity.GATES[0], "failed", True, "not encodable")]
