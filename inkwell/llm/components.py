@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import discard, materialize
+from inkwell.llm.common import discard, lean, materialize
 
 #: Edges that one task joins to parts in memory (16 bytes each).
 EDGES = 1 << 18
@@ -48,6 +48,7 @@ def edge_batch(ends: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(ends[0]), pa.array(ends[1])], ["a", "b"])
 
 
+@lean
 def _local_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Replace up to EDGES edges by their forest."""
     held: list[np.ndarray] = []

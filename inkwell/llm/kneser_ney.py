@@ -51,7 +51,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import TEXT_ROWS, batch_rows, discard, materialize, worker_state
+from inkwell.llm.common import TEXT_ROWS, batch_rows, discard, lean, materialize, worker_state
 
 ORDER = 5
 START, END = "\x02", "\x03"
@@ -119,6 +119,7 @@ def _string_keys(grams: list[str], size: int) -> np.ndarray:
 def gram_counts(texts: DataFrame, flush_units: int = 50_000) -> DataFrame:
     """g, c: the full-order n-grams of all texts (column text)."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_state("kneser-ney")
         counts: Counter = Counter()
@@ -274,6 +275,7 @@ class Model:
 
 
 def _scoring(shard, names: list[str], memo_units: int = 150_000):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_state("kneser-ney")
         model: Shard = shard.value

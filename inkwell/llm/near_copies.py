@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import NUMBER_ROWS, TEXT_ROWS, batch_rows, by_bytes, discard, materialize, with_text, worker_state
+from inkwell.llm.common import NUMBER_ROWS, TEXT_ROWS, batch_rows, by_bytes, discard, lean, materialize, with_text, worker_state
 from inkwell.llm.components import EDGES, connected_components, edge_batch, forest
 from inkwell.llm.substrings import Hasher
 
@@ -124,6 +124,7 @@ def chance_of_missing(bits: int) -> float:
 def wide_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, f0..f3."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_state("near-copies")
         hasher = WideHasher()
@@ -226,6 +227,7 @@ class _Found:
 def _links(distance: int, bucket: int):
     """Reads k, label and the fingerprint, sorted by key, and links the labels of each key's near members, up to bucket members at once."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = np.zeros(0, np.int64)
         fps = np.zeros((0, _N), np.uint64)
@@ -310,6 +312,7 @@ def _meet(x: np.ndarray, of_x: np.ndarray, y: np.ndarray, of_y: np.ndarray, dist
 def _met(distance: int):
     """Reads i, j, own (the row's block), label and the fingerprint, sorted by i and j, and compares each two blocks."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []  # numbers and fingerprints of the two blocks at hand
         found = _Found()

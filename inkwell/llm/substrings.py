@@ -49,7 +49,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import TEXT_ROWS, batch_rows, by_bytes, discard, materialize, remove, shuffles_freed, table_path, with_text, worker_state
+from inkwell.llm.common import TEXT_ROWS, batch_rows, by_bytes, discard, lean, materialize, remove, shuffles_freed, table_path, with_text, worker_state
 
 WINDOW = 20
 GRAM = 5
@@ -231,6 +231,7 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry
 def grams(rows: DataFrame, window: int, gram: int) -> DataFrame:
     """h, o, th, n, d: the smallest grams of each document's windows, how many places have them, the text's hash."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_state("substrings")
         hasher = Hasher(window, gram)
@@ -257,6 +258,7 @@ def grams(rows: DataFrame, window: int, gram: int) -> DataFrame:
 def candidate_windows(marked: DataFrame, window: int, gram: int) -> DataFrame:
     """w1, w2, o, th, start of the windows whose smallest gram is marked: each document's first of a kind. marked: text, o, th, hs."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_state("substrings")
         hasher = Hasher(window, gram)
@@ -292,6 +294,7 @@ def _marked(c: Chunk, part: pa.RecordBatch) -> np.ndarray:
 def removals(joined: DataFrame, window: int, gram: int, keep_text: bool) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 (and kept). joined: doc_id, text, copy (all of it stands earlier), hs (marked grams), firsts (starts that are earliest)."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_state("substrings")
         hasher = Hasher(window, gram)
