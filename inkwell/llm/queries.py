@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from inkwell.llm import bpe, kdtree, kneser_ney, licences, packing, pages, sampling, simhash, substrings, tokens
+from inkwell.llm import bpe, kdtree, kneser_ney, licences, packing, pages, prefix_trie, product_codes, sampling, simhash, substrings, tokens
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,6 +57,15 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op12_product_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return product_codes.compress(product_codes.whole_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet")))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = prefix_trie.turns(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return prefix_trie.trie(*prefix_trie.shared_heads(turns))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_exact_top_k": op2_exact_top_k,
@@ -68,6 +77,8 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_weighted_sampling": op9_weighted_sampling,
     "op10_main_text": op10_main_text,
+    "op12_product_codes": op12_product_codes,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 ORACLE_SQL: dict[str, str] = {
