@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from inkwell.llm import bpe, kdtree, kneser_ney, licences, packing, pages, prefix_trie, product_codes, sampling, simhash, substrings, tokens
+from inkwell.llm import bpe, class_ngrams, kdtree, kneser_ney, licences, packing, pages, prefix_trie, product_codes, sampling, simhash, substrings, tokens
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,6 +57,10 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op11_class_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return class_ngrams.score(_documents(spark, sf_dir), class_ngrams.every_tenth_held())
+
+
 def op12_product_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return product_codes.compress(product_codes.whole_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet")))
 
@@ -77,6 +81,7 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_weighted_sampling": op9_weighted_sampling,
     "op10_main_text": op10_main_text,
+    "op11_class_ngrams": op11_class_ngrams,
     "op12_product_codes": op12_product_codes,
     "op13_prefix_trie": op13_prefix_trie,
 }
