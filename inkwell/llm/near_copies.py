@@ -8,23 +8,26 @@ words is then some 0.8). Words, not word shingles: a changed word takes one term
 and not five, which keeps edited copies close. Unrelated texts of one language
 agree in 0.65 of the bits at most on the test tables.
 
-The fingerprint is cut into twelve segments of 21 or 22 bits. Fingerprints that
-share a segment are verified on all bits and linked first, which joins nearly all
-of a group of copies. Then each distinct fingerprint is indexed under every segment with one wildcard,
+A cut deals the bits, in an order of its own, to twelve segments of 21 or 22.
+Fingerprints that share a segment of the first cut are verified on all bits and linked
+first, which joins nearly all of a group of copies. Then, for each of ``CUTS``
+cuts, each distinct fingerprint is indexed under every segment with one wildcard,
 and members of different components that share a variant are verified on all bits.
-Some segments are matched at a time: fingerprints are sorted by variant, and a
-task links the members of a key, up to ``BUCKET`` of them at once.
-
-Up to 23 differing bits (0.91) some segment differs by at most one, so the pair
-shares a variant; beyond, it shares none if every segment differs by two or more:
-``chance_of_missing`` gives it (0.01 at 32 bits, 0.06 at 36, 0.15 at 40, 0.28 at
-44, 0.52 at 51). No segments are both few and certain at that distance: certainty
-at 51 bits takes 26 segments of ten bits, which unrelated texts share by the
-thousand. So all distinct fingerprints then meet block by block, and every two
-of different components are compared: pairs without a shared variant and members of crowded
-keys that came in different lots. No link is missed at any distance. Nothing is capped
-or dropped. This takes a time that grows with the square of the distinct
-fingerprints (some 0.3 billion pairs a second and core), and in memory two blocks a task.
+Some segments are matched at a time: fingerprints are sorted by variant and component, and a
+task links the members of a key.
+
+Up to 23 differing bits (0.91) some segment of every cut differs by at most one, so the pair
+shares a variant for sure. Beyond, it shares none if every segment of every cut differs by two or more:
+``chance_of_missing`` gives it (four cuts: below 0.0001 at 36 bits, 0.0005 at 40, 0.006 at
+44, 0.07 at 51, the limit), and a pair so missed is still joined if another text links both. No segments are both
+few and certain at that distance: certainty at 51 bits takes 26 segments of ten bits, which unrelated texts share by the
+thousand. Work and shuffle are in proportion to the distinct fingerprints (1,024 keys each).
+``all_links`` compares every two of them and is there to measure what is found.
+
+Keys that very many share: members of one component are never compared with each
+other, so a group of copies costs nothing however large; members of different ones
+are all compared in the task, up to ``HOLD`` of a key at once. A key with more is
+dealt again as pairs of blocks, which meet in tasks of their own. Nothing is capped or dropped.
 
 Links join components as found so far by their smallest members; members of a
 component need not be near copies of that one themselves.
@@ -41,7 +44,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkwell.llm.common import NUMBER_ROWS, TEXT_ROWS, batch_rows, by_bytes, discard, lean, materialize, with_text, worker_state
@@ -52,10 +55,12 @@ BITS = 256
 SEGMENTS = 12
 #: Bits that may differ: a fifth.
 DISTANCE = BITS // 5
+#: Orders of the bits in which segments are cut.
+CUTS = 4
+#: Members of a key that are linked at once when segments are shared, that a task holds of a variant, and of a block of a key with more (48 bytes each).
 BUCKET = 4096
-#: Fingerprints of a block in the last step (48 bytes each), and blocks that even a small table is dealt into.
-BLOCK = 1 << 18
-SPREAD = 12
+HOLD = 1 << 18
+BLOCK = 1 << 16
 #: Keys of up to so many members are compared together.
 FEW = 16
 #: Segments that are matched in one pass; their variants are on disk together.
@@ -105,11 +110,8 @@ class WideHasher:
         return out
 
 
-def chance_of_missing(bits: int) -> float:
-    """The chance that two fingerprints which differ in so many places, at random, differ by two or more in every segment.
-
-    Such pairs share no variant and are left to the comparison of all.
-    """
+def chance_of_missing(bits: int, cuts: int = 1) -> float:
+    """The chance that two fingerprints which differ in so many places, at random, differ by two or more in every segment of every cut."""
     sizes = [b - a for a, b in zip(_CUTS, _CUTS[1:], strict=False)]
     ways = [1]  # ways[d]: placements of d differing bits in the segments so far, two or more in each
     for size in sizes:
@@ -118,7 +120,20 @@ def chance_of_missing(bits: int) -> float:
             for here in range(2, min(size, bits - d) + 1):
                 new[d + here] += w * math.comb(size, here)
         ways = new
-    return ways[bits] / math.comb(BITS, bits) if bits < len(ways) else 0.0
+    return (ways[bits] / math.comb(BITS, bits)) ** cuts if bits < len(ways) else 0.0
+
+
+def bit_order(cut: int) -> np.ndarray:
+    """The order of the bits in a cut; the first takes them as they are."""
+    return np.arange(BITS) if cut == 0 else np.random.Generator(np.random.PCG64(1000 + cut)).permutation(BITS)
+
+
+def reordered(fps: np.ndarray, cut: int) -> np.ndarray:
+    """Fingerprints with their bits in a cut's order; differing bits stay as many."""
+    if cut == 0 or not len(fps):
+        return fps
+    bits = np.unpackbits(np.ascontiguousarray(fps).view(np.uint8), axis=1, bitorder="little")
+    return np.ascontiguousarray(np.packbits(bits[:, bit_order(cut)], axis=1, bitorder="little")).view(np.uint64)
 
 
 def wide_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -225,7 +240,10 @@ class _Found:
 
 
 def _links(distance: int, bucket: int):
-    """Reads k, label and the fingerprint, sorted by key, and links the labels of each key's near members, up to bucket members at once."""
+    """Reads k, label and the fingerprint, sorted by key, and links the labels of each key's near members, up to bucket members at once.
+
+    A key with more goes by lots; a quarter of each lot goes on to the next, which joins a group of copies whatever its size.
+    """
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,7 +290,8 @@ def _links(distance: int, bucket: int):
                     ids, fps = np.concatenate((ids, new_ids[s:e])), np.concatenate((fps, new_fps[s:e]))
                 while len(ids) > bucket:
                     link(ids[:bucket], fps[:bucket])
-                    ids, fps = ids[bucket:], fps[bucket:]
+                    on = max(1, bucket * 3 // 4)
+                    ids, fps = ids[on:], fps[on:]
             yield from found.take(EDGES)
         link(ids, fps)
         yield from found.take(0)
@@ -281,18 +300,11 @@ def _links(distance: int, bucket: int):
 
 
 def _meet(x: np.ndarray, of_x: np.ndarray, y: np.ndarray, of_y: np.ndarray, distance: int, found: _Found, rows: int = 64, columns: int = 4096) -> Iterator[pa.RecordBatch]:
-    """Links the labels of all near fingerprints of two blocks, or of one (y is x), whose labels differ."""
-    one = y is x
-    order = np.argsort(of_x, kind="stable")  # a component's members stand together, and what is all of one is passed over
-    x, of_x = np.ascontiguousarray(x[order].T), of_x[order]
-    if one:
-        y, of_y = x, of_x
-    else:
-        order = np.argsort(of_y, kind="stable")
-        y, of_y = np.ascontiguousarray(y[order].T), of_y[order]
+    """Links the labels of all near fingerprints of two blocks whose labels differ; blocks are sorted by label."""
+    x, y = np.ascontiguousarray(x.T), np.ascontiguousarray(y.T)
     for s in range(0, len(of_x), rows):
         part, label = x[:, s : s + rows], of_x[s : s + rows]
-        for o in range(s if one else 0, len(of_y), columns):
+        for o in range(0, len(of_y), columns):
             other, labels = y[:, o : o + columns], of_y[o : o + columns]
             if label[0] == label[-1] == labels[0] == labels[-1]:
                 continue
@@ -309,8 +321,88 @@ def _meet(x: np.ndarray, of_x: np.ndarray, y: np.ndarray, of_y: np.ndarray, dist
             yield from found.take(EDGES)
 
 
+def _across(labels: np.ndarray, fps: np.ndarray, distance: int, found: _Found) -> Iterator[pa.RecordBatch]:
+    """Links all near members of different labels; members are sorted by label, and each run of one label meets what comes behind it."""
+    starts = np.concatenate(([0], np.nonzero(labels[1:] != labels[:-1])[0] + 1)).tolist()
+    ends = [*starts[1:], len(labels)]
+    i = 0
+    while i < len(starts):
+        j = i + 1
+        while j < len(starts) and ends[j] - starts[i] <= 64:  # short runs go together, and meet each other too
+            j += 1
+        start, end = starts[i], ends[j - 1]
+        behind = start if j > i + 1 else end
+        if behind < len(labels):
+            yield from _meet(fps[start:end], labels[start:end], fps[behind:], labels[behind:], distance, found)
+        i = j
+
+
+#: A key's link with this says that its members were too many for one task.
+_GIANT = -1
+
+
+def _variant_links(distance: int, hold: int):
+    """Reads k, label and the fingerprint, sorted by key and label, and links the labels of near members of each key.
+
+    A key of more than hold members is told as (k, _GIANT) and not compared here.
+    """
+
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, n = None, 0
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        found = _Found()
+
+        def close() -> Iterator[pa.RecordBatch]:
+            if n > hold:
+                yield edge_batch(np.array([[key], [_GIANT]], np.int64))
+            elif n > 1:
+                labels = np.concatenate([x for x, _ in held])
+                if labels[0] != labels[-1]:
+                    yield from _across(labels, np.concatenate([f for _, f in held]), distance, found)
+            held.clear()
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            k, labels = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            fps = np.stack([batch.column(2 + i).to_numpy() for i in range(_N)], 1).view(np.uint64)
+            starts = np.concatenate(([0], np.nonzero(k[1:] != k[:-1])[0] + 1))
+            ends = np.concatenate((starts[1:], [len(k)]))
+            size = ends - starts
+            small = (size > 1) & (size <= FEW)
+            small[[0, -1]] = False  # a batch's first and last key may go on
+            rows = np.nonzero(np.repeat(small, size))[0]
+            group = np.repeat(np.arange(len(size)), size)[rows]
+            for lag in range(1, FEW):  # all pairs of all small keys at once
+                one = np.nonzero(group[lag:] == group[:-lag])[0]
+                if not len(one):
+                    break
+                a, b = rows[one], rows[one + lag]
+                apart = labels[a] != labels[b]
+                a, b = a[apart], b[apart]
+                near = _near(fps[a], fps[b], distance)
+                found.add(labels[a[near]], labels[b[near]])
+            take = (size > FEW) & (labels[starts] != labels[ends - 1])
+            take[[0, -1]] = True
+            for s, e in zip(starts[take].tolist(), ends[take].tolist(), strict=True):
+                if k[s] != key:
+                    yield from close()
+                    key, n = k[s], 0
+                n += e - s
+                if n <= hold:
+                    held.append((labels[s:e], fps[s:e]))
+                else:
+                    held.clear()
+            yield from found.take(EDGES)
+        yield from close()
+        yield from found.take(0)
+
+    return run
+
+
 def _met(distance: int):
-    """Reads i, j, own (the row's block), label and the fingerprint, sorted by i and j, and compares each two blocks."""
+    """Reads k, i, j, own (the row's block), label and the fingerprint, sorted by k, i, j and label, and compares each two blocks of a key."""
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -322,22 +414,22 @@ def _met(distance: int):
                 return
             numbers, fps = (np.concatenate(x, axis=1) for x in zip(*held, strict=True))
             held.clear()
-            (i, j), fps = numbers[:2, 0], fps.T
-            first = numbers[2] == i
-            x, of_x = fps[first], numbers[3, first]
+            (i, j), fps = numbers[1:3, 0], fps.T
+            first = numbers[3] == i
+            x, of_x = fps[first], numbers[4, first]
             if i == j:
-                yield from _meet(x, of_x, x, of_x, distance, found)
+                yield from _across(of_x, x, distance, found)
             else:
-                yield from _meet(x, of_x, fps[~first], numbers[3, ~first], distance, found)
+                yield from _meet(x, of_x, fps[~first], numbers[4, ~first], distance, found)
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            numbers = np.stack([batch.column(c).to_numpy() for c in range(4)])
-            fps = np.stack([batch.column(4 + c).to_numpy() for c in range(_N)]).view(np.uint64)
-            cuts = [0, *(np.nonzero((numbers[:2, 1:] != numbers[:2, :-1]).any(0))[0] + 1).tolist(), numbers.shape[1]]
+            numbers = np.stack([batch.column(c).to_numpy() for c in range(5)])
+            fps = np.stack([batch.column(5 + c).to_numpy() for c in range(_N)]).view(np.uint64)
+            cuts = [0, *(np.nonzero((numbers[:3, 1:] != numbers[:3, :-1]).any(0))[0] + 1).tolist(), numbers.shape[1]]
             for s, e in zip(cuts, cuts[1:], strict=False):
-                if held and (held[-1][0][:2, -1] != numbers[:2, s]).any():
+                if held and (held[-1][0][:3, -1] != numbers[:3, s]).any():
                     yield from close()
                 held.append((numbers[:, s:e], fps[:, s:e]))
         yield from close()
@@ -349,23 +441,38 @@ def _met(distance: int):
 _OUT = "a bigint, b bigint"
 
 
-def _in_blocks(rows: DataFrame, block: int, spread: int = SPREAD) -> DataFrame:
-    """rows (label and the fingerprint) under every pair of blocks (i, j) that holds their own."""
-    n = rows.count()
-    blocks = max(1, math.ceil(n / block), min(spread, math.ceil(n / 512)))
-    rows = rows.withColumn("own", F.pmod(F.xxhash64(*_WORDS), F.lit(blocks)).cast("long"))
-    every = F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))
+def _in_blocks(rows: DataFrame, blocks: Column) -> DataFrame:
+    """rows (k, label and the fingerprint) under every pair of blocks (i, j) of their key that holds their own; blocks: how many a key has."""
+    rows = rows.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64(*_WORDS), F.col("blocks")).cast("long"))
+    every = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
     met = rows.withColumn("other", F.explode(every)).withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
-    key = ["i", "j"]
-    return met.select("i", "j", "own", "label", *_WORDS).repartition(blocks * (blocks + 1) // 2, *key).sortWithinPartitions(*key)
+    key = ["k", "i", "j"]
+    return met.select(*key, "own", "label", *_WORDS).repartition(*key).sortWithinPartitions(*key, "label")
+
+
+def all_links(classes: DataFrame, distance: int = DISTANCE, block: int = BLOCK) -> DataFrame:
+    """a, b: links that connect all near copies, by comparing every two fingerprints in blocks; quadratic, to measure ``near_links`` by."""
+    blocks = F.lit(max(1, math.ceil(classes.count() / block))).cast("long")
+    rows = classes.select(F.lit(0).cast("long").alias("k"), F.col("rep").alias("label"), *_WORDS)
+    return _in_blocks(rows, blocks).mapInArrow(_met(distance), _OUT)
 
 
-def near_links(classes: DataFrame, distance: int = DISTANCE, bucket: int = BUCKET, block: int = BLOCK) -> DataFrame:
-    """a, b: links that connect all near copies among distinct fingerprints. classes: rep, f0, f1, ..."""
+def _reordered(rows: DataFrame, cut: int) -> DataFrame:
+    """label and the fingerprint in a cut's order of bits."""
+    if cut == 0:
+        return rows
 
-    def matched(keyed: DataFrame) -> DataFrame:
-        keyed = keyed.select("k", "label", *_WORDS).repartition("k").sortWithinPartitions("k")
-        return materialize(keyed.mapInArrow(_links(distance, bucket), _OUT), "near-links")
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = reordered(np.stack([batch.column(1 + i).to_numpy() for i in range(_N)], 1).view(np.uint64), cut).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(fps[:, i])) for i in range(_N))], ["label", *_WORDS])
+
+    return rows.mapInArrow(run, f"label bigint, {_DDL}")
+
+
+def near_links(classes: DataFrame, distance: int = DISTANCE, bucket: int = BUCKET, cuts: int = CUTS, hold: int = HOLD, block: int = BLOCK) -> DataFrame:
+    """a, b: links that connect the near copies among distinct fingerprints. classes: rep, f0, f1, ..."""
 
     def labelled(links: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Components so far as links, and the fingerprints under their component's smallest rep."""
@@ -373,14 +480,30 @@ def near_links(classes: DataFrame, distance: int = DISTANCE, bucket: int = BUCKE
         rows = classes.join(parts.hint("merge"), classes.rep == parts.node, "left")
         return parts.toDF("a", "b"), materialize(rows.select(F.coalesce("root", "rep").alias("label"), *_WORDS), "labelled")
 
-    links, rows = labelled(matched(_exact(classes.withColumnRenamed("rep", "label"))))
-    for first in range(0, SEGMENTS, TOGETHER):
-        links = links.union(matched(_variants(rows, list(range(first, min(first + TOGETHER, SEGMENTS))))))
-    discard(rows)
-    links, rows = labelled(links)
-    met = materialize(_in_blocks(rows, block).mapInArrow(_met(distance), _OUT), "near-links")
+    def variants_met(rows: DataFrame, numbers: list[int]) -> DataFrame:
+        keyed = _variants(rows, numbers).select("k", "label", *_WORDS).repartition("k").sortWithinPartitions("k", "label")
+        met = materialize(keyed.mapInArrow(_variant_links(distance, hold), _OUT), "near-links")
+        giant = met.filter(F.col("b") == _GIANT).select(F.col("a").alias("k"))
+        if giant.isEmpty():
+            return met
+        again = _variants(rows, numbers).select("k", "label", *_WORDS).join(giant, "k", "left_semi")
+        sizes = again.groupBy("k").agg(F.ceil(F.count(F.lit(1)) / block).alias("n"))
+        dealt = _in_blocks(again.join(materialize(sizes, "giant-keys"), "k"), F.col("n"))
+        return met.filter(F.col("b") != _GIANT).union(materialize(dealt.mapInArrow(_met(distance), _OUT), "near-links"))
+
+    keyed = _exact(classes.withColumnRenamed("rep", "label")).select("k", "label", *_WORDS).repartition("k").sortWithinPartitions("k")
+    links, rows = labelled(materialize(keyed.mapInArrow(_links(distance, bucket), _OUT), "near-links"))
+    for cut in range(cuts):
+        of_cut = rows if cut == 0 else materialize(_reordered(rows, cut), "reordered")
+        for first in range(0, SEGMENTS, TOGETHER):
+            links = links.union(variants_met(of_cut, list(range(first, min(first + TOGETHER, SEGMENTS)))))
+        if cut == 0 and cuts > 1:
+            discard(rows)
+            links, rows = labelled(links)
+        elif cut:
+            discard(of_cut)
     discard(rows)
-    return links.union(met)
+    return links
 
 
 def near_copies(docs: DataFrame, distance: int = DISTANCE, id_col: str = "doc_id", text_col: str = "text", bucket: int = BUCKET) -> DataFrame:

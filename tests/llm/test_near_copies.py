@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from inkwell.llm import near_copies as nc
@@ -22,13 +23,16 @@ def differing(a, b):
     return np.nonzero(np.unpackbits((a ^ b).view(np.uint8), bitorder="little"))[0]
 
 
-def met(a, b, distance=nc.DISTANCE):
-    """Within the distance and alike but for one bit at most in some segment."""
-    places = differing(a, b)
-    if len(places) > distance:
+def met(a, b, distance=nc.DISTANCE, cuts=nc.CUTS):
+    """Within the distance and alike but for one bit at most in some segment of some cut."""
+    if len(differing(a, b)) > distance:
         return False
-    cuts = [nc.BITS * i // nc.SEGMENTS for i in range(nc.SEGMENTS + 1)]
-    return min(((places >= s) & (places < e)).sum() for s, e in zip(cuts, cuts[1:], strict=False)) <= 1
+    edges = [nc.BITS * i // nc.SEGMENTS for i in range(nc.SEGMENTS + 1)]
+    for cut in range(cuts):
+        places = differing(*(nc.reordered(x[None], cut)[0] for x in (a, b)))
+        if min(((places >= s) & (places < e)).sum() for s, e in zip(edges, edges[1:], strict=False)) <= 1:
+            return True
+    return False
 
 
 def brute(fps, distance=nc.DISTANCE):
@@ -104,8 +108,8 @@ def flipped(rng, f, places):
     return np.packbits(bits, bitorder="little").view(np.uint64)
 
 
-@pytest.mark.parametrize("bucket", [3])
-def test_crowded_keys_lose_nothing(spark, bucket):
+@pytest.mark.parametrize("sizes", [{"bucket": 3}, {"bucket": 3, "hold": 20, "block": 7}])
+def test_crowded_keys_lose_nothing(spark, sizes):
     # all share their first segment; pairs, chains and a hot group differ in every other one, so nothing else is shared
     rng = np.random.default_rng(7)
     cuts = [nc.BITS * i // nc.SEGMENTS for i in range(nc.SEGMENTS + 1)]
@@ -120,7 +124,7 @@ def test_crowded_keys_lose_nothing(spark, bucket):
     fps = np.array(out)[rng.permutation(len(out))]
     want = brute(fps)
     assert len(set(want)) == 40
-    assert linked(spark, fps, bucket=bucket) == want
+    assert linked(spark, fps, **sizes) == want
 
 
 def test_every_pair_within_the_certain_distance_is_found(spark):
@@ -143,8 +147,9 @@ def test_chance_of_missing():
     zero = np.zeros(N, np.uint64)
     assert all(nc.chance_of_missing(d) == 0 for d in range(2 * nc.SEGMENTS))
     for d in (30, 40, 51):
-        missed = np.mean([not met(zero, flipped(rng, zero.copy(), rng.choice(nc.BITS, d, False))) for _ in range(3000)])
-        assert abs(missed - nc.chance_of_missing(d)) < 0.03
+        for cuts in (1, nc.CUTS):
+            missed = np.mean([not met(zero, flipped(rng, zero.copy(), rng.choice(nc.BITS, d, False)), cuts=cuts) for _ in range(2000)])
+            assert abs(missed - nc.chance_of_missing(d, cuts)) < 0.035
 
 
 def test_one_hot_group_is_one_component(spark):
@@ -163,9 +168,8 @@ def test_one_hot_group_is_one_component(spark):
     assert all(got[i] == 0 for i in range(300)) and all(got[1000 + i] == 1000 + i for i in range(50))
 
 
-@pytest.mark.parametrize("block", [16, nc.BLOCK])
-def test_pairs_without_a_shared_variant_are_found(spark, block):
-    # 2 to 4 differing bits in every segment: no variant is shared, up to the distance itself
+def test_all_links_take_pairs_without_a_shared_variant_too(spark):
+    # 2 to 4 differing bits in every segment of the first cut: no variant of it is shared, up to the distance itself
     rng = np.random.default_rng(10)
     cuts = [nc.BITS * i // nc.SEGMENTS for i in range(nc.SEGMENTS + 1)]
     fps, pairs = [], []
@@ -174,12 +178,32 @@ def test_pairs_without_a_shared_variant_are_found(spark, block):
             f = rng.integers(0, 1 << 63, N, dtype=np.uint64)
             each = [d // nc.SEGMENTS + (s < d % nc.SEGMENTS) for s in range(nc.SEGMENTS)]
             places = np.concatenate([rng.choice(np.arange(s, e), c, False) for s, e, c in zip(cuts, cuts[1:], each, strict=False)])
-            pairs.append((len(fps), len(fps) + 1, d <= nc.DISTANCE))
+            pairs.append((len(fps), len(fps) + 1, d))
             fps += [f, flipped(rng, f, places)]
-    assert not any(met(fps[a], fps[b]) for a, b, _ in pairs)
-    label = linked(spark, np.array(fps), block=block)
-    assert [(label[a] == label[b]) == near for a, b, near in pairs] == [True] * len(pairs)
-    assert len(set(label)) == len(fps) - sum(near for *_, near in pairs)
+    fps = np.array(fps)
+    assert not any(met(fps[a], fps[b], cuts=1) for a, b, _ in pairs)
+    rows = [(i, *f) for i, f in enumerate(fps.view(np.int64).tolist())]
+    classes = spark.createDataFrame(rows, "rep long, " + ", ".join(f"f{i} long" for i in range(N)))
+    got = {tuple(sorted(r)) for r in nc.all_links(classes, block=16).collect()}
+    assert got == {(a, b) for a, b, d in pairs if d <= nc.DISTANCE}
+    label = linked(spark, fps)
+    assert label == brute(fps) and all(label[a] == label[b] for a, b, d in pairs if d <= 40)
+
+
+def test_recall_by_distance_on_many_fingerprints(spark):
+    """100,000 fingerprints, 2,000 pairs at each of five distances: what is found is what the chance says."""
+    rng = np.random.default_rng(12)
+    each, distances = 2000, (20, 32, 40, 44, 51)
+    base = rng.integers(0, 1 << 63, (90_000, N), dtype=np.uint64)
+    made = [flipped(rng, base[i], rng.choice(nc.BITS, distances[i // each], False)) for i in range(each * len(distances))]
+    fps = np.concatenate((base, made)).view(np.int64)
+    table = {"rep": np.arange(len(fps))} | {f"f{i}": np.ascontiguousarray(fps[:, i]) for i in range(N)}
+    links = nc.near_links(spark.createDataFrame(pd.DataFrame(table))).collect()
+    found = {tuple(sorted(r)) for r in links if r.a != r.b}
+    for k, d in enumerate(distances):
+        recall = np.mean([(i, 90_000 + i) in found for i in range(k * each, (k + 1) * each)])
+        assert recall >= 0.9 and abs(recall - (1 - nc.chance_of_missing(d, nc.CUTS))) < 0.02, (d, recall)
+    assert all(b - a == 90_000 for a, b in found)
 
 
 def test_links_of_a_hot_group_are_few(spark):
