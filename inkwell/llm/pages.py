@@ -72,6 +72,9 @@ IMPLIED = {
 }
 
 
+_END_OF = {tag: re.compile(f"</{tag}", re.IGNORECASE | re.ASCII) for tag in LEFT_OUT}
+
+
 @dataclass
 class Node:
     tag: str  # "#text" for a run of text
@@ -89,7 +92,8 @@ def parse(page: str) -> list[Node]:
     places: dict[str, list[int]] = {}  # of each tag, where it stands in the stack
     run: Node | None = None
     anchors = 0
-    at, end, low = 0, len(page), None
+    at, end = 0, len(page)
+    never: set[str] = set()  # tags of which no end follows, so that none is looked for again
 
     def say(text: str) -> None:
         nonlocal run
@@ -137,13 +141,13 @@ def parse(page: str) -> list[Node]:
                 run = None
             continue
         if tag in LEFT_OUT and not (tag == "svg" and m[3].rstrip().endswith("/")):
-            if low is None:
-                low = page.lower()
-            stop = low.find(f"</{tag}", at)
-            if stop >= 0:
-                at = page.find(">", stop) + 1 or end
+            stop = None if tag in never else _END_OF[tag].search(page, at)
+            if stop:
+                at = page.find(">", stop.start()) + 1 or end
             elif tag in TEXT_ONLY:  # the rest of the page is its text
                 break
+            else:
+                never.add(tag)
             continue
         if tag == "br":
             if run is not None:

@@ -1,5 +1,6 @@
 import itertools
 import math
+import time
 
 import pytest
 
@@ -108,3 +109,18 @@ def test_small_batches_and_columns(spark):
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars int")
     got = pages.main_text(df).collect()
     assert len(got) == 21 and sum(r.n_chars == 0 for r in got) == 1 and tuple(got[0].__fields__) == ("page_id", "url", "text", "n_chars")
+
+
+@pytest.mark.parametrize("tag", ["svg", "select", "template", "noscript"])
+def test_time_in_proportion_to_unclosed_elements(tag):
+    began = time.process_time()
+    nodes = pages.parse(f"<p>first words</p><{tag}>" * 80_000 + "<p>last words</p>")
+    assert time.process_time() - began < 5 and len(nodes) > 80_000
+    began = time.process_time()
+    nodes = pages.parse(f"<{tag}>" * 80_000 + "<p>last words</p>")
+    assert time.process_time() - began < 1 and nodes[-1].text == ["last words"]
+
+
+def test_end_tags_are_found_behind_letters_that_grow_in_lower_case():
+    nodes = pages.parse("\u0130" * 50 + "<SVG><p>drawn</p></SvG><p>said</p>")
+    assert [t for n in nodes for t in n.text] == ["\u0130" * 50, "said"]
