@@ -1,16 +1,19 @@
 """Hidden and unusual characters: findings with script-aware verdicts.
 
 A document with nothing notable costs one regular expression; the others are
-cut at each notable code point, and only these are classified. All of it
-stays in the JVM. Context (emoji neighbours, scripts within 12 or 40 code
-points) is read from the text around an offset, so no window or shuffle is
-needed and findings keep the documents' partitioning.
+cut at each notable code point, and only these are classified. Context
+(emoji neighbours, scripts within 12 or 40 code points) comes from the block of
+512 code points that a notable one stands in and the ends of its neighbours, so
+no verdict walks the text from its start, and no window or shuffle is needed.
+Only texts that hold a homoglyph reach Python.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,12 +45,20 @@ class UnicodePolicy:
         return self.name == "aggressive"
 
 
-def verdict(char: Column, text: Column, offset: Column, policy: UnicodePolicy) -> Column:
-    """struct(kind, severity, removable, replacement, protected_by) of a code point, or null; the first rule that fits wins."""
+#: Code points of a block, and how many on either side a verdict may read.
+BLOCK, NEAR = 512, 40
+#: Stands for a tag character of a flag sequence; no character has this code.
+_OF_FLAG = "\U0010ffff"
+CARRIER = "struct<offset:int,char:string,left:string,right:string,of_flag:boolean>"
+
+
+def verdict(carrier: Column, policy: UnicodePolicy) -> Column:
+    """struct(kind, severity, removable, replacement, protected_by) of a carrier, or null; the first rule that fits wins."""
+    char, left, right = carrier["char"], carrier["left"], carrier["right"]
     cp = F.ascii(char)
-    near = ucd.around(text, offset, 12)
-    beside = ucd.around(text, offset, 1)
-    wide = ucd.around(text, offset, 40)
+    near = F.concat(_end(left, 12), F.substring(right, 1, 12))
+    beside = F.concat(_end(left, 1), F.substring(right, 1, 1))
+    wide = F.concat(left, right)
     emoji = beside.rlike(f"[{ucd.emoji_class()}]")
     has = lambda where, *scripts: where.rlike(f"[{ucd.script_class(*scripts)}]")
     rude, tidy = F.lit(policy.aggressive), F.lit(policy.name in ("typographic", "aggressive"))
@@ -65,7 +76,7 @@ def verdict(char: Column, text: Column, offset: Column, policy: UnicodePolicy) -
 
     joiner_kept = ((cp == 0x200D) & emoji & F.lit(policy.preserve_emoji_sequences)) | (has(near, *ucd.JOINING) & language)
     rtl = has(wide, *ucd.RIGHT_TO_LEFT)
-    flag = F.reverse(F.substring(text, F.lit(1), offset)).rlike("^[\\x{E0000}-\\x{E007F}]*\\x{1F3F4}")
+    flag = carrier["of_flag"]
     rules = [
         (cp.isin(*ucd.INVISIBLE), is_("zero_width", "suspicious", True, "")),
         (cp.isin(0x200C, 0x200D) & joiner_kept & ~rude, is_("zero_width", "info", False, None, "joining_context")),
@@ -102,36 +113,103 @@ def verdict(char: Column, text: Column, offset: Column, policy: UnicodePolicy) -
     return out
 
 
+def _end(x: Column, n: int) -> Column:
+    return F.substring(x, F.greatest(F.length(x) - n, F.lit(0)) + 1, F.lit(n))
+
+
+def blocks(text: Column) -> Column:
+    """The text in pieces of 512 code points."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), 0)
+
+
 def carriers(text: Column) -> Column:
-    """The notable code points of a text in their order: array of struct(offset, char).
+    """The notable code points of a text in their order: array of struct(offset, char, left, right, of_flag).
 
-    The text goes by blocks of 512 code points, which bounds what the running
-    sum of lengths copies; a block without a notable code point costs one
-    regular expression.
+    left and right: up to ``NEAR`` code points before and behind it. of_flag: a
+    tag character that only tag characters part from a black flag. The text goes by
+    blocks, each with the ends of its neighbours; a block without a notable
+    code point costs one regular expression.
     """
-    kind = "array<struct<offset:int,char:string>>"
-    one = ucd.notable_pattern()
-    none = F.array().cast(kind)
+    one = f"(?:{_OF_FLAG}|{ucd.notable_pattern()})"
+    none = F.array().cast(f"array<{CARRIER}>")
+    tag = "[\\x{E0000}-\\x{E007F}]"
+    # each match begins at a flag or where the one before ended, so a run of tags is walked once
+    told = F.when(text.contains("\U0001f3f4"), F.regexp_replace(text, f"(\\x{{1F3F4}}|(?!^)\\G){tag}", f"$1{_OF_FLAG}")).otherwise(text)
 
     def step(seen, piece):  # a carrier stands behind each piece but the last
         return F.concat(seen, F.array(F.coalesce(F.try_element_at(seen, F.lit(-1)) + 1, F.lit(0)) + F.length(piece)))
 
-    def of_block(block, k):
-        places = F.transform(F.array(F.split(block, one, -1)), lambda p: F.aggregate(F.slice(p, F.lit(1), F.size(p) - 1), F.array().cast("array<int>"), step))
-        found = F.zip_with(F.get(places, F.lit(0)), F.regexp_extract_all(block, F.lit(one), 0), lambda at, c: F.struct((at + k * 512).alias("offset"), c.alias("char")))
-        return F.when(block.rlike(one), found).otherwise(none)
+    def of_block(bound, k):
+        block, seen = F.get(bound["whole"], k), F.get(bound["told"], k)
+        sides = F.struct(block.alias("block"), seen.alias("seen"), F.coalesce(_end(F.get(bound["whole"], k - 1), NEAR), F.lit("")).alias("before"), F.coalesce(F.substring(F.get(bound["whole"], k + 1), 1, NEAR), F.lit("")).alias("behind"))
 
-    blocks = F.regexp_extract_all(text, F.lit("(?s).{1,512}"), 0)
-    return F.when(text.rlike(one), F.flatten(F.transform(blocks, of_block))).otherwise(none)
+        def found(x):
+            places = F.transform(F.array(F.split(x["seen"], one, -1)), lambda p: F.aggregate(F.slice(p, F.lit(1), F.size(p) - 1), F.array().cast("array<int>"), step))
+            own = lambda at: F.substring(x["block"], at + 1, F.lit(1))
+            return F.transform(
+                F.get(places, F.lit(0)),
+                lambda at: F.struct(
+                    (at + k * BLOCK).alias("offset"), own(at).alias("char"), _end(F.concat(x["before"], F.substring(x["block"], F.lit(1), at)), NEAR).alias("left"),
+                    F.substring(F.concat(F.substring(x["block"], at + 2, F.lit(NEAR)), x["behind"]), 1, NEAR).alias("right"),
+                    ((F.substring(x["seen"], at + 1, F.lit(1)) == _OF_FLAG) & own(at).rlike(f"^{tag}$")).alias("of_flag"),
+                ),
+            )
+
+        return F.when(seen.rlike(one), F.get(F.transform(F.array(sides), found), F.lit(0))).otherwise(none)
+
+    both = F.array(F.struct(blocks(text).alias("whole"), blocks(told).alias("told")))
+    every = F.transform(both, lambda bound: F.flatten(F.transform(bound["whole"], lambda _, k: of_block(bound, k))))
+    kept = F.filter(F.get(every, F.lit(0)), lambda c: c["char"].rlike(ucd.notable_pattern()))
+    return F.when(text.rlike(ucd.notable_pattern()), kept).otherwise(none)
 
 
 def findings(docs: DataFrame, policy: UnicodePolicy | None = None) -> DataFrame:
     """doc_id, offset, codepoint, char, kind, severity, removable, replacement, protected_by (carriers; not confusables)."""
     policy = policy or UnicodePolicy()
-    some = docs.filter(F.col("text").rlike(ucd.notable_pattern())).select("doc_id", "text")
-    chars = some.select("doc_id", "text", F.explode(carriers(F.col("text"))).alias("c")).select("doc_id", "text", "c.*")
-    judged = chars.withColumn("v", verdict(F.col("char"), F.col("text"), F.col("offset"), policy))
-    return judged.filter("v is not null").select("doc_id", "offset", F.ascii("char").alias("codepoint"), "char", "v.*")
+    some = docs.filter(F.col("text").rlike(ucd.notable_pattern())).select("doc_id", F.explode(carriers(F.col("text"))).alias("c"))
+    judged = some.withColumn("v", verdict(F.col("c"), policy))
+    return judged.filter("v is not null").select("doc_id", "c.offset", F.ascii("c.char").alias("codepoint"), "c.char", "v.*")
+
+
+_WORD = re.compile(r"\w+")
+_GLYPHS = "".join(ucd.CONFUSABLE)
+
+
+def homoglyphs(text: str) -> list[tuple[int, str, str]]:
+    """(offset, char, word) of the confusable characters in words that hold a Latin letter."""
+    out = []
+    for m in _WORD.finditer(text):
+        word = m[0]
+        if len(word) > 1 and not word.isascii() and any("a" <= c.lower() <= "z" for c in word):
+            out += [(m.start() + i, c, word) for i, c in enumerate(word) if c in ucd.CONFUSABLE]
+    return out
+
+
+def _homoglyphs():
+    kind = pa.list_(pa.struct([("offset", pa.int32()), ("char", pa.string()), ("word", pa.string())]))
+
+    @F.arrow_udf("array<struct<offset:int,char:string,word:string>>")
+    def run(text: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else [dict(zip(("offset", "char", "word"), x, strict=True)) for x in homoglyphs(t)] for t in text.to_pylist()], kind)
+
+    return run
+
+
+def inspection(docs: DataFrame, policy: UnicodePolicy | None = None) -> DataFrame:
+    """doc_id, number (from 0), offset, codepoint, char, kind, severity, removable, replacement, protected_by of every finding, carriers and confusables in one order.
+
+    Both lists stand in the document's row and are merged there, without a shuffle.
+    """
+    policy = policy or UnicodePolicy()
+    text = F.col("text")
+    some = docs.filter(text.rlike(f"{ucd.notable_pattern()}|[{_GLYPHS}]"))
+    kind = "struct<kind:string,severity:string,removable:boolean,replacement:string,protected_by:string>"
+    row = lambda at, c, v: F.struct(at.alias("offset"), F.ascii(c).alias("codepoint"), c.alias("char"), v.cast(kind).alias("v"))
+    judged = F.filter(F.transform(carriers(text), lambda c: row(c["offset"], c["char"], verdict(c, policy))), lambda f: f["v"].isNotNull())
+    kept = F.struct(F.lit("confusable").alias("kind"), F.lit("suspicious").alias("severity"), F.lit(False).alias("removable"), F.lit(None).cast("string").alias("replacement"), F.lit("substitution_would_change_meaning").alias("protected_by"))
+    like = F.transform(F.coalesce(F.col("_like"), F.array().cast("array<struct<offset:int,char:string,word:string>>")), lambda g: row(g["offset"], g["char"], kept))
+    both = some.select("doc_id", "text", _homoglyphs()(F.when(text.rlike(f"[{_GLYPHS}]"), text)).alias("_like"))
+    return both.select("doc_id", F.posexplode(F.array_sort(F.concat(judged, like))).alias("number", "f")).select("doc_id", "number", "f.offset", "f.codepoint", "f.char", "f.v.*")
 
 
 def confusables(docs: DataFrame) -> DataFrame:

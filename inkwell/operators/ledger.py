@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, StructType
+from pyspark.sql.types import BooleanType, DoubleType, LongType, StringType, StructField, StructType
 
 #: A rewrite's edit limits (characters, tokens, drift) by strength, and provider names.
 EDIT_LIMITS = {"light": (0.20, 0.25, 0.10), "medium": (0.50, 0.55, 0.15), "strong": (0.70, 0.75, 0.25)}
@@ -47,6 +47,70 @@ def admit(requests: DataFrame, by: str, order: list[str], cost: str, limit: floa
     return requests.repartition(by).sortWithinPartitions(by, *order).mapInArrow(run, schema)
 
 
+class Account:
+    """What one key has spent and reserved: a limit and its open leases (reserved, settled so far)."""
+
+    def __init__(self, limit: float, spent: float = 0, leases: dict | None = None) -> None:
+        self.limit, self.spent, self.leases = limit, spent, dict(leases or {})
+
+    @property
+    def reserved(self) -> float:
+        return sum(r for r, _ in self.leases.values())
+
+    def act(self, action: str, lease, amount) -> str:
+        """ok, or why not: refused (over what is left), overrun (settled beyond the reservation), negative, duplicate, unknown."""
+        amount = amount or 0
+        if action == "reserve":
+            if lease in self.leases:
+                return "duplicate"
+            if amount < 0:
+                return "negative"
+            if amount > self.limit - self.spent - self.reserved:
+                return "refused"
+            self.leases[lease] = (amount, 0)
+        elif action not in ("settle", "close") or lease not in self.leases:
+            return "unknown"
+        elif action == "settle":
+            if amount < 0:
+                return "negative"
+            if amount > self.leases[lease][0]:
+                return "overrun"
+            self.leases[lease] = (self.leases[lease][0], amount)
+        else:
+            self.spent += self.leases.pop(lease)[1]
+        return "ok"
+
+
+def leases(requests: DataFrame, by: str, order: list[str], limit: float) -> DataFrame:
+    """requests (by, action, lease, amount) with outcome, spent, reserved and remaining after each, in order.
+
+    reserve holds an amount back, settle says what was used (at most that), close
+    gives back what is left; a lease closed without being settled costs nothing. Requests of a
+    key come as a stream in their order that holds the key's open leases alone; one
+    task reads all of a key, so the largest key bounds the job. Null amounts are nothing.
+    """
+    names = requests.columns
+    whole = requests.schema["amount"].dataType.typeName() in ("byte", "short", "integer", "long")
+    number = pa.int64() if whole else pa.float64()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, account = None, None
+        for batch in batches:
+            rows = []
+            for k, action, lease, amount in zip(*(batch.column(c).to_pylist() for c in (by, "action", "lease", "amount")), strict=True):
+                if account is None or k != key:
+                    key, account = k, Account(limit)
+                outcome = account.act(action, lease, amount)
+                rows.append((outcome, account.spent, account.reserved, account.limit - account.spent - account.reserved))
+            columns = list(zip(*rows, strict=True)) or [[]] * 4
+            made = [pa.array(list(c), t) for c, t in zip(columns, (pa.string(), number, number, number), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *made], [*names, "outcome", "spent", "reserved", "remaining"])
+
+    amount = LongType() if whole else DoubleType()
+    schema = StructType([*requests.schema.fields, StructField("outcome", StringType()), *(StructField(c, amount) for c in ("spent", "reserved", "remaining"))])
+    return requests.repartition(by).sortWithinPartitions(by, *order).mapInArrow(run, schema)
+
+
 def usage(charges: DataFrame, by: str = "run_id") -> DataFrame:
     """by, counter, spent."""
     return charges.groupBy(by, "counter").agg(F.sum("amount").alias("spent"))

@@ -1,7 +1,15 @@
-"""Regions of interest: token windows, ranking, merging, and cutting around protected spans."""
+"""Regions of interest: token windows, ranking, merging, and cutting around protected spans.
+
+Interval work sweeps sorted endpoints: a document's spans and regions become
+one stream in the order of their places, with a running count of what is open, so
+its time is that of the sort.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,24 +43,105 @@ def merge(regions: str | Column, share: float = 0.5) -> Column:
     return F.aggregate(F.array_sort(r.cast(f"array<{REGION}>")), empty, step)
 
 
+def merged(regions: DataFrame, share: float = 0.5) -> DataFrame:
+    """Regions (doc_id, start, end, risk) with those merged that cover at least a share of the smaller one.
+
+    Regions of a document come as a stream in their order; only the one that may
+    still grow is held. The merged region has the greatest risk of its parts.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        doc, start, end, risk, held = None, 0, 0, None, False
+        for batch in batches:
+            out = []
+            for d, s, e, r in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if held and d == doc:
+                    smaller = min(end - start, e - s)
+                    if smaller > 0 and max(0, min(end, e) - max(start, s)) / smaller >= share:
+                        start, end = min(start, s), max(end, e)
+                        risk = r if risk is None else risk if r is None else max(risk, r)
+                        continue
+                if held:
+                    out.append((doc, start, end, risk))
+                doc, start, end, risk, held = d, s, e, r, True
+            yield _regions(out, batch)
+        if held:
+            yield _regions([(doc, start, end, risk)], batch)
+
+    def _regions(rows: list[tuple], like: pa.RecordBatch) -> pa.RecordBatch:
+        columns = list(zip(*rows, strict=True)) or [[]] * 4
+        return pa.RecordBatch.from_arrays([pa.array(list(c), like.schema.field(i).type) for i, c in enumerate(columns)], names=["doc_id", "start", "end", "risk"])
+
+    rows = regions.select("doc_id", F.col("start").cast("int"), F.col("end").cast("int"), F.col("risk").cast("double"))
+    return rows.repartition("doc_id").sortWithinPartitions("doc_id", "start", "end", "risk").mapInArrow(run, rows.schema)
+
+
 def clip(regions: DataFrame, spans: DataFrame) -> DataFrame:
-    """Regions (doc_id, start, end, risk) minus the document's spans: an interval difference by fold."""
-    held = spans.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("held"))
-    rows = regions.join(held, "doc_id", "left")
-    one = "array<struct<start:int,end:int>>"
-    whole = F.array(F.struct(F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"))).cast(one)
-
-    def step(a, s):
-        cut = F.transform(
-            a,
-            lambda x: F.when((s["end"] <= x["start"]) | (s["start"] >= x["end"]), F.array(x)).otherwise(
-                F.filter(F.array(F.struct(x["start"].alias("start"), s["start"].alias("end")), F.struct(s["end"].alias("start"), x["end"].alias("end"))), lambda y: y["start"] < y["end"])
-            ),
-        )
-        return F.flatten(cut).cast(one)
-
-    left = F.when(F.col("held").isNull(), whole).otherwise(F.aggregate(F.coalesce("held", F.array().cast(one)), whole, step))
-    return rows.select("doc_id", "risk", F.explode(left).alias("r")).select("doc_id", "r.start", "r.end", "risk").filter("start < end")
+    """Regions (doc_id, start, end, risk) minus the document's spans, which may overlap; an empty span cuts a region in two.
+
+    The stretches without a span are numbered as the sweep meets them; a region
+    learns the first and the last one that it may touch, and takes their bounds by an
+    equality join on the number.
+    """
+    no = F.lit(None)
+    ends = lambda at, rank, step: F.struct(F.col(at).cast("int").alias("pos"), F.lit(rank).alias("rank"), F.lit(step).alias("step"))
+    held = spans.select("doc_id", F.explode(F.array(ends("start", 1, 1), ends("end", 2, -1))).alias("e"), no.cast("struct<start:int,end:int,risk:double>").alias("r"))
+    region = F.struct(F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), F.col("risk").cast("double").alias("risk"))
+    asked = regions.filter("start < end").select("doc_id", F.explode(F.array(ends("end", 0, 0), ends("start", 3, 0))).alias("e"), region.alias("r"))
+    w = Window.partitionBy("doc_id").orderBy("e.pos", "e.rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    swept = held.unionByName(asked).withColumn("open", F.sum("e.step").over(w))
+    swept = swept.withColumn("free", F.sum(F.when((F.col("e.rank") == 2) & (F.col("open") == 0), 1).otherwise(0)).over(w))  # the latest free stretch; 0 is the one before all spans
+    begins = F.when((F.col("e.rank") == 2) & (F.col("open") == 0), F.col("e.pos"))
+    closes = F.when((F.col("e.rank") == 1) & (F.col("open") == 1), F.col("e.pos"))
+    stretches = swept.filter("r is null").groupBy("doc_id", "free").agg(F.max(begins).alias("from"), F.min(closes).alias("to"))
+    first = F.max(F.when(F.col("e.rank") == 3, F.when(F.col("open") == 0, F.col("free")).otherwise(F.col("free") + 1)))
+    last = F.max(F.when(F.col("e.rank") == 0, F.col("free")))
+    found = swept.filter("r is not null").groupBy("doc_id", "r").agg(first.alias("first"), last.alias("last"), (F.count(F.lit(1)) / 2).cast("int").alias("times")).filter("first <= last")
+    each = found.select("doc_id", "r", F.explode(F.sequence("first", "last")).alias("free"), "times").withColumn("_", F.explode(F.array_repeat(F.lit(0), F.col("times"))))
+    cut = each.join(stretches, ["doc_id", "free"], "left").select("doc_id", F.greatest("r.start", "from").alias("start"), F.least("r.end", "to").alias("end"), "r.risk")
+    return cut.filter("start < end")
+
+
+def span_index(spans: Column, offset: Column) -> Column:
+    """The number (from 0) of the span (start, end) that holds an offset, or null: binary search in a sorted array of disjoint spans."""
+    at = _before(spans, offset + 1, "start") - 1
+    return F.when(F.get(spans, at)["end"] > offset, at)
+
+
+def _before(spans: Column, value: Column, field: str) -> Column:
+    """How many of the sorted spans have a field below a value."""
+    steps = F.sequence(F.lit(1), F.ceil(F.log2(F.size(spans) + F.lit(1.0))).cast("int") + 1)
+    start = F.struct(F.lit(0).alias("lo"), F.size(spans).alias("hi"))
+
+    def step(a, _):
+        mid = F.floor((a["lo"] + a["hi"]) / 2).cast("int")
+        low = F.coalesce(F.get(spans, mid)[field] < value, F.lit(False)) & (a["lo"] < a["hi"])
+        return F.struct(F.when(low, mid + 1).otherwise(a["lo"]).alias("lo"), F.when(low, a["hi"]).otherwise(F.least(mid, a["hi"])).alias("hi"))
+
+    return F.aggregate(steps, start, step)["lo"]
+
+
+def overlapping(spans: Column, start: Column, end: Column) -> Column:
+    """The spans of a sorted array of disjoint ones that an edit overlaps; an insertion overlaps a span that it stands strictly inside of."""
+    first, last = _before(spans, start + 1, "end"), _before(spans, F.greatest(end, start), "start")
+    return F.slice(spans, first + 1, F.greatest(last - first, F.lit(0)))
+
+
+def is_protected(spans: Column, start: Column, end: Column) -> Column:
+    return F.size(overlapping(spans, start, end)) > 0
+
+
+def eligible_region(regions: Column, ops: Column) -> Column:
+    """The number (from 0) of the first region that no operation touches, or null."""
+    free = F.transform(regions, lambda r: ~F.exists(ops, lambda o: (o["end"] > r["start"]) & (o["start"] < r["end"])))
+    return F.nullif(F.array_position(free, True), F.lit(0)).cast("int") - 1
+
+
+def editable_regions(ops: Column, length: Column) -> Column:
+    """A region of at least one character for each operation: insertions widened by one, to the left at the end; none in an empty text."""
+    one = lambda a, b: F.struct(a.cast("int").alias("start"), b.cast("int").alias("end"))
+    wide = lambda o: F.when(o["start"] < o["end"], one(o["start"], o["end"])).when(o["end"] < length, one(o["start"], o["end"] + 1)).when(o["start"] > 0, one(o["start"] - 1, o["end"]))
+    return F.array_compact(F.transform(ops, wide))
 
 
 def ranked(regions: DataFrame, k: int) -> DataFrame:

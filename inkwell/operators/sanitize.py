@@ -84,7 +84,7 @@ def carrier_ops(text: Column, policy: inspect.UnicodePolicy) -> Column:
     """The sorted carrier edits of a text, without protected spans; no shuffle, no join."""
     if not policy.mutates:
         return F.array().cast(f"array<{operations.OP}>")
-    judged = F.transform(inspect.carriers(text), lambda x: F.struct(x["offset"].alias("at"), inspect.verdict(x["char"], text, x["offset"], policy).alias("v")))
+    judged = F.transform(inspect.carriers(text), lambda x: F.struct(x["offset"].alias("at"), inspect.verdict(x, policy).alias("v")))
     wanted = F.filter(judged, lambda x: F.coalesce(x["v"]["removable"] & x["v"]["replacement"].isNotNull(), F.lit(False)))
     return F.transform(wanted, lambda x: F.struct(x["at"].alias("start"), (x["at"] + 1).alias("end"), x["v"]["replacement"].alias("text")))
 

@@ -8,6 +8,7 @@ from inkwell.plans import fixtures
 from inkwell.plans import queries as q
 
 _GLYPHS, _LATIN = "".join(ucd.CONFUSABLE), "".join(ucd.CONFUSABLE.values())
+_PIECES = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+"
 _ORDER = """CASE WHEN valid THEN 0 ELSE 1 END, CASE WHEN target_met THEN 0 ELSE 1 END, round(greatest(char_ratio, token_ratio), 6), round(drift, 6), round(risk, 6),
     model_calls, detector_queries, round(cost_usd, 6), content_hash"""
 _COSTS = ("risk", "char_ratio", "token_ratio", "drift", "model_calls", "detector_queries", "cost_usd")
@@ -67,7 +68,12 @@ def oracle_sql() -> dict[str, str]:
         "line_offsets": """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS p, generate_subscripts(string_split(text, chr(10)), 1) AS i, len(string_split(text, chr(10))) AS n FROM documents),
             o AS (SELECT doc_id, i, n, p, sum(length(p) + 1) OVER (PARTITION BY doc_id ORDER BY i) - 1 AS e FROM l)
             SELECT doc_id, CAST(i - 1 AS INTEGER) AS line, CAST(e - length(p) AS INTEGER) AS start, CAST(e AS INTEGER) AS "end" FROM o WHERE NOT (i = n AND p = '')""",
-        "findings_rows": f'WITH {found} SELECT doc_id, "offset", codepoint, kind, severity, removable, replacement FROM findings',
+        "findings_rows": f"""WITH {found}, pieces AS (SELECT doc_id, unnest(regexp_extract_all(text, '{_PIECES}')) AS p, generate_subscripts(regexp_extract_all(text, '{_PIECES}'), 1) AS i FROM marked WHERE regexp_matches(text, '[{_GLYPHS}]')),
+            placed AS (SELECT doc_id, p, sum(length(p)) OVER (PARTITION BY doc_id ORDER BY i) - length(p) AS s FROM pieces),
+            letters AS (SELECT doc_id, s, p, unnest(range(length(p))) AS j FROM placed WHERE length(p) >= 2 AND regexp_matches(p, '[A-Za-z]') AND regexp_matches(p, '[{_GLYPHS}]')),
+            both_kinds AS (SELECT doc_id, "offset", codepoint, kind, severity, removable, replacement FROM findings UNION ALL
+                SELECT doc_id, CAST(s + j AS INTEGER), unicode(substr(p, j + 1, 1)), 'confusable', 'suspicious', false, CAST(NULL AS VARCHAR) FROM letters WHERE regexp_matches(substr(p, j + 1, 1), '[{_GLYPHS}]'))
+            SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY "offset", codepoint) - 1 AS INTEGER) AS number, "offset", codepoint, kind, severity, removable, replacement FROM both_kinds""",
         "findings_by_kind": f"WITH {found} SELECT kind, count(*) AS n, count(*) FILTER (removable AND replacement IS NOT NULL) AS n_removable FROM findings GROUP BY kind",
         "findings_rollup": f"WITH {found} SELECT source, lang, kind, count(*) AS n FROM findings GROUP BY ROLLUP (source, lang, kind)",
         "confusable_words": f"""WITH marked AS ({marked}), words AS (SELECT doc_id, unnest(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+')) AS word FROM marked WHERE regexp_matches(text, '[{_GLYPHS}]')),
@@ -88,6 +94,42 @@ def oracle_sql() -> dict[str, str]:
         "token_windows": f'WITH {windows} SELECT doc_id, "window", token_start, token_end, start, "end" FROM cut',
         "window_risk": f"""WITH {windows}, s AS (SELECT c.doc_id, c.start, c."end", {risk('substr(d.text, c.start + 1, c."end" - c.start)')} AS risk FROM cut c JOIN documents d USING (doc_id))
             SELECT doc_id, start, "end", risk, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY risk DESC, start, "end") AS INTEGER) AS rank FROM s QUALIFY rank <= 3""",
+        "regions_merged": f"""WITH RECURSIVE tokens AS ({tokens}), windows AS (SELECT doc_id, t, n, unnest(range(CAST(greatest(ceil((n - 40) / 21.0), 0) AS BIGINT) + 1)) AS w FROM tokens),
+            cut AS (SELECT doc_id, w AS k, t[w * 21 + 1].s AS s, t[least(w * 21 + 40, n)].e AS e, CAST(w % 7 AS DOUBLE) AS r FROM windows),
+            f AS (SELECT doc_id, k, s, e, r, 0 AS g FROM cut WHERE k = 0
+                UNION ALL SELECT c.doc_id, c.k, CASE WHEN least(f.e, c.e) - c.s >= 0.5 * least(f.e - f.s, c.e - c.s) THEN f.s ELSE c.s END,
+                    CASE WHEN least(f.e, c.e) - c.s >= 0.5 * least(f.e - f.s, c.e - c.s) THEN greatest(f.e, c.e) ELSE c.e END,
+                    CASE WHEN least(f.e, c.e) - c.s >= 0.5 * least(f.e - f.s, c.e - c.s) THEN greatest(f.r, c.r) ELSE c.r END,
+                    CASE WHEN least(f.e, c.e) - c.s >= 0.5 * least(f.e - f.s, c.e - c.s) THEN f.g ELSE f.g + 1 END
+                FROM f JOIN cut c ON c.doc_id = f.doc_id AND c.k = f.k + 1)
+            SELECT doc_id, CAST(min(s) AS INTEGER) AS start, CAST(max(e) AS INTEGER) AS "end", max(r) AS risk FROM f GROUP BY doc_id, g""",
+        "windows_clipped": f"""WITH {windows}, words AS (SELECT doc_id, s, coalesce(lead(e) OVER (PARTITION BY doc_id ORDER BY s), e) AS e, p FROM (SELECT doc_id, e - length(p) AS s, e, p FROM (SELECT doc_id, p, sum(length(p)) OVER (PARTITION BY doc_id ORDER BY i) AS e FROM (
+                SELECT doc_id, unnest(regexp_extract_all(text, '\s+|\S+')) AS p, generate_subscripts(regexp_extract_all(text, '\s+|\S+'), 1) AS i FROM documents)) WHERE regexp_matches(p, '^\S'))),
+            held AS (SELECT doc_id, s, e FROM words WHERE regexp_matches(p, '^[A-Z]')),
+            bounds AS (SELECT doc_id, coalesce(max(e) OVER (PARTITION BY doc_id ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a, s AS b FROM held
+                UNION ALL SELECT d.doc_id, coalesce(max(h.e), 0), length(any_value(d.text)) FROM documents d LEFT JOIN held h USING (doc_id) GROUP BY d.doc_id)
+            SELECT c.doc_id, CAST(greatest(c.start, b.a) AS INTEGER) AS start, CAST(least(c."end", b.b) AS INTEGER) AS "end", CAST(c."window" AS DOUBLE) AS risk
+            FROM cut c JOIN bounds b ON b.doc_id = c.doc_id AND b.a < c."end" AND c.start < b.b WHERE greatest(c.start, b.a) < least(c."end", b.b)""",
+        "edits_located": f"""WITH {found}, e AS (SELECT doc_id, text, "offset" AS s, "offset" + 1 AS e FROM findings WHERE removable UNION ALL SELECT doc_id, text, "offset" + 1, "offset" + 1 FROM findings WHERE removable),
+            p AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS p, generate_subscripts(string_split(text, chr(10)), 1) AS i, len(string_split(text, chr(10))) AS n FROM marked),
+            l AS (SELECT doc_id, i, n, p, sum(length(p) + 1) OVER (PARTITION BY doc_id ORDER BY i) - 1 AS b FROM p),
+            lines AS (SELECT doc_id, i - 1 AS line, b - length(p) AS a, b FROM l WHERE NOT (i = n AND p = '')),
+            q AS (SELECT doc_id, unnest(regexp_extract_all(text, '\s+|\S+')) AS p, generate_subscripts(regexp_extract_all(text, '\s+|\S+'), 1) AS i FROM marked),
+            words AS (SELECT doc_id, b - length(p) AS a, b FROM (SELECT doc_id, p, sum(length(p)) OVER (PARTITION BY doc_id ORDER BY i) AS b FROM q) WHERE regexp_matches(p, '^\S'))
+            SELECT e.doc_id, CAST(e.s AS INTEGER) AS start, CAST(e.e AS INTEGER) AS "end", CAST((SELECT min(line) FROM lines WHERE lines.doc_id = e.doc_id AND a <= e.s AND e.s < b) AS INTEGER) AS line,
+                EXISTS (SELECT 1 FROM words WHERE words.doc_id = e.doc_id AND CASE WHEN e.s = e.e THEN a < e.s AND e.s < b ELSE a < e.e AND e.s < b END) AS in_word,
+                CAST(CASE WHEN e.s = e.e AND e.e >= length(text) THEN e.s - 1 ELSE e.s END AS INTEGER) AS region_start, CAST(CASE WHEN e.s = e.e AND e.e < length(text) THEN e.e + 1 ELSE e.e END AS INTEGER) AS region_end FROM e""",
+        "lease_ledger": """WITH RECURSIVE e AS (SELECT event_id, user_id, CAST(round(abs(value)) AS BIGINT) AS c, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS k FROM events),
+            f AS (SELECT event_id, user_id, k, CAST(0 AS BIGINT) AS spent, CASE WHEN c <= 300 THEN c END AS a, CAST(0 AS BIGINT) AS used, CAST(NULL AS BIGINT) AS b, CASE WHEN c <= 300 THEN 'ok' ELSE 'refused' END AS outcome FROM e WHERE k = 0
+            UNION ALL SELECT e.event_id, e.user_id, e.k,
+                CASE WHEN e.k % 5 = 3 AND f.a IS NOT NULL THEN f.spent + f.used ELSE f.spent END,
+                CASE e.k % 5 WHEN 0 THEN CASE WHEN e.c <= 300 - f.spent THEN e.c END WHEN 3 THEN NULL ELSE f.a END,
+                CASE e.k % 5 WHEN 0 THEN 0 WHEN 2 THEN CASE WHEN f.a IS NOT NULL AND e.c <= f.a THEN e.c ELSE f.used END ELSE f.used END,
+                CASE e.k % 5 WHEN 1 THEN CASE WHEN e.c <= 300 - f.spent - coalesce(f.a, 0) THEN e.c END WHEN 4 THEN NULL ELSE f.b END,
+                CASE e.k % 5 WHEN 0 THEN CASE WHEN e.c <= 300 - f.spent THEN 'ok' ELSE 'refused' END WHEN 1 THEN CASE WHEN e.c <= 300 - f.spent - coalesce(f.a, 0) THEN 'ok' ELSE 'refused' END
+                    WHEN 2 THEN CASE WHEN f.a IS NULL THEN 'unknown' WHEN e.c > f.a THEN 'overrun' ELSE 'ok' END WHEN 3 THEN CASE WHEN f.a IS NULL THEN 'unknown' ELSE 'ok' END ELSE CASE WHEN f.b IS NULL THEN 'unknown' ELSE 'ok' END END
+                FROM f JOIN e ON e.user_id = f.user_id AND e.k = f.k + 1)
+            SELECT event_id, outcome, spent, coalesce(a, 0) + coalesce(b, 0) AS reserved, 300 - spent - coalesce(a, 0) - coalesce(b, 0) AS remaining FROM f""",
         "voice_by_source": _style("source"),
         "ttr_by_lang": f"""WITH w AS (SELECT lang, unnest(regexp_extract_all(text, '{voice.WORD.replace("'", "''")}')) AS w FROM documents)
             SELECT lang, count(*) AS n_words, count(DISTINCT lower(w)) AS n_types, count(DISTINCT lower(w)) / count(*) AS ttr FROM w GROUP BY lang""",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from inkwell.functions import ucd
@@ -34,7 +34,7 @@ def line_offsets(spark: S, d: str) -> DataFrame:
 
 
 def findings_rows(spark: S, d: str) -> DataFrame:
-    return inspect.findings(_marked(spark, d)).select("doc_id", "offset", "codepoint", "kind", "severity", "removable", "replacement")
+    return inspect.inspection(_marked(spark, d)).select("doc_id", "number", "offset", "codepoint", "kind", "severity", "removable", "replacement")
 
 
 def findings_by_kind(spark: S, d: str) -> DataFrame:
@@ -257,9 +257,29 @@ def regions_clipped(spark: S, d: str) -> DataFrame:
 
 
 def regions_merged(spark: S, d: str) -> DataFrame:
-    docs = _docs(spark, d)
-    w = localize.token_windows(structure.tokens(docs), 40, 15).groupBy("doc_id").agg(F.collect_list(F.struct(F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), F.col("window").cast("double").alias("risk"))).alias("r"))
-    return w.select("doc_id", F.size(localize.merge("r")).alias("n_merged"), F.size("r").alias("n_windows"))
+    w = localize.token_windows(structure.tokens(_docs(spark, d)), 40, 21)
+    return localize.merged(w.select("doc_id", "start", "end", (F.col("window") % 7).cast("double").alias("risk")))
+
+
+def windows_clipped(spark: S, d: str) -> DataFrame:
+    """Token windows minus pairs of tokens that begin with a capital; such pairs overlap."""
+    tokens = structure.tokens(_docs(spark, d))
+    w = localize.token_windows(tokens, 64, 32).select("doc_id", "start", "end", F.col("window").cast("double").alias("risk"))
+    after = F.lead("end").over(Window.partitionBy("doc_id").orderBy("index"))
+    pairs = tokens.withColumn("end", F.coalesce(after, F.col("end"))).filter(F.col("token").rlike("^[A-Z]"))
+    return localize.clip(w, pairs.select("doc_id", "start", "end"))
+
+
+def edits_located(spark: S, d: str) -> DataFrame:
+    """Where the edits of a clean-up, and an insertion behind each, stand: their line, whether a word holds them, and the region that they may change."""
+    m = _marked(spark, d)
+    places = lambda rows, name: rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias(name))
+    edits = sanitize.edits(m).select("doc_id", "start", "end")
+    both = edits.unionByName(edits.select("doc_id", F.col("end").alias("start"), "end"))
+    rows = m.select("doc_id", F.length("text").alias("n")).join(places(both, "ops"), "doc_id").join(places(structure.lines(m), "lines"), "doc_id", "left").join(places(structure.tokens(m), "words"), "doc_id", "left")
+    each = rows.select("doc_id", "lines", "words", F.explode(F.arrays_zip("ops", localize.editable_regions(F.col("ops"), F.col("n")).alias("region"))).alias("o"))
+    start, end = F.col("o.ops.start"), F.col("o.ops.end")
+    return each.select("doc_id", start.alias("start"), end.alias("end"), localize.span_index(F.col("lines"), start).alias("line"), localize.is_protected(F.col("words"), start, end).alias("in_word"), F.col("o.region.start").alias("region_start"), F.col("o.region.end").alias("region_end"))
 
 
 # -- style and n-grams -----------------------------------------------------------------------------------------------
@@ -352,6 +372,16 @@ def budget_admission(spark: S, d: str) -> DataFrame:
     return ledger.admit(e, "user_id", ["ts", "event_id"], "cost", 200).select("event_id", "spent", "admitted")
 
 
+def lease_ledger(spark: S, d: str) -> DataFrame:
+    """Every user's events as two leases at a time: both reserved, the first settled and closed, the second closed unsettled."""
+    place = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1
+    e = table(spark, d, "events").withColumns({"k": place, "amount": F.round(F.abs("value")).cast("long")})
+    action = F.get(F.array(*(F.lit(a) for a in ("reserve", "reserve", "settle", "close", "close"))), F.col("k") % 5)
+    lease = F.floor(F.col("k") / 5) * 2 + F.when((F.col("k") % 5).isin(1, 4), 1).otherwise(0)
+    r = ledger.leases(e.select("event_id", "user_id", "k", action.alias("action"), lease.alias("lease"), "amount"), "user_id", ["k"], 300)
+    return r.select("event_id", "outcome", "spent", "reserved", "remaining")
+
+
 def event_sequence(spark: S, d: str) -> DataFrame:
     return ledger.sequence(table(spark, d, "events"), "user_id", ["ts", "event_id"]).select("event_id", "user_id", "sequence")
 
@@ -444,8 +474,8 @@ QUERIES = {
     for f in (
         doc_summary, line_offsets, findings_rows, findings_by_kind, findings_rollup, confusable_words, doc_scripts, script_histogram, sanitize_safe, ops_apply, ops_invert_roundtrip,
         ops_validate, sanitize_all_policies, span_counts, spans_resolved, span_anti_join, blocked_findings, md_blocks, plain_paragraphs, gate_matrix, gate_rejections, select_min_edit,
-        skyline, topk_regions, dedup_by_hash, diverse_beam, token_windows, window_risk, regions_clipped, regions_merged, voice_by_source, voice_by_lang, ttr_by_lang, turn_bigram_divergence,
-        benchmark_8gram_overlap, html_meta_evidence, html_clean, evidence_state, frontmatter_lines, frontmatter_clean, attachment_evidence, attachment_states, budget_admission,
+        skyline, topk_regions, dedup_by_hash, diverse_beam, token_windows, window_risk, regions_clipped, regions_merged, windows_clipped, edits_located, voice_by_source, voice_by_lang, ttr_by_lang, turn_bigram_divergence,
+        benchmark_8gram_overlap, html_meta_evidence, html_clean, evidence_state, frontmatter_lines, frontmatter_clean, attachment_evidence, attachment_states, budget_admission, lease_ledger,
         event_sequence, event_rates, rejection_tally, candidate_ids, attachment_rows_cleaned, stagnation, detection_metrics, before_after_flip, provider_separation, config_precedence, target_states, one_shot_select, recursive_rollback, beam_depths, proposals,
     )
 }

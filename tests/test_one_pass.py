@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 import unicodedata
 
 from pyspark.sql import functions as F
@@ -71,3 +72,58 @@ def test_rows_alone_equal_rows_joined(spark):
 def test_apply_joins_parts(spark):
     row = spark.createDataFrame([("abcdef", [(0, 0, "x"), (1, 2, ""), (2, 4, "yz"), (6, 6, "!")])], f"text string, ops array<{operations.OP}>")
     assert row.select(operations.apply("text", "ops")).first()[0] == "xayzef!"
+
+
+def test_contexts_are_those_of_the_whole_text(spark):
+    """Neighbours across blocks, flags and runs of tags at their edges."""
+    flag, tag = "\U0001f3f4", "\U000e0067"
+    texts = _texts(15, 2500) + ["x" * 500 + flag + tag * 600 + "y" + tag * 3, "x" * 511 + flag + tag, tag * 5 + flag + "​" + tag, flag * 3 + tag + flag, "q" * 30 + "\x07" + "w" * 700 + "\x07" * 60, "\U0010ffff" + flag + tag + "\U0010ffff"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").select("doc_id", inspect.carriers(F.col("text")).alias("c")).collect()
+    for r in rows:
+        t = texts[r.doc_id]
+        for x in r.c:
+            o = x.offset
+            behind_flag = bool(re.search(f"{flag}[\U000e0000-\U000e007f]*\\Z", t[:o])) and 0xE0000 <= ord(t[o]) <= 0xE007F
+            assert (x.char, x.left, x.right, x.of_flag) == (t[o], t[max(0, o - 40) : o], t[o + 1 : o + 41], behind_flag)
+
+
+def test_apply_of_many_operations(spark):
+    draw = random.Random(9)
+    rows = []
+    for n in (0, 5, 511, 512, 513, 1024, 5000):
+        text = "".join(draw.choices("abé\U0001f3f4", k=n))
+        cuts = sorted(draw.sample(range(n + 1), min(n, 60)))
+        ops = [(a, b, draw.choice(["", "-", "new"])) for a, b in zip(cuts[::2], cuts[1::2], strict=False)]
+        rows.append((text, ops, "".join(x for x in _applied(text, ops))))
+    got = spark.createDataFrame(rows, f"text string, ops array<{operations.OP}>, want string").select("want", operations.apply("text", "ops").alias("got")).collect()
+    assert all(r.got == r.want for r in got)
+
+
+def _applied(text, ops):
+    at = 0
+    for a, b, t in ops:
+        yield from (text[at:a], t)
+        at = b
+    yield text[at:]
+
+
+def test_time_in_proportion_to_carriers(spark):
+    """192,000 characters with 32,000 carriers, clean in seconds; four times as many take four times as long and not sixteen."""
+    took = []
+    for n in (8_000, 32_000):
+        docs = spark.createDataFrame([(1, "abcd​e" * n), (2, "abc\U0001f3f4\U000e0067 " * n)], "doc_id long, text string").cache()
+        docs.count()
+        began = time.monotonic()
+        got = {r.doc_id: r for r in sanitize.sanitize(docs).select("doc_id", "clean", F.size("ops").alias("n")).collect()}
+        took.append(time.monotonic() - began)
+        assert got[1].clean == "abcde" * n and got[1].n == n and got[2].n == 0
+    assert took[1] < 8 * max(took[0], 0.5), took
+
+
+def test_inspection_puts_both_kinds_in_one_order(spark):
+    rows = [(1, "x​ pаypal​ о Кelvin"), (2, "plain"), (3, None), (4, "а​b")]
+    got = inspect.inspection(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id", "number").collect()
+    assert [(r.doc_id, r.number, r.offset, r.kind) for r in got] == [
+        (1, 0, 1, "zero_width"), (1, 1, 4, "confusable"), (1, 2, 9, "zero_width"), (1, 3, 13, "confusable"), (4, 0, 1, "zero_width"),
+    ]
+    assert got[1].codepoint == 0x430 and got[1].protected_by == "substitution_would_change_meaning" and not got[1].removable
