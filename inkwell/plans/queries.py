@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from inkwell.functions import ucd
-from inkwell.operators import attachments, fidelity, inspect, ledger, localize, metadata, operations, sanitize, search, select, structure, voice
+from inkwell.operators import attachments, fidelity, inspect, ledger, localize, metadata, operations, sanitize, search, select, structure, targeted, voice
 from inkwell.plans import fixtures
 from inkwell.session import table
 from inkwell.streaming import stream
@@ -463,6 +463,28 @@ def beam_depths(spark: S, d: str) -> DataFrame:
     return search.beam(_docs(spark, d), _PHRASES, _risk).groupBy("depth").agg(F.count(F.lit(1)).alias("n"), F.min("risk").alias("best"))
 
 
+def _phrase_options(phrase: Column) -> Column:
+    made = [F.when(F.instr(phrase, a) > 0, F.struct(F.concat(F.substring(phrase, F.lit(1), F.instr(phrase, a) - 1), F.lit(b), F.substring(phrase, F.instr(phrase, a) + len(a), F.length(phrase))).alias("replacement"), F.lit("exact_phrase").alias("operator"))) for a, b in _PHRASES]
+    return F.array_compact(F.array(*made))
+
+
+def targeted_search(spark: S, d: str) -> DataFrame:
+    """A gated beam over each document's riskiest windows, until three marks of the scorer are gone."""
+    docs = _docs(spark, d)
+    regions = targeted.window_regions(docs, structure.spans(docs), _risk, 24, 12, 5)
+    s = targeted.Settings(mode="relative_reduction", least_gain=3.0, limits=(0.5, 0.5, 0.1), width=4, scorer="marks/1")
+    return targeted.search(regions, _phrase_options, _risk, s).drop("refused").withColumn("result", F.sha2("result", 256))
+
+
+def targeted_outcomes(spark: S, d: str) -> DataFrame:
+    """Why searches end, at which depth, and what gates refused on the way."""
+    docs = _docs(spark, d)
+    regions = targeted.window_regions(docs, structure.spans(docs), _risk, 24, 12, 5)
+    s = targeted.Settings(mode="relative_reduction", least_gain=9.0, limits=(0.3, 0.3, 0.05), width=2, max_candidates=12, scorer="marks/1")
+    r = targeted.search(regions, _phrase_options, _risk, s)
+    return r.groupBy("state", "reason", "depth").agg(F.count(F.lit(1)).alias("n"), F.sum("scored").alias("scored"), F.sum(F.size("refused")).alias("refused"), F.sum("duplicates").alias("duplicates"))
+
+
 def proposals(spark: S, d: str) -> DataFrame:
     rows = ["However,", "Although it rained, we went out.", "one; two", "a — b", "It ended. However, we stayed.", "nothing"]
     p = table(spark, d, "nation").select(F.col("n_nationkey").alias("id"), F.get(F.array(*(F.lit(r) for r in rows)), (F.col("n_nationkey") % len(rows)).cast("int")).alias("phrase"))
@@ -476,6 +498,6 @@ QUERIES = {
         ops_validate, sanitize_all_policies, span_counts, spans_resolved, span_anti_join, blocked_findings, md_blocks, plain_paragraphs, gate_matrix, gate_rejections, select_min_edit,
         skyline, topk_regions, dedup_by_hash, diverse_beam, token_windows, window_risk, regions_clipped, regions_merged, windows_clipped, edits_located, voice_by_source, voice_by_lang, ttr_by_lang, turn_bigram_divergence,
         benchmark_8gram_overlap, html_meta_evidence, html_clean, evidence_state, frontmatter_lines, frontmatter_clean, attachment_evidence, attachment_states, budget_admission, lease_ledger,
-        event_sequence, event_rates, rejection_tally, candidate_ids, attachment_rows_cleaned, stagnation, detection_metrics, before_after_flip, provider_separation, config_precedence, target_states, one_shot_select, recursive_rollback, beam_depths, proposals,
+        event_sequence, event_rates, rejection_tally, candidate_ids, attachment_rows_cleaned, stagnation, detection_metrics, before_after_flip, provider_separation, config_precedence, target_states, one_shot_select, recursive_rollback, beam_depths, targeted_search, targeted_outcomes, proposals,
     )
 }
