@@ -13,21 +13,23 @@ Fingerprints that share a segment of the first cut are verified on all bits and
 first, which joins nearly all of a group of copies. Then, for each of ``CUTS``
 cuts, each distinct fingerprint is indexed under every segment with one wildcard,
 and members of different components that share a variant are verified on all bits.
-Some segments are matched at a time: fingerprints are sorted by variant and component, and a
-task links the members of a key.
+Segments that differ by one bit share a half: fingerprints are dealt by the 24 halves
+of their segments, and a task sorts the one-wildcard variants of the other
+halves of its members, so ten times fewer rows are shuffled than there are variants.
 
 Up to 23 differing bits (0.91) some segment of every cut differs by at most one, so the pair
 shares a variant for sure. Beyond, it shares none if every segment of every cut differs by two or more:
 ``chance_of_missing`` gives it (four cuts: below 0.0001 at 36 bits, 0.0005 at 40, 0.006 at
 44, 0.07 at 51, the limit), and a pair so missed is still joined if another text links both. No segments are both
 few and certain at that distance: certainty at 51 bits takes 26 segments of ten bits, which unrelated texts share by the
-thousand. Work and shuffle are in proportion to the distinct fingerprints (1,024 keys each).
+thousand. Work and shuffle are in proportion to the distinct fingerprints (1,024 variants and 96 rows each).
 ``all_links`` compares every two of them and is there to measure what is found.
 
 Keys that very many share: members of one component are never compared with each
 other, so a group of copies costs nothing however large; members of different ones
-are all compared in the task, up to ``HOLD`` of a key at once. A key with more is
-dealt again as pairs of blocks, which meet in tasks of their own. Nothing is capped or dropped.
+are all compared in the task, up to ``HOLD`` members of a half at once. A half with more is
+dealt again by its variants, and a variant with more as pairs of blocks, which meet in tasks of their own.
+Nothing is capped or dropped.
 
 Links join components as found so far by their smallest members; members of a
 component need not be near copies of that one themselves.
@@ -40,7 +42,7 @@ and stay; extra columns pass through; an empty table gives no rows.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -63,8 +65,6 @@ HOLD = 1 << 18
 BLOCK = 1 << 16
 #: Keys of up to so many members are compared together.
 FEW = 16
-#: Segments that are matched in one pass; their variants are on disk together.
-TOGETHER = 3
 _CUTS = [BITS * i // SEGMENTS for i in range(SEGMENTS + 1)]
 _N = BITS // 64
 _WORDS = [f"f{i}" for i in range(_N)]
@@ -168,14 +168,30 @@ def _exact(rows: DataFrame) -> DataFrame:
     return rows.withColumn("k", F.explode(F.array(*keys)))
 
 
-def _variants(rows: DataFrame, numbers: list[int]) -> DataFrame:
-    """rows under the one-wildcard variants (k) of some segments."""
+def _halves(rows: DataFrame) -> DataFrame:
+    """rows under the values (k: segment, half, value) of both halves of all their segments; what differs by one bit shares one."""
     keys = []
-    for number in numbers:
-        bits, width = _segment(number)
-        rows = rows.withColumn(f"_seg{number}", bits)
-        keys.append(F.expr(f"transform(sequence(0, {width - 1}), p -> {number << 40}L | shiftleft(cast(p as bigint), 32) | (_seg{number} & ~shiftleft(1L, p)))"))
-    return rows.withColumn("k", F.explode(F.concat(*keys))).drop(*(f"_seg{n}" for n in numbers))
+    for n in range(SEGMENTS):
+        bits, width = _segment(n)
+        low = width // 2
+        keys += [F.lit(n << 40).bitwiseOR(bits.bitwiseAND(F.lit((1 << low) - 1))), F.lit((n << 40) | (1 << 32)).bitwiseOR(F.shiftrightunsigned(bits, low))]
+    return rows.withColumn("k", F.explode(F.array(*keys))).select("k", "label", *_WORDS)
+
+
+def _bits_of(k: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of rows under halves: the segment's bits, and the first and last place in it that the other half has."""
+    number, side = k >> 40, (k >> 32) & 1
+    bits = np.zeros(len(k), np.uint64)
+    width = np.zeros(len(k), np.int64)
+    for n in np.unique(number).tolist():
+        at, (begin, end) = number == n, (_CUTS[n], _CUTS[n + 1])
+        word, shift = divmod(begin, 64)
+        x = fps[at, word] >> np.uint64(shift)
+        if shift + end - begin > 64:
+            x = x | (fps[at, word + 1] << np.uint64(64 - shift))
+        bits[at], width[at] = x & np.uint64((1 << (end - begin)) - 1), end - begin
+    low = width // 2
+    return bits, np.where(side == 0, low, 0), np.where(side == 0, width, low)
 
 
 def _near(a: np.ndarray, b: np.ndarray, distance: int) -> np.ndarray:
@@ -341,66 +357,119 @@ def _across(labels: np.ndarray, fps: np.ndarray, distance: int, found: _Found) -
 _GIANT = -1
 
 
-def _variant_links(distance: int, hold: int):
-    """Reads k, label and the fingerprint, sorted by key and label, and links the labels of near members of each key.
+def _together(key: np.ndarray, labels: np.ndarray, fps: np.ndarray, distance: int, found: _Found) -> Iterator[pa.RecordBatch]:
+    """Links near members of different labels that stand under one key; rows are sorted by key and label."""
+    starts = np.concatenate(([0], np.nonzero(key[1:] != key[:-1])[0] + 1))
+    ends = np.concatenate((starts[1:], [len(key)]))
+    mixed = labels[starts] != labels[ends - 1]
+    size = ends - starts
+    rows = np.nonzero(np.repeat(mixed & (size <= FEW), size))[0]
+    group = np.repeat(np.arange(len(size)), size)[rows]
+    for lag in range(1, FEW):  # all pairs of all small keys at once
+        one = np.nonzero(group[lag:] == group[:-lag])[0]
+        if not len(one):
+            break
+        a, b = rows[one], rows[one + lag]
+        apart = labels[a] != labels[b]
+        a, b = a[apart], b[apart]
+        near = _near(fps[a], fps[b], distance)
+        found.add(labels[a[near]], labels[b[near]])
+    for s, e in zip(starts[mixed & (size > FEW)].tolist(), ends[mixed & (size > FEW)].tolist(), strict=True):
+        yield from _across(labels[s:e], fps[s:e], distance, found)
+    yield from found.take(EDGES)
+
+
+def _grouped(hold: int, links) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Reads k, label and the fingerprint, sorted by k and label, and hands whole keys to ``links``, many at a time.
 
     A key of more than hold members is told as (k, _GIANT) and not compared here.
     """
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, n = None, 0
-        held: list[tuple[np.ndarray, np.ndarray]] = []
         found = _Found()
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        n, giant = 0, None  # rows held, all whole keys but the last; a key that is passed over
 
         def close() -> Iterator[pa.RecordBatch]:
-            if n > hold:
-                yield edge_batch(np.array([[key], [_GIANT]], np.int64))
-            elif n > 1:
-                labels = np.concatenate([x for x, _ in held])
-                if labels[0] != labels[-1]:
-                    yield from _across(labels, np.concatenate([f for _, f in held]), distance, found)
+            nonlocal n
+            if n > 1:
+                yield from links(*(np.concatenate(x) for x in zip(*held, strict=True)), found)
             held.clear()
+            n = 0
 
         for batch in batches:
             if not batch.num_rows:
                 continue
             k, labels = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             fps = np.stack([batch.column(2 + i).to_numpy() for i in range(_N)], 1).view(np.uint64)
-            starts = np.concatenate(([0], np.nonzero(k[1:] != k[:-1])[0] + 1))
-            ends = np.concatenate((starts[1:], [len(k)]))
-            size = ends - starts
-            small = (size > 1) & (size <= FEW)
-            small[[0, -1]] = False  # a batch's first and last key may go on
-            rows = np.nonzero(np.repeat(small, size))[0]
-            group = np.repeat(np.arange(len(size)), size)[rows]
-            for lag in range(1, FEW):  # all pairs of all small keys at once
-                one = np.nonzero(group[lag:] == group[:-lag])[0]
-                if not len(one):
-                    break
-                a, b = rows[one], rows[one + lag]
-                apart = labels[a] != labels[b]
-                a, b = a[apart], b[apart]
-                near = _near(fps[a], fps[b], distance)
-                found.add(labels[a[near]], labels[b[near]])
-            take = (size > FEW) & (labels[starts] != labels[ends - 1])
-            take[[0, -1]] = True
-            for s, e in zip(starts[take].tolist(), ends[take].tolist(), strict=True):
-                if k[s] != key:
+            at = int(np.searchsorted(k, giant, "right")) if giant is not None else 0
+            while at < len(k):
+                last = int(np.searchsorted(k, k[-1]))  # the batch's last key may go on
+                to = last if last > at else len(k)
+                if held and held[-1][0][-1] != k[at]:
                     yield from close()
-                    key, n = k[s], 0
-                n += e - s
-                if n <= hold:
-                    held.append((labels[s:e], fps[s:e]))
-                else:
+                held.append((k[at:to], labels[at:to], fps[at:to]))
+                n += to - at
+                at = to
+                if n > hold and held[0][0][0] == held[-1][0][-1]:  # one key alone
+                    giant = int(held[0][0][0])
+                    yield edge_batch(np.array([[giant], [_GIANT]], np.int64))
                     held.clear()
-            yield from found.take(EDGES)
+                    n = 0
+                    at = int(np.searchsorted(k, giant, "right"))
         yield from close()
         yield from found.take(0)
 
     return run
 
 
+def _half_links(distance: int):
+    """Of members that share half of a segment, those that share a one-wildcard variant of the other half are verified and linked."""
+
+    def links(k: np.ndarray, labels: np.ndarray, fps: np.ndarray, found: _Found) -> Iterator[pa.RecordBatch]:
+        group = np.cumsum(np.concatenate(([0], (k[1:] != k[:-1]).astype(np.int64))))
+        many = np.bincount(group)[group] > 1
+        k, labels, fps, group = k[many], labels[many], fps[many], group[many]
+        if not len(k):
+            return
+        bits, first, last = _bits_of(k, fps)
+        for p in range(int(first.min()), int(last.max())):
+            at = np.nonzero((first <= p) & (p < last))[0]
+            key = (group[at] << 24) | (bits[at] & ~np.uint64(1 << p)).astype(np.int64)
+            order = np.argsort(key, kind="stable")
+            key, at = key[order], at[order]
+            same = np.concatenate((key[1:] == key[:-1], [False]))
+            same[1:] |= same[:-1].copy()
+            if same.any():
+                yield from _together(key[same], labels[at[same]], fps[at[same]], distance, found)
+
+    return links
+
+
+def _variant_links(distance: int):
+    def links(k: np.ndarray, labels: np.ndarray, fps: np.ndarray, found: _Found) -> Iterator[pa.RecordBatch]:
+        yield from _together(k, labels, fps, distance, found)
+
+    return links
+
+
+@lean
+def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows under halves, each under the one-wildcard variants (k: segment, place, value) of its segment's other half."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        k = batch.column(0).to_numpy()
+        fps = np.stack([batch.column(2 + i).to_numpy() for i in range(_N)], 1).view(np.uint64)
+        bits, first, last = _bits_of(k, fps)
+        for p in range(int(first.min()), int(last.max())):
+            at = np.nonzero((first <= p) & (p < last))[0]
+            key = ((k[at] >> 40) << 40) | (p << 32) | (bits[at] & ~np.uint64(1 << p)).astype(np.int64)
+            take = pa.array(at)
+            yield pa.RecordBatch.from_arrays([pa.array(key), *(batch.column(i).take(take) for i in range(1, 2 + _N))], ["k", "label", *_WORDS])
+
+
 def _met(distance: int):
     """Reads k, i, j, own (the row's block), label and the fingerprint, sorted by k, i, j and label, and compares each two blocks of a key."""
 
@@ -480,23 +549,31 @@ def near_links(classes: DataFrame, distance: int = DISTANCE, bucket: int = BUCKE
         rows = classes.join(parts.hint("merge"), classes.rep == parts.node, "left")
         return parts.toDF("a", "b"), materialize(rows.select(F.coalesce("root", "rep").alias("label"), *_WORDS), "labelled")
 
-    def variants_met(rows: DataFrame, numbers: list[int]) -> DataFrame:
-        keyed = _variants(rows, numbers).select("k", "label", *_WORDS).repartition("k").sortWithinPartitions("k", "label")
-        met = materialize(keyed.mapInArrow(_variant_links(distance, hold), _OUT), "near-links")
-        giant = met.filter(F.col("b") == _GIANT).select(F.col("a").alias("k"))
+    def matched(keyed: DataFrame, links) -> tuple[DataFrame, DataFrame]:
+        """Links by whole keys, and the keys that have too many members for a task."""
+        dealt = keyed.repartition("k").sortWithinPartitions("k", "label")
+        met = materialize(dealt.mapInArrow(_grouped(hold, links), _OUT), "near-links")
+        return met.filter(F.col("b") != _GIANT), met.filter(F.col("b") == _GIANT).select(F.col("a").alias("k"))
+
+    def variants_met(rows: DataFrame) -> DataFrame:
+        """Members of half-segments in one task; those of giant ones by variants, and of giant variants by blocks."""
+        met, giant = matched(_halves(rows), _half_links(distance))
         if giant.isEmpty():
             return met
-        again = _variants(rows, numbers).select("k", "label", *_WORDS).join(giant, "k", "left_semi")
-        sizes = again.groupBy("k").agg(F.ceil(F.count(F.lit(1)) / block).alias("n"))
-        dealt = _in_blocks(again.join(materialize(sizes, "giant-keys"), "k"), F.col("n"))
-        return met.filter(F.col("b") != _GIANT).union(materialize(dealt.mapInArrow(_met(distance), _OUT), "near-links"))
+        again = materialize(_halves(rows).join(giant, "k", "left_semi").select("k", "label", *_WORDS).mapInArrow(_variants, f"k bigint, label bigint, {_DDL}"), "variants")
+        more, giant = matched(again, _variant_links(distance))
+        if giant.isEmpty():
+            return met.union(more)
+        again = again.join(giant, "k", "left_semi")
+        sizes = materialize(again.groupBy("k").agg(F.ceil(F.count(F.lit(1)) / block).alias("n")), "giant-keys")
+        dealt = _in_blocks(again.join(sizes, "k"), F.col("n"))
+        return met.union(more).union(materialize(dealt.mapInArrow(_met(distance), _OUT), "near-links"))
 
     keyed = _exact(classes.withColumnRenamed("rep", "label")).select("k", "label", *_WORDS).repartition("k").sortWithinPartitions("k")
     links, rows = labelled(materialize(keyed.mapInArrow(_links(distance, bucket), _OUT), "near-links"))
     for cut in range(cuts):
         of_cut = rows if cut == 0 else materialize(_reordered(rows, cut), "reordered")
-        for first in range(0, SEGMENTS, TOGETHER):
-            links = links.union(variants_met(of_cut, list(range(first, min(first + TOGETHER, SEGMENTS)))))
+        links = links.union(variants_met(of_cut))
         if cut == 0 and cuts > 1:
             discard(rows)
             links, rows = labelled(links)
