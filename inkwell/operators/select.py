@@ -6,6 +6,7 @@ import difflib
 import os
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -78,18 +79,92 @@ def _longest_common(a: str, b: str) -> int:
     return len(b) - row.bit_count()
 
 
+_BASE = 0xD1342543DE82EF95
+
+
+class _Windows:
+    """Hashes of all stretches of a text of any length: polynomials modulo 2**64, from one running sum."""
+
+    def __init__(self, text: str) -> None:
+        self.codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        n = len(self.codes) + 1
+        up, down = np.full(n, _BASE, np.uint64), np.full(n, pow(_BASE, -1, 1 << 64), np.uint64)
+        up[0] = down[0] = 1
+        up, self.down = np.multiply.accumulate(up), np.multiply.accumulate(down)
+        self.sums = np.zeros(n, np.uint64)
+        np.cumsum((self.codes.astype(np.uint64) + np.uint64(1)) * up[:-1], out=self.sums[1:])
+
+    def of(self, lo: int, hi: int, length: int) -> np.ndarray:
+        """Of the stretches of one length that begin in lo..hi - length."""
+        at = slice(lo, hi - length + 1)
+        return (self.sums[lo + length : hi + 1] - self.sums[at]) * self.down[at]
+
+
+def _longest_block(x: _Windows, alo: int, ahi: int, y: _Windows, blo: int, bhi: int, least: int) -> tuple[int, int, int]:
+    """The longest common stretch of two parts, the first in the one and then in the other; at least ``least`` long."""
+
+    def first(length: int) -> tuple[int, int] | None:
+        if length > min(ahi - alo, bhi - blo):
+            return None
+        one, other = x.of(alo, ahi, length), y.of(blo, bhi, length)
+        for i in np.nonzero(np.isin(one, other))[0].tolist():
+            for j in np.nonzero(other == one[i])[0].tolist():
+                if (x.codes[alo + i : alo + i + length] == y.codes[blo + j : blo + j + length]).all():
+                    return alo + i, blo + j
+        return None
+
+    low, high = max(least, 0), min(ahi - alo, bhi - blo)
+    if low < high and first(low + 1) is None:
+        high = low
+    while low < high:
+        mid = (low + high + 1) // 2
+        if first(mid) is None:
+            high = mid - 1
+        else:
+            low = mid
+    return (*(first(low) or (alo, blo)), low) if low else (alo, blo, 0)
+
+
+def _reaches(a: str, b: str, needed: float, least: int) -> bool:
+    """Whether the matching blocks of two texts (the longest common stretch, then the same on its left and right) hold so many characters.
+
+    Blocks are added only until what they hold, or what is left to hold, decides.
+    """
+    x, y = _Windows(a), _Windows(b)
+    todo, matched, open_ = [(0, len(a), 0, len(b), least)], 0, min(len(a), len(b))
+    while todo and matched < needed <= matched + open_:
+        todo.sort(key=lambda t: min(t[1] - t[0], t[3] - t[2]))
+        alo, ahi, blo, bhi, low = todo.pop()
+        room = min(ahi - alo, bhi - blo)
+        open_ -= room
+        if (ahi - alo) * (bhi - blo) <= 40_000:
+            matched += sum(m.size for m in difflib.SequenceMatcher(None, a[alo:ahi], b[blo:bhi], autojunk=False).get_matching_blocks())
+            continue
+        i, j, k = _longest_block(x, alo, ahi, y, blo, bhi, low)
+        matched += k
+        if k:
+            for part in ((alo, i, blo, j), (i + k, ahi, j + k, bhi)):
+                if part[0] < part[1] and part[2] < part[3]:
+                    todo.append((*part, 0))
+                    open_ += min(part[1] - part[0], part[3] - part[2])
+    return matched >= needed
+
+
 def is_alike(a: str, b: str, least: float) -> bool:
     """similarity(a, b) >= least. Matching blocks hold a longest common substring, so a shared prefix or suffix bounds them from below;
-    they form a common subsequence, so its greatest length bounds them from above. Only texts between the bounds are aligned."""
+    they form a common subsequence, so its greatest length bounds them from above. Between the bounds, blocks are matched until they decide."""
     total = len(a) + len(b)
     if a == b or not total:
         return least <= 1.0
     ends = max(len(os.path.commonprefix([a, b])), len(os.path.commonprefix([a[::-1], b[::-1]])))
     if 2.0 * ends / total >= least:
         return True
-    if 2.0 * min(len(a), len(b)) / total < least or 2.0 * _longest_common(a, b) / total < least:
+    if 2.0 * min(len(a), len(b)) / total < least:
         return False
-    return similarity(a, b) >= least
+    if total < 400:
+        return 2.0 * _longest_common(a, b) / total >= least and similarity(a, b) >= least
+    needed = next(m for m in range(max(0, int(least * total / 2) - 2), total + 2) if 2.0 * m / total >= least)
+    return _reaches(a, b, needed, ends)
 
 
 def diverse_beam(candidates: DataFrame, width: int, most_alike: float = 0.9, by: str = "doc_id") -> DataFrame:

@@ -1,6 +1,7 @@
 """Registered queries take whole texts, not prefixes."""
 
 import random
+import time
 
 from inkwell.operators.select import diverse_beam, is_alike, similarity
 from inkwell.plans import queries
@@ -33,3 +34,26 @@ def test_beam_reads_what_stands_late(spark):
     rows = [(1, 0, same + "x" * 100), (1, 1, same + "y" * 100), (1, 2, same + "x" * 99 + "z"), (1, 3, "q" * 300), (2, 0, ""), (2, 1, "")]
     got = diverse_beam(spark.createDataFrame(rows, "doc_id long, place int, text string"), 3).collect()
     assert sorted((r.doc_id, r.place) for r in got) == [(1, 0), (1, 1), (1, 3), (2, 0), (2, 1)]
+
+
+def test_blocks_decide_long_texts_as_the_alignment_does():
+    r = random.Random(8)
+    words = ["the", "cat", "dog ", "aaaa", "abab", "x", "\U0001f3f4"]
+    for k in range(120):
+        a = "".join(r.choices(words, k=r.randrange(60, 400)))
+        b = a if r.random() < 0.8 else "".join(r.choices(words, k=r.randrange(60, 400)))
+        for _ in range(r.randint(1, 6)):
+            i, n = r.randrange(len(b)), r.randrange(30)
+            b = b[:i] + "".join(r.choices(words, k=r.randrange(8))) + b[i + n :]
+        same = similarity(a, b)
+        for least in (0.1, 0.5, 0.9, 0.95, same, min(1.0, same + 1e-9)):
+            assert is_alike(a, b, least) == (same >= least), (k, least, same)
+
+
+def test_long_texts_are_compared_in_time():
+    r = random.Random(9)
+    a = "".join(r.choices("etaoin shrdlu", k=120_000))
+    b = a[:50_000] + "changed" + a[50_300:90_000] + "again" + a[90_001:]
+    began = time.process_time()
+    assert is_alike(a, b, 0.92) and not is_alike(a, b[::-1], 0.92)
+    assert time.process_time() - began < 8
