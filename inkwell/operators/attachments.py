@@ -279,10 +279,12 @@ def evidence_of(data: bytes) -> tuple[str, list[Row]]:
         elif kind == "markdown":
             rows += _front_rows(data.decode("utf-8-sig"))
         elif kind == "svg":
+            if b"<!DOCTYPE" in data or b"<!ENTITY" in data:
+                raise ValueError("a DTD is not read")
             for e in ET.fromstring(data).iter():
                 if isinstance(e.tag, str) and e.tag.rsplit("}", 1)[-1] == "metadata":
                     rows += _xml_rows("svg:metadata", ET.tostring(e))
-    except (ValueError, ET.ParseError, zlib.error, struct.error, zipfile.BadZipFile) as e:
+    except (ValueError, ET.ParseError, zlib.error, struct.error, zipfile.BadZipFile, RecursionError) as e:
         rows.append(("unknown", kind, "unreadable", str(e)))
     return kind, rows
 
@@ -377,6 +379,8 @@ def clean_office(data: bytes) -> bytes | None:
     is_meta = lambda n: n.startswith(("docProps/", "customXml/")) or n == "meta.xml"
     out = io.BytesIO()
     with zipfile.ZipFile(io.BytesIO(data)) as z, zipfile.ZipFile(out, "w") as new:
+        if len(z.infolist()) > MOST_CHUNKS or sum(info.file_size for info in z.infolist()) > MOST_INFLATED:
+            return None
         for info in z.infolist():
             body = z.read(info)
             if is_meta(info.filename):
@@ -415,7 +419,7 @@ def clean(files: DataFrame) -> DataFrame:
                 try:
                     cleaner = CLEANERS.get(sniff(data or b""))
                     out.append(cleaner(data) if cleaner else None)
-                except (ValueError, ET.ParseError, struct.error, zlib.error, zipfile.BadZipFile):
+                except (ValueError, ET.ParseError, struct.error, zlib.error, zipfile.BadZipFile, RecursionError):
                     out.append(None)
             yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(out, pa.binary())], ["path", "cleaned"])
 

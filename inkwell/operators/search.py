@@ -1,7 +1,7 @@
 """Candidate edits of marked phrases with a synthetic scorer: proposals, one shot, hops with roll-back, beam.
 
-The search works on tables, one set of rows per round; the driver only counts
-rounds. Scores come from a column function that the caller gives; the queries
+The search works on tables, one set of rows per round, committed before the next;
+the driver only counts rounds. Scores come from a column function that the caller gives; the queries
 use a synthetic one. No model is called from executors and no networked adapter
 exists here.
 """
@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkwell.operators import select
+from inkwell.sources.rounds import Rounds
 
 #: Connectives and their alternatives.
 CONNECTIVES = {"However,": "Still,", "Therefore,": "Thus,", "Additionally,": "Also,", "For example,": "For instance,"}
@@ -62,21 +63,68 @@ def one_shot(docs: DataFrame, options: DataFrame, scorer: Scorer, threshold: flo
     return select.best(scored(candidates(docs, options), scorer, threshold)).select("doc_id", "idx", "result", "risk", "target_met")
 
 
-def hops(docs: DataFrame, step: Callable[[DataFrame, int], DataFrame], scorer: Scorer, most: int = 3, patience: int = 1) -> DataFrame:
-    """doc_id, hop, text, risk: hop after hop from the best so far; a document stops after ``patience`` hops without gain, and its best hop stays.
+def hops(docs: DataFrame, step: Callable[[DataFrame, int], DataFrame], scorer: Scorer, most: int = 3, patience: int = 1, threshold: float | None = None, folder: str | None = None, settings: dict | None = None) -> DataFrame:
+    """doc_id, hop, text, risk, baseline, hops_run, met, reason: hop after hop from the best text so far.
 
-    step(docs, hop) gives each document's next text (doc_id, text).
+    step(docs, hop) gives each document's next text (doc_id, text); it may take another style for each hop. A
+    text that isn't better is rolled back. A document stops when its risk is at most
+    the threshold, or after ``patience`` hops in a row without gain. Each hop's state is
+    committed, so plans stay as long as one hop, and a run with a folder and equal settings goes on where one was stopped.
     """
-    best = docs.select("doc_id", "text").withColumns({"risk": scorer(F.col("text")), "hop": F.lit(0), "idle": F.lit(0)})
-    for hop in range(1, most + 1):
-        nxt = step(best.filter(F.col("idle") < patience).select("doc_id", "text"), hop).select("doc_id", F.col("text").alias("n_text"))
-        j = best.join(nxt, "doc_id", "left").withColumn("n_risk", scorer(F.col("n_text")))
+    met = lambda risk: F.coalesce(risk <= F.lit(threshold).cast("double"), F.lit(False))
+    limits = {"most": most, "patience": patience, "threshold": threshold, **(settings or {})}
+    rounds = Rounds(docs.sparkSession, folder, limits, docs.select("doc_id", "text"))
+    last = rounds.last("hop", most)
+    if last < 0:
+        first = docs.select("doc_id", "text").withColumn("baseline", scorer(F.col("text")).cast("double"))
+        reason = F.when(met(F.col("baseline")), "source already met the requested target")
+        rounds.commit(first.withColumns({"risk": F.col("baseline"), "hop": F.lit(0), "idle": F.lit(0), "hops_run": F.lit(0), "reason": reason}), "hop-0")
+        last = 0
+    for hop in range(last + 1, most + 1):
+        front = rounds.read(f"hop-{hop - 1}").filter("reason is null")
+        nxt = step(front.select("doc_id", "text"), hop).select("doc_id", F.col("text").alias("n_text"))
+        j = front.join(nxt, "doc_id", "left").withColumn("n_risk", scorer(F.col("n_text")).cast("double"))
         better = F.coalesce(F.col("n_risk") < F.col("risk"), F.lit(False))
-        best = j.select(
-            "doc_id", F.when(better, F.col("n_text")).otherwise(F.col("text")).alias("text"), F.when(better, F.col("n_risk")).otherwise(F.col("risk")).alias("risk"),
-            F.when(better, hop).otherwise(F.col("hop")).alias("hop"), F.when(better, 0).otherwise(F.col("idle") + 1).alias("idle"),
+        pick = lambda a, b, better=better: F.when(better, a).otherwise(b)
+        j = j.select(
+            "doc_id", pick(F.col("n_text"), F.col("text")).alias("text"), "baseline", pick(F.col("n_risk"), F.col("risk")).alias("risk"),
+            pick(F.lit(hop), F.col("hop")).alias("hop"), pick(F.lit(0), F.col("idle") + 1).alias("idle"), F.lit(hop).alias("hops_run"),
         )
-    return best.select("doc_id", "hop", "text", "risk")
+        reason = F.when(met(F.col("risk")), "requested target met; stopping early").when(F.col("idle") >= patience, "stagnation limit reached; stopping early").when(F.lit(hop == most), "hop schedule exhausted")
+        rounds.commit(j.withColumn("reason", reason), f"hop-{hop}")
+    out = None
+    for hop in range(most + 1):
+        part = rounds.read(f"hop-{hop}").filter("reason is not null" if most else "true")
+        out = part if out is None else out.unionByName(part)
+    return out.select("doc_id", "hop", "text", "risk", "baseline", "hops_run", met(F.col("risk")).alias("met"), "reason")
+
+
+def structured(completions: DataFrame, allowed: tuple[str, ...], limit: int) -> DataFrame:
+    """doc_id, region, place, replacement, operator, rank, refusal of every completion.
+
+    completions: doc_id, region, place (its order), phrase (the region's text), completion. One must be a JSON object of
+    nothing but ``replacement`` and ``operator``, both texts; the refusal says what is wrong. Of
+    equal replacements by one operator in a region the last one stands, the others are repeated. What stands is
+    ranked by operator and replacement, and beyond the limit of a region is over the limit. No model is called here.
+    """
+    # text behind a value is passed over by the parser: within a list and an object it isn't
+    within = lambda a, b: F.try_parse_json(F.concat(F.lit(a), "completion", F.lit(b)))
+    v = F.when(within("[", "]").isNotNull() & within('{"c":', "}").isNotNull(), F.try_parse_json("completion"))
+    rows = completions.select("doc_id", "region", "place", "phrase", v.alias("v"))
+    rows = rows.withColumn("kind", F.schema_of_variant("v"))
+    text = lambda name: F.when(F.col("kind") == "OBJECT<operator: STRING, replacement: STRING>", F.try_variant_get("v", f"$.{name}", "string"))
+    rows = rows.withColumns({"replacement": text("replacement"), "operator": text("operator")})
+    refusal = (
+        F.when(F.col("v").isNull(), "not JSON").when(~F.col("kind").startswith("OBJECT<"), "not an object").when(F.col("replacement").isNull(), "not the two fields")
+        .when(F.col("replacement") == "", "empty replacement").when(F.col("replacement") == F.col("phrase"), "no change").when(~F.col("operator").isin(*allowed), "operator not allowed")
+    )
+    rows = rows.select("doc_id", "region", "place", "replacement", "operator", refusal.alias("refusal"))
+    key = ["doc_id", "region", "operator", "replacement"]
+    last = Window.partitionBy(*key, F.col("refusal").isNull()).orderBy(F.desc("place"))
+    rows = rows.withColumn("_n", F.row_number().over(last)).withColumn("refusal", F.when(F.col("refusal").isNull() & (F.col("_n") > 1), "repeated").otherwise(F.col("refusal")))
+    order = Window.partitionBy("doc_id", "region", F.col("refusal").isNull()).orderBy("operator", "replacement")
+    rows = rows.withColumn("rank", F.when(F.col("refusal").isNull(), F.row_number().over(order)))
+    return rows.withColumn("refusal", F.when(F.col("rank") > limit, "over the limit").otherwise(F.col("refusal"))).drop("_n")
 
 
 def beam(docs: DataFrame, phrases: list[tuple[str, str]], scorer: Scorer, width: int = 4, depth: int = 2) -> DataFrame:

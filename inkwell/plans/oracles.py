@@ -130,6 +130,24 @@ def oracle_sql() -> dict[str, str]:
                     WHEN 2 THEN CASE WHEN f.a IS NULL THEN 'unknown' WHEN e.c > f.a THEN 'overrun' ELSE 'ok' END WHEN 3 THEN CASE WHEN f.a IS NULL THEN 'unknown' ELSE 'ok' END ELSE CASE WHEN f.b IS NULL THEN 'unknown' ELSE 'ok' END END
                 FROM f JOIN e ON e.user_id = f.user_id AND e.k = f.k + 1)
             SELECT event_id, outcome, spent, coalesce(a, 0) + coalesce(b, 0) AS reserved, 300 - spent - coalesce(a, 0) - coalesce(b, 0) AS remaining FROM f""",
+        "recursive_rollback": f"""WITH b AS (SELECT doc_id, text AS t0, {risk('text')} AS r0 FROM documents),
+            m1 AS (SELECT *, replace(t0, 'th', 'x') AS n1, {risk("replace(t0, 'th', 'x')")} AS q1 FROM b),
+            h1 AS (SELECT *, CASE WHEN r0 > 2 AND q1 < r0 THEN n1 ELSE t0 END AS t1, CASE WHEN r0 > 2 AND q1 < r0 THEN q1 ELSE r0 END AS r1, CASE WHEN r0 > 2 AND q1 < r0 THEN 1 ELSE 0 END AS b1,
+                CASE WHEN r0 > 2 AND NOT q1 < r0 THEN 1 ELSE 0 END AS i1, r0 > 2 AS a1 FROM m1),
+            m2 AS (SELECT *, replace(t1, 'en', 'thth') AS n2, {risk("replace(t1, 'en', 'thth')")} AS q2, a1 AND r1 > 2 AS a2 FROM h1),
+            h2 AS (SELECT *, CASE WHEN a2 AND q2 < r1 THEN n2 ELSE t1 END AS t2, CASE WHEN a2 AND q2 < r1 THEN q2 ELSE r1 END AS r2, CASE WHEN a2 AND q2 < r1 THEN 2 ELSE b1 END AS b2,
+                CASE WHEN NOT a2 THEN i1 WHEN q2 < r1 THEN 0 ELSE i1 + 1 END AS i2 FROM m2),
+            m3 AS (SELECT *, {risk("replace(t2, 'la', 'y')")} AS q3, a2 AND r2 > 2 AND i2 < 2 AS a3 FROM h2),
+            h3 AS (SELECT *, CASE WHEN a3 AND q3 < r2 THEN q3 ELSE r2 END AS r3, CASE WHEN a3 AND q3 < r2 THEN 3 ELSE b2 END AS b3, CASE WHEN NOT a3 THEN i2 WHEN q3 < r2 THEN 0 ELSE i2 + 1 END AS i3 FROM m3)
+            SELECT doc_id, CAST(b3 AS INTEGER) AS hop, r3 AS risk, r0 AS baseline, CAST(CASE WHEN a3 THEN 3 WHEN a2 THEN 2 WHEN a1 THEN 1 ELSE 0 END AS INTEGER) AS hops_run, r3 <= 2 AS met,
+                CASE WHEN NOT a1 THEN 'source already met the requested target' WHEN r3 <= 2 THEN 'requested target met; stopping early' WHEN i3 >= 2 THEN 'stagnation limit reached; stopping early' ELSE 'hop schedule exhausted' END AS reason FROM h3""",
+        "minimal_edits": "SELECT doc_id, sha256(replace(replace(text, 'th', 'd'), ' and ', ' & ')) AS sha256, replace(replace(text, 'th', 'd'), ' and ', ' & ') <> text AS changed FROM documents",
+        "structured_proposals": """WITH c AS (SELECT doc_id, substr(text, 1, 20) AS phrase, unnest(range(4)) AS place FROM documents),
+            k AS (SELECT *, CASE WHEN place = 3 THEN doc_id % 8 ELSE (doc_id + place) % 8 END AS kind FROM c)
+            SELECT doc_id, CAST(place AS INTEGER) AS place, CASE kind WHEN 0 THEN CASE WHEN place = 0 THEN 'repeated' END WHEN 1 THEN 'not JSON' WHEN 2 THEN 'not an object' WHEN 3 THEN 'not the two fields' WHEN 4 THEN 'empty replacement'
+                WHEN 5 THEN CASE WHEN phrase = '' THEN 'empty replacement' ELSE 'no change' END WHEN 6 THEN 'operator not allowed' ELSE 'not the two fields' END AS refusal,
+                CAST(CASE WHEN kind = 0 AND place > 0 THEN 1 END AS INTEGER) AS rank,
+                CASE kind WHEN 0 THEN sha256('x' || phrase) WHEN 4 THEN sha256('') WHEN 5 THEN sha256(phrase) WHEN 6 THEN sha256('x') END AS sha256 FROM k""",
         "voice_by_source": _style("source"),
         "ttr_by_lang": f"""WITH w AS (SELECT lang, unnest(regexp_extract_all(text, '{voice.WORD.replace("'", "''")}')) AS w FROM documents)
             SELECT lang, count(*) AS n_words, count(DISTINCT lower(w)) AS n_types, count(DISTINCT lower(w)) / count(*) AS ttr FROM w GROUP BY lang""",

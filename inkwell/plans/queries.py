@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from inkwell.functions import ucd
-from inkwell.operators import attachments, fidelity, inspect, ledger, localize, metadata, operations, sanitize, search, select, structure, targeted, voice
+from inkwell.operators import diffs, fidelity, inspect, ledger, localize, metadata, operations, sanitize, search, select, structure, targeted, voice
 from inkwell.plans import fixtures
 from inkwell.session import table
 from inkwell.streaming import stream
@@ -356,14 +356,6 @@ def frontmatter_clean(spark: S, d: str) -> DataFrame:
     return metadata.clean_front(_fronted(spark, d)).select("doc_id", F.sha2("clean", 256).alias("sha256"))
 
 
-def attachment_evidence(spark: S, d: str) -> DataFrame:
-    return attachments.evidence(fixtures.files(spark))
-
-
-def attachment_states(spark: S, d: str) -> DataFrame:
-    return attachments.states(fixtures.files(spark))
-
-
 # -- ledgers, outcomes, search ---------------------------------------------------------------------------------------
 
 
@@ -401,10 +393,6 @@ def candidate_ids(spark: S, d: str) -> DataFrame:
     return fixtures.candidate_rows(_docs(spark, d)).select("doc_id", "idx", select.candidate_id("candidate_id", "content_hash").alias("id"))
 
 
-def attachment_rows_cleaned(spark: S, d: str) -> DataFrame:
-    return attachments.clean(fixtures.files(spark)).select("path", F.length("cleaned").alias("n_bytes"))
-
-
 def stagnation(spark: S, d: str) -> DataFrame:
     r = fixtures.candidate_rows(_docs(spark, d)).select("doc_id", F.col("idx").alias("round"), "risk")
     return ledger.stagnation(r)
@@ -455,8 +443,32 @@ def one_shot_select(spark: S, d: str) -> DataFrame:
 
 
 def recursive_rollback(spark: S, d: str) -> DataFrame:
-    step = lambda x, hop: x.select("doc_id", F.regexp_replace("text", ("th", "en", "la")[hop - 1] + "(?=[a-z])", "x").alias("text"))
-    return search.hops(_docs(spark, d), step, _risk).select("doc_id", "hop", "risk")
+    """Three hops, each with a style of its own; the second and later ones start from the best text so far."""
+    step = lambda x, hop: x.select("doc_id", F.replace("text", F.lit(("th", "en", "la")[hop - 1]), F.lit(("x", "thth", "y")[hop - 1])).alias("text"))
+    return search.hops(_docs(spark, d), step, _risk, patience=2, threshold=2.0).select("doc_id", "hop", "risk", "baseline", "hops_run", "met", "reason")
+
+
+def minimal_edits(spark: S, d: str) -> DataFrame:
+    """The shortest edits from every text to a rewrite of it, carried out again."""
+    rewrite = F.replace(F.replace("text", F.lit("th"), F.lit("d")), F.lit(" and "), F.lit(" & "))
+    r = _docs(spark, d).select("doc_id", "text", rewrite.alias("rewrite")).withColumn("ops", diffs.minimal_edits("text", "rewrite"))
+    r = r.withColumn("again", operations.apply("text", "ops"))
+    return r.select("doc_id", F.sha2("again", 256).alias("sha256"), (F.size("ops") > 0).alias("changed"))
+
+
+_COMPLETIONS = (
+    None, "prose", '["a"]', '{"replacement": "x"}', '{"replacement": "", "operator": "sentence_rewrite"}', None, '{"replacement": "x", "operator": "delete"}', '{"replacement": "x", "operator": "sentence_rewrite", "extra": 1}',
+)
+
+
+def structured_proposals(spark: S, d: str) -> DataFrame:
+    """Four completions for the start of every document, by the rules of structured proposals."""
+    rows = _docs(spark, d).select("doc_id", F.substring("text", 1, 20).alias("phrase"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("place"))
+    kind = F.when(F.col("place") == 3, F.col("doc_id") % 8).otherwise((F.col("doc_id") + F.col("place")) % 8).cast("int")
+    made = lambda text: F.to_json(F.struct(text.alias("replacement"), F.lit("sentence_rewrite").alias("operator")))
+    said = F.when(kind == 0, made(F.concat(F.lit("x"), "phrase"))).when(kind == 5, made(F.col("phrase"))).otherwise(F.get(F.array(*(F.lit(c) for c in _COMPLETIONS)), kind))
+    c = rows.select("doc_id", F.lit(0).alias("region"), "place", "phrase", said.alias("completion"))
+    return search.structured(c, ("sentence_rewrite", "short_span_rewrite"), 2).select("doc_id", "place", "refusal", "rank", F.sha2("replacement", 256).alias("sha256"))
 
 
 def beam_depths(spark: S, d: str) -> DataFrame:
@@ -497,7 +509,7 @@ QUERIES = {
         doc_summary, line_offsets, findings_rows, findings_by_kind, findings_rollup, confusable_words, doc_scripts, script_histogram, sanitize_safe, ops_apply, ops_invert_roundtrip,
         ops_validate, sanitize_all_policies, span_counts, spans_resolved, span_anti_join, blocked_findings, md_blocks, plain_paragraphs, gate_matrix, gate_rejections, select_min_edit,
         skyline, topk_regions, dedup_by_hash, diverse_beam, token_windows, window_risk, regions_clipped, regions_merged, windows_clipped, edits_located, voice_by_source, voice_by_lang, ttr_by_lang, turn_bigram_divergence,
-        benchmark_8gram_overlap, html_meta_evidence, html_clean, evidence_state, frontmatter_lines, frontmatter_clean, attachment_evidence, attachment_states, budget_admission, lease_ledger,
-        event_sequence, event_rates, rejection_tally, candidate_ids, attachment_rows_cleaned, stagnation, detection_metrics, before_after_flip, provider_separation, config_precedence, target_states, one_shot_select, recursive_rollback, beam_depths, targeted_search, targeted_outcomes, proposals,
+        benchmark_8gram_overlap, html_meta_evidence, html_clean, evidence_state, frontmatter_lines, frontmatter_clean, budget_admission, lease_ledger,
+        event_sequence, event_rates, rejection_tally, candidate_ids, stagnation, detection_metrics, before_after_flip, provider_separation, config_precedence, target_states, one_shot_select, recursive_rollback, beam_depths, minimal_edits, structured_proposals, targeted_search, targeted_outcomes, proposals,
     )
 }

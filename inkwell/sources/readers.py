@@ -28,9 +28,10 @@ def read_texts(spark: SparkSession, path: str, most_chars: int = MOST_CHARS) ->
 
 
 def read_attachments(spark: SparkSession, path: str, most_bytes: int = 50 << 20) -> DataFrame:
-    """path, content of files up to a size."""
+    """path, content, problem of every file; the content of one beyond a size is null, and the problem says so."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.filter(F.col("length") <= most_bytes).select("path", "content")
+    large = F.col("length") > most_bytes
+    return files.select("path", F.when(~large, F.col("content")).alias("content"), F.when(large, "too large").alias("problem"))
 
 
 EVENT = "run_id string, sequence bigint, timestamp timestamp, kind string, state string, message string, candidate_id string, data string"

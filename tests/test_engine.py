@@ -36,7 +36,7 @@ def test_queries_equal_sql(spark):
 
 def test_entry_and_rest_run(spark):
     assert entry.entry(spark).count() > 0
-    for name in ("gate_matrix", "gate_rejections", "diverse_beam", "recursive_rollback", "beam_depths", "proposals", "voice_by_lang", "md_blocks", "ops_validate"):
+    for name in ("gate_matrix", "gate_rejections", "diverse_beam", "recursive_rollback", "beam_depths", "proposals", "targeted_outcomes", "voice_by_lang", "md_blocks", "ops_validate"):
         assert entry.queries()[name](spark, SF).count() > 0, name
 
 
