@@ -19,10 +19,10 @@ halves of its members, so ten times fewer rows are shuffled than there are varia
 
 Up to 23 differing bits (0.91) some segment of every cut differs by at most one, so the pair
 shares a variant for sure. Beyond, it shares none if every segment of every cut differs by two or more:
-``chance_of_missing`` gives it (four cuts: below 0.0001 at 36 bits, 0.0005 at 40, 0.006 at
-44, 0.07 at 51, the limit), and a pair so missed is still joined if another text links both. No segments are both
+``chance_of_missing`` gives it (eight cuts: below 0.00001 at 40 bits, 0.00004 at
+44, 0.005 at 51, the limit), and a pair so missed is still joined if another text links both. No segments are both
 few and certain at that distance: certainty at 51 bits takes 26 segments of ten bits, which unrelated texts share by the
-thousand. Work and shuffle are in proportion to the distinct fingerprints (1,024 variants and 96 rows each).
+thousand. Work and shuffle are in proportion to the distinct fingerprints (2,048 variants and 192 rows each).
 ``all_links`` compares every two of them and is there to measure what is found.
 
 Keys that very many share: members of one component are never compared with each
@@ -58,7 +58,7 @@ SEGMENTS = 12
 #: Bits that may differ: a fifth.
 DISTANCE = BITS // 5
 #: Orders of the bits in which segments are cut.
-CUTS = 4
+CUTS = 8
 #: Members of a key that are linked at once when segments are shared, that a task holds of a variant, and of a block of a key with more (48 bytes each).
 BUCKET = 4096
 HOLD = 1 << 18
