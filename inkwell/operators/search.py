@@ -80,21 +80,27 @@ def hops(docs: DataFrame, step: Callable[[DataFrame, int], DataFrame], scorer: S
         reason = F.when(met(F.col("baseline")), "source already met the requested target")
         rounds.commit(first.withColumns({"risk": F.col("baseline"), "hop": F.lit(0), "idle": F.lit(0), "hops_run": F.lit(0), "reason": reason}), "hop-0")
         last = 0
-    for hop in range(last + 1, most + 1):
-        front = rounds.read(f"hop-{hop - 1}").filter("reason is null")
-        nxt = step(front.select("doc_id", "text"), hop).select("doc_id", F.col("text").alias("n_text"))
+    left = lambda hop: rounds.read(f"hop-{hop}").filter("reason is not null" if most else "true").drop("idle")
+    for hop in range(last, most + 1):
+        if not rounds.has(f"done-{hop}"):
+            rounds.commit(left(hop), f"done-{hop}")
+        if hop == most:
+            break
+        front = rounds.read(f"hop-{hop}").filter("reason is null")
+        nxt = step(front.select("doc_id", "text"), hop + 1).select("doc_id", F.col("text").alias("n_text"))
         j = front.join(nxt, "doc_id", "left").withColumn("n_risk", scorer(F.col("n_text")).cast("double"))
         better = F.coalesce(F.col("n_risk") < F.col("risk"), F.lit(False))
         pick = lambda a, b, better=better: F.when(better, a).otherwise(b)
         j = j.select(
             "doc_id", pick(F.col("n_text"), F.col("text")).alias("text"), "baseline", pick(F.col("n_risk"), F.col("risk")).alias("risk"),
-            pick(F.lit(hop), F.col("hop")).alias("hop"), pick(F.lit(0), F.col("idle") + 1).alias("idle"), F.lit(hop).alias("hops_run"),
+            pick(F.lit(hop + 1), F.col("hop")).alias("hop"), pick(F.lit(0), F.col("idle") + 1).alias("idle"), F.lit(hop + 1).alias("hops_run"),
         )
-        reason = F.when(met(F.col("risk")), "requested target met; stopping early").when(F.col("idle") >= patience, "stagnation limit reached; stopping early").when(F.lit(hop == most), "hop schedule exhausted")
-        rounds.commit(j.withColumn("reason", reason), f"hop-{hop}")
+        reason = F.when(met(F.col("risk")), "requested target met; stopping early").when(F.col("idle") >= patience, "stagnation limit reached; stopping early").when(F.lit(hop + 1 == most), "hop schedule exhausted")
+        rounds.commit(j.withColumn("reason", reason), f"hop-{hop + 1}")
+        rounds.drop(f"hop-{hop}")
     out = None
     for hop in range(most + 1):
-        part = rounds.read(f"hop-{hop}").filter("reason is not null" if most else "true")
+        part = rounds.read(f"done-{hop}")
         out = part if out is None else out.unionByName(part)
     return out.select("doc_id", "hop", "text", "risk", "baseline", "hops_run", met(F.col("risk")).alias("met"), "reason")
 

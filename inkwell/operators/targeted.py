@@ -296,14 +296,22 @@ def search(docs: DataFrame, options: Options, scorer: Scorer, settings: Settings
     if last < 0:
         rounds.commit(begin(docs, options, scorer, settings), "round-0")
         last = 0
-    for depth in range(last + 1, settings.depth + 1):
-        rounds.commit(step(rounds.read(f"round-{depth - 1}").filter("reason is null"), depth, scorer, settings), f"round-{depth}")
+    for depth in range(last, settings.depth + 1):
+        if not rounds.has(f"done-{depth}"):  # results of this round's leavers, without what only a search needs
+            rounds.commit(_left(rounds.read(f"round-{depth}").filter("reason is not null")), f"done-{depth}")
+        if depth < settings.depth:
+            rounds.commit(step(rounds.read(f"round-{depth}").filter("reason is null"), depth + 1, scorer, settings), f"round-{depth + 1}")
+            rounds.drop(f"round-{depth}")
     out = None
     for depth in range(settings.depth + 1):
-        part = rounds.read(f"round-{depth}").filter("reason is not null")
+        part = rounds.read(f"done-{depth}")
         out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _left(rows: DataFrame) -> DataFrame:
     result = F.when(F.col("chosen").isNotNull(), operations.apply("text", "chosen.ops")).alias("result")
-    return out.select("doc_id", "state", "reason", "depth", "baseline", F.col("chosen.risk").alias("risk"), F.size("chosen.ops").alias("n_ops"), result, "proposed", "duplicates", "scored", "refused", "rounds", "candidates", "queries")
+    return rows.select("doc_id", "state", "reason", "depth", "baseline", F.col("chosen.risk").alias("risk"), F.size("chosen.ops").alias("n_ops"), result, "proposed", "duplicates", "scored", "refused", "rounds", "candidates", "queries")
 
 
 def window_regions(docs: DataFrame, spans: DataFrame, scorer: Scorer, size: int, stride: int, most: int) -> DataFrame:
@@ -312,8 +320,8 @@ def window_regions(docs: DataFrame, spans: DataFrame, scorer: Scorer, size: int,
 
     windows = localize.token_windows(structure.tokens(docs), size, stride)
     risky = localize.window_scores(docs, windows, scorer).withColumn("risk", F.col("risk") / (F.col("token_end") - F.col("token_start")))
-    cut = localize.clip(localize.merged(risky), spans).join(docs.select("doc_id", "text"), "doc_id")
-    useful = cut.filter(F.substring(F.col("text"), F.col("start") + 1, F.col("end") - F.col("start")).rlike(r"\S")).drop("text")
-    top = localize.ranked(useful, most)
-    held = top.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "start", "end", "risk"))), lambda r: r.dropFields("rank")).alias("regions"))
-    return docs.select("doc_id", "text").join(held, "doc_id", "left")
+    cut = localize.clip(localize.merged(risky), spans)
+    held = cut.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("risk")).alias("r"), "start", "end"))).alias("h"))
+    filled = F.filter("h", lambda r: F.substring(F.col("text"), r["start"] + 1, r["end"] - r["start"]).rlike(r"\S"))
+    regions = F.transform(F.slice(filled, 1, most), lambda r: F.struct(r["start"].alias("start"), r["end"].alias("end"), (-r["r"]).alias("risk")))
+    return docs.select("doc_id", "text").join(held, "doc_id", "left").select("doc_id", "text", regions.alias("regions"))

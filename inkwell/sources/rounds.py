@@ -55,18 +55,28 @@ class Rounds:
 
     def commit(self, df: DataFrame, name: str) -> DataFrame:
         """Write a round (what a stopped run left of it is replaced), mark it and read it back."""
-        df.write.mode("overwrite").parquet(self._place(name))
+        key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"  # what is written needs no shuffle files any more
+        old = self.spark.conf.get(key, "false")
+        self.spark.conf.set(key, "true")
+        try:
+            df.write.mode("overwrite").parquet(self._place(name))
+        finally:
+            self.spark.conf.set(key, old)
         jvm = self.spark._jvm
         mark = jvm.org.apache.hadoop.fs.Path(self._place(name) + ".whole")
         mark.getFileSystem(self.spark._jsc.hadoopConfiguration()).create(mark, True).close()
         return self.spark.read.schema(df.schema).parquet(self._place(name))
 
+    def drop(self, name: str) -> None:
+        """Delete a round that no later one needs."""
+        jvm = self.spark._jvm
+        for place in (self._place(name) + ".whole", self._place(name)):
+            p = jvm.org.apache.hadoop.fs.Path(place)
+            p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(self._place(name))
 
     def last(self, prefix: str, most: int) -> int:
-        """The greatest k up to most with a whole round prefix-k and all before it, or -1."""
-        k = -1
-        while k < most and self.has(f"{prefix}-{k + 1}"):
-            k += 1
-        return k
+        """The greatest k up to most with a whole round prefix-k, or -1."""
+        return next((k for k in range(most, -1, -1) if self.has(f"{prefix}-{k}")), -1)

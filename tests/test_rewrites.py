@@ -77,8 +77,9 @@ def test_hops_roll_back_stop_and_go_on(spark, tmp_path, monkeypatch):
     commit = Rounds.commit
 
     def kept(self, df, name):
-        plans.append(len(df._jdf.queryExecution().optimizedPlan().toString()))
-        if name == "hop-3" and len(plans) < 6:
+        if name.startswith("hop"):
+            plans.append(len(df._jdf.queryExecution().optimizedPlan().toString()))
+        if name == "hop-3" and len(plans) < 5:
             raise RuntimeError("lost")
         return commit(self, df, name)
 
@@ -86,8 +87,8 @@ def test_hops_roll_back_stop_and_go_on(spark, tmp_path, monkeypatch):
     with pytest.raises(RuntimeError):
         search.hops(docs, step, risk, 3, 2, 0.0, folder=f"{tmp_path}/hops")
     again = {r.doc_id: r for r in search.hops(docs, step, risk, 3, 2, 0.0, folder=f"{tmp_path}/hops").collect()}
-    assert again == got and len(plans) == 6
-    assert max(plans[2:]) < 1.2 * min(plans[2:])  # a hop's plan doesn't hold those before it
+    assert again == got and len(plans) == 5
+    assert max(plans[1:]) < 1.2 * min(plans[1:])  # a hop's plan doesn't hold those before it
 
 
 def test_structured_proposals(spark):

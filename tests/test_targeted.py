@@ -167,7 +167,7 @@ def test_a_stopped_run_goes_on(spark, tmp_path, monkeypatch):
     with pytest.raises(RuntimeError, match="lost"):
         targeted.search(docs, options, risk, s, f"{tmp_path}/rounds")
     assert key(targeted.search(docs, options, risk, s, f"{tmp_path}/rounds")) == whole
-    assert made == ["source", "round-0", "round-1", "round-2", "round-3"]
+    assert made == ["source", "round-0", "done-0", "round-1", "done-1", "round-2", "done-2", "round-3", "done-3"]
     made.clear()
     assert key(targeted.search(docs, options, risk, s, f"{tmp_path}/rounds")) == whole and made == []
     other = targeted.Settings(mode="relative_reduction", least_gain=8.0, limits=(0.6, 0.6, 0.2), width=2, stagnation=5)
