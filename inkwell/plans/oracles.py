@@ -130,6 +130,11 @@ def oracle_sql() -> dict[str, str]:
                     WHEN 2 THEN CASE WHEN f.a IS NULL THEN 'unknown' WHEN e.c > f.a THEN 'overrun' ELSE 'ok' END WHEN 3 THEN CASE WHEN f.a IS NULL THEN 'unknown' ELSE 'ok' END ELSE CASE WHEN f.b IS NULL THEN 'unknown' ELSE 'ok' END END
                 FROM f JOIN e ON e.user_id = f.user_id AND e.k = f.k + 1)
             SELECT event_id, outcome, spent, coalesce(a, 0) + coalesce(b, 0) AS reserved, 300 - spent - coalesce(a, 0) - coalesce(b, 0) AS remaining FROM f""",
+        "findings_by_policy": " UNION ALL ".join(f"SELECT * FROM (WITH {q._findings_sql(policy=p)} SELECT '{p}' AS policy, kind, severity, removable, replacement, count(*) AS n FROM findings GROUP BY ALL)" for p in ("safe", "typographic", "aggressive")),
+        "sanitize_all_policies": "SELECT 'report' AS policy, count(*) AS n_docs, CAST(0 AS BIGINT) AS n_ops FROM documents" + "".join(
+            f" UNION ALL SELECT '{p}', (SELECT count(*) FROM documents), (SELECT count(*) FROM documents WHERE doc_id % {len(fixtures.INSERTS)} = 14) + (WITH {q._findings_sql(policy=p)} SELECT count(*) FROM findings WHERE removable)"
+            for p in ("safe", "typographic", "aggressive")
+        ),
         "recursive_rollback": f"""WITH b AS (SELECT doc_id, text AS t0, {risk('text')} AS r0 FROM documents),
             m1 AS (SELECT *, replace(t0, 'th', 'x') AS n1, {risk("replace(t0, 'th', 'x')")} AS q1 FROM b),
             h1 AS (SELECT *, CASE WHEN r0 > 2 AND q1 < r0 THEN n1 ELSE t0 END AS t1, CASE WHEN r0 > 2 AND q1 < r0 THEN q1 ELSE r0 END AS r1, CASE WHEN r0 > 2 AND q1 < r0 THEN 1 ELSE 0 END AS b1,

@@ -42,6 +42,15 @@ def findings_by_kind(spark: S, d: str) -> DataFrame:
     return f.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("removable") & F.col("replacement").isNotNull()).alias("n_removable"))
 
 
+def findings_by_policy(spark: S, d: str) -> DataFrame:
+    """Kinds, severities and what may be changed under each policy that changes anything."""
+    out = None
+    for name in ("safe", "typographic", "aggressive"):
+        f = inspect.findings(_marked(spark, d), inspect.UnicodePolicy(name=name)).withColumn("policy", F.lit(name))
+        out = f if out is None else out.unionByName(f)
+    return out.groupBy("policy", "kind", "severity", "removable", "replacement").agg(F.count(F.lit(1)).alias("n"))
+
+
 def findings_rollup(spark: S, d: str) -> DataFrame:
     m = _marked(spark, d)
     f = inspect.findings(m).select("doc_id", "kind").join(m.select("doc_id", "source", "lang"), "doc_id")
@@ -63,8 +72,12 @@ def script_histogram(spark: S, d: str) -> DataFrame:
 _NOTABLE = ucd.notable_class()
 
 
-def _findings_sql(extra: str = "") -> str:
-    """The verdicts under policy safe, over one row per notable character."""
+def _findings_sql(extra: str = "", policy: str = "safe") -> str:
+    """The verdicts under a policy, over one row per notable character."""
+    rude, tidy = policy == "aggressive", policy in ("typographic", "aggressive")
+    yes = lambda when: "true" if when else "false"
+    put = lambda when, text: f"CAST('{text}' AS VARCHAR)" if when else "CAST(NULL AS VARCHAR)"
+    calm = f"AND {yes(not rude)}"
     inc = lambda cps: "(" + ", ".join(map(str, cps)) + ")"
     has = lambda where, *s: f"regexp_matches({where}, '[{ucd.script_class(*s)}]')"
     rule = lambda k, sev, rem, rep="NULL": f"struct_pack(kind := '{k}', severity := '{sev}', removable := {rem}, replacement := {rep})"
@@ -72,29 +85,30 @@ def _findings_sql(extra: str = "") -> str:
     no = "CAST(NULL AS VARCHAR)"
     rules = [
         (f"cp IN {inc(ucd.INVISIBLE)}", rule("zero_width", "suspicious", "true", gone)),
-        (f"cp IN (8204, 8205) AND ((cp = 8205 AND emoji) OR {has('near12', *ucd.JOINING)})", rule("zero_width", "info", "false", no)),
+        (f"cp IN (8204, 8205) {calm} AND ((cp = 8205 AND emoji) OR {has('near12', *ucd.JOINING)})", rule("zero_width", "info", "false", no)),
         ("cp IN (8204, 8205)", rule("zero_width", "suspicious", "true", gone)),
-        (f"cp IN {inc(ucd.BIDI_OVERRIDE)}", rule("bidi_control", "suspicious", "false", no)),
-        (f"cp IN {inc(ucd.BIDI)} AND {has('near40', *ucd.RIGHT_TO_LEFT)}", rule("bidi_control", "info", "false", no)),
-        (f"cp IN {inc(ucd.BIDI)}", rule("bidi_control", "suspicious", "true", gone)),
-        (f"(cp BETWEEN 65024 AND 65039 OR cp BETWEEN 917760 AND 917999) AND (emoji OR {has('near12', 'Han', 'Hiragana', 'Katakana', 'Mongolian')})", rule("variation_selector", "info", "false", no)),
+        (f"cp IN {inc(ucd.BIDI_OVERRIDE)}", rule("bidi_control", "suspicious", yes(rude), put(rude, ""))),
+        (f"cp IN {inc(ucd.BIDI)} {calm} AND {has('near40', *ucd.RIGHT_TO_LEFT)}", rule("bidi_control", "info", "false", no)),
+        (f"cp IN {inc(ucd.BIDI)} AND NOT {has('near40', *ucd.RIGHT_TO_LEFT)}", rule("bidi_control", "suspicious", "true", gone)),
+        (f"cp IN {inc(ucd.BIDI)}", rule("bidi_control", "notice", yes(rude), put(rude, ""))),
+        (f"(cp BETWEEN 65024 AND 65039 OR cp BETWEEN 917760 AND 917999) {calm} AND (emoji OR {has('near12', 'Han', 'Hiragana', 'Katakana', 'Mongolian')})", rule("variation_selector", "info", "false", no)),
         ("cp BETWEEN 65024 AND 65039 OR cp BETWEEN 917760 AND 917999", rule("variation_selector", "suspicious", "true", gone)),
         ("cp BETWEEN 917504 AND 917631 AND regexp_matches(before, '\\x{1F3F4}[\\x{E0000}-\\x{E007F}]*$')", rule("tag_character", "info", "false", no)),
         ("cp BETWEEN 917504 AND 917631", rule("tag_character", "suspicious", "true", gone)),
         (f"cp = 847 AND {has('near12', *ucd.JOINING, *ucd.RIGHT_TO_LEFT)}", rule("zero_width", "info", "false", no)),
         ("cp = 847", rule("zero_width", "suspicious", "true", gone)),
-        (f"cp BETWEEN 6155 AND 6157 AND {has('near12', 'Mongolian')}", rule("variation_selector", "info", "false", no)),
+        (f"cp BETWEEN 6155 AND 6157 {calm} AND {has('near12', 'Mongolian')}", rule("variation_selector", "info", "false", no)),
         ("cp BETWEEN 6155 AND 6157", rule("variation_selector", "suspicious", "true", gone)),
-        (f"cp IN (6068, 6069) AND {has('near12', 'Khmer')}", rule("zero_width", "info", "false", no)),
+        (f"cp IN (6068, 6069) {calm} AND {has('near12', 'Khmer')}", rule("zero_width", "info", "false", no)),
         ("cp IN (6068, 6069)", rule("zero_width", "suspicious", "true", gone)),
-        ("cp = 5760", rule("unusual_space", "notice", "false", no)),
-        ("cp = 173", rule("format", "notice", "false", no)),
-        (f"cp IN {inc(ucd.KEPT_SPACES)}", rule("non_breaking_space", "info", "false", no)),
+        ("cp = 5760", rule("unusual_space", "notice", yes(tidy), put(tidy, " "))),
+        ("cp = 173", rule("format", "notice", yes(tidy), put(tidy, ""))),
+        (f"cp IN {inc(ucd.KEPT_SPACES)}", rule("non_breaking_space", "info", yes(rude), put(rude, " "))),
         (f"cp IN {inc(ucd.SPACES)}", rule("unusual_space", "notice", "true", "' '")),
         ("cp = 65533", rule("replacement_character", "suspicious", "false", no)),
-        (f"regexp_matches(ch, '[{ucd.category_class('Co')}]')", rule("private_use", "suspicious", "false", no)),
+        (f"regexp_matches(ch, '[{ucd.category_class('Co')}]')", rule("private_use", "suspicious", yes(rude), put(rude, ""))),
         (f"regexp_matches(ch, '[{ucd.category_class('Cc', chr(10) + chr(9) + chr(13))}]')", rule("control", "suspicious", "true", gone)),
-        (f"regexp_matches(ch, '[{ucd.category_class('Cf')}]')", rule("format", "notice", "false", no)),
+        (f"regexp_matches(ch, '[{ucd.category_class('Cf')}]')", rule("format", "notice", yes(tidy), put(tidy, ""))),
     ]
     case = " ".join(f"WHEN {w} THEN {t}" for w, t in rules)
     around = lambda w: f"substr(text, greatest(o - {w}, 0) + 1, least(o, {w})) || substr(text, o + 2, {w})"
@@ -506,7 +520,7 @@ def proposals(spark: S, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        doc_summary, line_offsets, findings_rows, findings_by_kind, findings_rollup, confusable_words, doc_scripts, script_histogram, sanitize_safe, ops_apply, ops_invert_roundtrip,
+        doc_summary, line_offsets, findings_rows, findings_by_kind, findings_by_policy, findings_rollup, confusable_words, doc_scripts, script_histogram, sanitize_safe, ops_apply, ops_invert_roundtrip,
         ops_validate, sanitize_all_policies, span_counts, spans_resolved, span_anti_join, blocked_findings, md_blocks, plain_paragraphs, gate_matrix, gate_rejections, select_min_edit,
         skyline, topk_regions, dedup_by_hash, diverse_beam, token_windows, window_risk, regions_clipped, regions_merged, windows_clipped, edits_located, voice_by_source, voice_by_lang, ttr_by_lang, turn_bigram_divergence,
         benchmark_8gram_overlap, html_meta_evidence, html_clean, evidence_state, frontmatter_lines, frontmatter_clean, budget_admission, lease_ledger,
