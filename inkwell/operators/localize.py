@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkwell.operators import operations, structure
+
 REGION = "struct<start:int,end:int,risk:double>"
 
 
@@ -27,6 +29,25 @@ def token_windows(tokens: DataFrame, size: int, stride: int) -> DataFrame:
     return rows.select("doc_id", "window", "token_start", "token_end", F.get("t", F.col("token_start"))["start"].alias("start"), F.get("t", F.col("token_end") - 1)["end"].alias("end"))
 
 
+def windows_of(docs: DataFrame, size: int, stride: int, scorer=None) -> DataFrame:
+    """``token_windows`` of the runs of non-space characters of each document, in its own row; with a scorer also the risk of each window's text."""
+    if size <= 0 or stride <= 0:
+        raise ValueError("window and stride must be positive")
+    rows = docs.select("doc_id", "text", structure.places("text").alias("p")).withColumn("n", F.size("p.starts"))
+    last = F.greatest(F.ceil((F.col("n") - size) / F.lit(stride)), F.lit(0)).cast("int")
+
+    def window(bound: Column, w: Column) -> Column:
+        first, end = w * stride, F.least(w * stride + size, bound["n"])
+        a, b = F.get(bound["starts"], first), F.get(bound["ends"], end - 1)
+        fields = [w.alias("window"), first.alias("token_start"), end.alias("token_end"), a.alias("start"), b.alias("end")]
+        return F.struct(*fields, *([] if scorer is None else [scorer(operations.cut(bound["blocks"], a, b)).alias("risk")]))
+
+    blocks = F.array().cast("array<string>") if scorer is None else operations.blocks(F.col("text"))
+    bound = F.array(F.struct(F.col("n"), F.col("p.starts").alias("starts"), F.col("p.ends").alias("ends"), blocks.alias("blocks")))
+    made = F.get(F.transform(bound, lambda x: F.transform(F.sequence(F.lit(0), last), lambda w: window(x, w))), F.lit(0))
+    return rows.filter("n > 0").select("doc_id", F.explode(made).alias("w")).select("doc_id", "w.*")
+
+
 def merge(regions: str | Column, share: float = 0.5) -> Column:
     """A sorted array of regions with those merged that cover at least a share of the smaller one; a fold, as extents grow."""
     r = F.col(regions) if isinstance(regions, str) else regions

@@ -21,8 +21,17 @@ def collect(edits: DataFrame) -> DataFrame:
 MANY = 16
 
 
-def _cut(blocks: Column, size: int, start: Column, end: Column) -> Column:
+SIZE = 512
+
+
+def blocks(text: Column) -> Column:
+    """A text in pieces of ``SIZE`` code points, for ``cut``."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{SIZE}}}"), 0)
+
+
+def cut(blocks: Column, start: Column, end: Column) -> Column:
     """The text between two offsets, from its blocks: a piece costs its own length and not its distance from the start."""
+    size = SIZE
     i, j = F.floor(start / size).cast("int"), F.floor(end / size).cast("int")
     one = F.substring(F.get(blocks, i), start % size + 1, end - start)
     first, last = F.substring(F.get(blocks, i), start % size + 1, F.lit(size)), F.substring(F.get(blocks, j), F.lit(1), end % size)
@@ -33,17 +42,16 @@ def _cut(blocks: Column, size: int, start: Column, end: Column) -> Column:
 def apply(text: str | Column, ops: str | Column) -> Column:
     """The text with its sorted operations carried out, in a time in proportion to the text and its operations."""
     t, o = (F.col(c) if isinstance(c, str) else c for c in (text, ops))
-    size = 512
     end_of = lambda i: F.coalesce(F.get(o, i)["end"], F.lit(0))
     part = lambda x, i: F.concat(F.substring(t, end_of(i - 1) + 1, x["start"] - end_of(i - 1)), x["text"])
     few = F.concat(F.array_join(F.transform(o, part), ""), F.substring(t, end_of(F.size(o) - 1) + 1, F.length(t)))
 
     def joined(p):
         end = lambda i: F.coalesce(F.get(p["ops"], i)["end"], F.lit(0))
-        parts = F.transform(p["ops"], lambda x, i: F.concat(_cut(p["blocks"], size, end(i - 1), x["start"]), x["text"]))
-        return F.concat(F.array_join(parts, ""), _cut(p["blocks"], size, end(F.size(p["ops"]) - 1), p["n"]))
+        parts = F.transform(p["ops"], lambda x, i: F.concat(cut(p["blocks"], end(i - 1), x["start"]), x["text"]))
+        return F.concat(F.array_join(parts, ""), cut(p["blocks"], end(F.size(p["ops"]) - 1), p["n"]))
 
-    bound = F.array(F.struct(F.regexp_extract_all(t, F.lit(f"(?s).{{1,{size}}}"), 0).alias("blocks"), o.alias("ops"), F.length(t).alias("n")))
+    bound = F.array(F.struct(blocks(t).alias("blocks"), o.alias("ops"), F.length(t).alias("n")))
     return F.when(o.isNull() | (F.size(o) == 0), t).when(F.size(o) <= MANY, few).otherwise(F.get(F.transform(bound, joined), F.lit(0)))
 
 

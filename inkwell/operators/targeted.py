@@ -316,10 +316,7 @@ def _left(rows: DataFrame) -> DataFrame:
 
 def window_regions(docs: DataFrame, spans: DataFrame, scorer: Scorer, size: int, stride: int, most: int) -> DataFrame:
     """doc_id, text, regions: each document's riskiest token windows (risk a token), merged, cut around its spans, without blank ones."""
-    from inkwell.operators import structure
-
-    windows = localize.token_windows(structure.tokens(docs), size, stride)
-    risky = localize.window_scores(docs, windows, scorer).withColumn("risk", F.col("risk") / (F.col("token_end") - F.col("token_start")))
+    risky = localize.windows_of(docs, size, stride, scorer).withColumn("risk", F.col("risk") / (F.col("token_end") - F.col("token_start")))
     cut = localize.clip(localize.merged(risky), spans)
     held = cut.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("risk")).alias("r"), "start", "end"))).alias("h"))
     filled = F.filter("h", lambda r: F.substring(F.col("text"), r["start"] + 1, r["end"] - r["start"]).rlike(r"\S"))

@@ -251,7 +251,7 @@ def diverse_beam(spark: S, d: str) -> DataFrame:
 
 
 def token_windows(spark: S, d: str) -> DataFrame:
-    return localize.token_windows(structure.tokens(_docs(spark, d)), 64, 32)
+    return localize.windows_of(_docs(spark, d), 64, 32)
 
 
 def _risk(text: Column) -> Column:
@@ -259,9 +259,7 @@ def _risk(text: Column) -> Column:
 
 
 def window_risk(spark: S, d: str) -> DataFrame:
-    docs = _docs(spark, d)
-    w = localize.token_windows(structure.tokens(docs), 64, 32)
-    return localize.ranked(localize.window_scores(docs, w, _risk), 3).select("doc_id", "start", "end", "risk", "rank")
+    return localize.ranked(localize.windows_of(_docs(spark, d), 64, 32, _risk), 3).select("doc_id", "start", "end", "risk", "rank")
 
 
 def regions_clipped(spark: S, d: str) -> DataFrame:
@@ -271,17 +269,17 @@ def regions_clipped(spark: S, d: str) -> DataFrame:
 
 
 def regions_merged(spark: S, d: str) -> DataFrame:
-    w = localize.token_windows(structure.tokens(_docs(spark, d)), 40, 21)
+    w = localize.windows_of(_docs(spark, d), 40, 21)
     return localize.merged(w.select("doc_id", "start", "end", (F.col("window") % 7).cast("double").alias("risk")))
 
 
 def windows_clipped(spark: S, d: str) -> DataFrame:
     """Token windows minus pairs of tokens that begin with a capital; such pairs overlap."""
-    tokens = structure.tokens(_docs(spark, d))
-    w = localize.token_windows(tokens, 64, 32).select("doc_id", "start", "end", F.col("window").cast("double").alias("risk"))
-    after = F.lead("end").over(Window.partitionBy("doc_id").orderBy("index"))
-    pairs = tokens.withColumn("end", F.coalesce(after, F.col("end"))).filter(F.col("token").rlike("^[A-Z]"))
-    return localize.clip(w, pairs.select("doc_id", "start", "end"))
+    docs = _docs(spark, d)
+    w = localize.windows_of(docs, 64, 32).select("doc_id", "start", "end", F.col("window").cast("double").alias("risk"))
+    pair = lambda p: F.transform(p["starts"], lambda a, i: F.struct(a.alias("start"), F.coalesce(F.get(p["ends"], i + 1), F.get(p["ends"], i)).alias("end"), F.get(p["firsts"], i).alias("first")))
+    pairs = docs.select("doc_id", structure.places("text").alias("p")).select("doc_id", F.explode(F.filter(pair(F.col("p")), lambda x: x["first"].between(ord("A"), ord("Z")))).alias("x"))
+    return localize.clip(w, pairs.select("doc_id", "x.start", "x.end"))
 
 
 def edits_located(spark: S, d: str) -> DataFrame:
@@ -290,7 +288,9 @@ def edits_located(spark: S, d: str) -> DataFrame:
     places = lambda rows, name: rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias(name))
     edits = sanitize.edits(m).select("doc_id", "start", "end")
     both = edits.unionByName(edits.select("doc_id", F.col("end").alias("start"), "end"))
-    rows = m.select("doc_id", F.length("text").alias("n")).join(places(both, "ops"), "doc_id").join(places(structure.lines(m), "lines"), "doc_id", "left").join(places(structure.tokens(m), "words"), "doc_id", "left")
+    words = F.transform("p.starts", lambda a, i: F.struct(a.alias("start"), F.get(F.col("p.ends"), i).alias("end"))).alias("words")
+    held = m.filter(F.col("text").rlike(ucd.notable_pattern())).select("doc_id", F.length("text").alias("n"), structure.places("text").alias("p")).select("doc_id", "n", words)
+    rows = held.join(places(both, "ops"), "doc_id").join(places(structure.lines(m), "lines"), "doc_id", "left")
     each = rows.select("doc_id", "lines", "words", F.explode(F.arrays_zip("ops", localize.editable_regions(F.col("ops"), F.col("n")).alias("region"))).alias("o"))
     start, end = F.col("o.ops.start"), F.col("o.ops.end")
     return each.select("doc_id", start.alias("start"), end.alias("end"), localize.span_index(F.col("lines"), start).alias("line"), localize.is_protected(F.col("words"), start, end).alias("in_word"), F.col("o.region.start").alias("region_start"), F.col("o.region.end").alias("region_end"))

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from inkwell.operators import ledger, localize
+from inkwell.operators import ledger, localize, structure
 
 SPAN = "array<struct<start:int,end:int>>"
 
@@ -98,3 +98,15 @@ def test_leases(spark, limit):
     got = ledger.leases(df, "run_id", ["n"], limit).orderBy("run_id", "n").collect()
     assert [(r.outcome, r.spent, r.reserved, r.remaining) for r in got] == [(o, s, h, limit - s - h) for _, _, _, o, s, h in said] * 3
     assert ledger.leases(df.limit(0), "run_id", ["n"], limit).count() == 0
+
+
+def test_windows_in_the_row_are_those_of_tokens(spark):
+    rng = random.Random(6)
+    rows = [(i, "".join(rng.choices("ab\U0001f3f4   \n\t\x0b\x1c", k=rng.randrange(120)))) for i in range(60)] + [(90, None), (91, ""), (92, " \n"), (93, "word " * 700)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for size, stride in ((4, 2), (5, 5), (3, 7)):
+        a = localize.windows_of(docs, size, stride, lambda t: F.length(t).cast("double"))
+        b = localize.window_scores(docs, localize.token_windows(structure.tokens(docs), size, stride), lambda t: F.length(t).cast("double"))
+        columns = ["doc_id", "window", "token_start", "token_end", "start", "end", "risk"]
+        got, want = (sorted(map(tuple, x.select(columns).collect())) for x in (a, b))
+        assert got == want and len(got) > 100
