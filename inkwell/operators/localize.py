@@ -45,6 +45,7 @@ def windows_of(docs: DataFrame, size: int, stride: int, scorer=None) -> DataFram
     blocks = F.array().cast("array<string>") if scorer is None else operations.blocks(F.col("text"))
     bound = F.array(F.struct(F.col("n"), F.col("p.starts").alias("starts"), F.col("p.ends").alias("ends"), blocks.alias("blocks")))
     made = F.get(F.transform(bound, lambda x: F.transform(F.sequence(F.lit(0), last), lambda w: window(x, w))), F.lit(0))
+    made = F.filter(made, lambda w: w["token_start"] < F.col("n"))  # a stride beyond the size may step over the end
     return rows.filter("n > 0").select("doc_id", F.explode(made).alias("w")).select("doc_id", "w.*")
 
 

@@ -146,7 +146,7 @@ def oracle_sql() -> dict[str, str]:
             h3 AS (SELECT *, CASE WHEN a3 AND q3 < r2 THEN q3 ELSE r2 END AS r3, CASE WHEN a3 AND q3 < r2 THEN 3 ELSE b2 END AS b3, CASE WHEN NOT a3 THEN i2 WHEN q3 < r2 THEN 0 ELSE i2 + 1 END AS i3 FROM m3)
             SELECT doc_id, CAST(b3 AS INTEGER) AS hop, r3 AS risk, r0 AS baseline, CAST(CASE WHEN a3 THEN 3 WHEN a2 THEN 2 WHEN a1 THEN 1 ELSE 0 END AS INTEGER) AS hops_run, r3 <= 2 AS met,
                 CASE WHEN NOT a1 THEN 'source already met the requested target' WHEN r3 <= 2 THEN 'requested target met; stopping early' WHEN i3 >= 2 THEN 'stagnation limit reached; stopping early' ELSE 'hop schedule exhausted' END AS reason FROM h3""",
-        "minimal_edits": "SELECT doc_id, sha256(replace(replace(text, 'th', 'd'), ' and ', ' & ')) AS sha256, replace(replace(text, 'th', 'd'), ' and ', ' & ') <> text AS changed FROM documents",
+        "minimal_edits": f"{clean} SELECT doc_id, sha256(nfc_normalize(clean)) AS sha256, nfc_normalize(clean) <> text AS changed FROM done",
         "structured_proposals": """WITH c AS (SELECT doc_id, substr(text, 1, 20) AS phrase, unnest(range(4)) AS place FROM documents),
             k AS (SELECT *, CASE WHEN place = 3 THEN doc_id % 8 ELSE (doc_id + place) % 8 END AS kind FROM c)
             SELECT doc_id, CAST(place AS INTEGER) AS place, CASE kind WHEN 0 THEN CASE WHEN place = 0 THEN 'repeated' END WHEN 1 THEN 'not JSON' WHEN 2 THEN 'not an object' WHEN 3 THEN 'not the two fields' WHEN 4 THEN 'empty replacement'

@@ -463,9 +463,8 @@ def recursive_rollback(spark: S, d: str) -> DataFrame:
 
 
 def minimal_edits(spark: S, d: str) -> DataFrame:
-    """The shortest edits from every text to a rewrite of it, carried out again."""
-    rewrite = F.replace(F.replace("text", F.lit("th"), F.lit("d")), F.lit(" and "), F.lit(" & "))
-    r = _docs(spark, d).select("doc_id", "text", rewrite.alias("rewrite")).withColumn("ops", diffs.minimal_edits("text", "rewrite"))
+    """The shortest edits from every text to what a clean-up makes of it, carried out again."""
+    r = sanitize.sanitize(_marked(spark, d)).select("doc_id", "text", "clean").withColumn("ops", diffs.minimal_edits("text", "clean"))
     r = r.withColumn("again", operations.apply("text", "ops"))
     return r.select("doc_id", F.sha2("again", 256).alias("sha256"), (F.size("ops") > 0).alias("changed"))
 
