@@ -21,6 +21,13 @@ def local_session(app: str = "inkwell", cpus: int | str = "*", partitions: int =
     )
 
 
+#: Rows of an Arrow batch where rows hold whole texts.
+TEXT_ROWS = 1000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One driver table of a scale-factor directory."""
+    """One driver table of a scale-factor directory; from here on the session hands texts to Python in batches of at most ``TEXT_ROWS``."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if name in ("documents", "pages") and int(spark.conf.get(key)) > TEXT_ROWS:
+        spark.conf.set(key, str(TEXT_ROWS))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
