@@ -205,3 +205,25 @@ def trie(rows: DataFrame, convs: DataFrame, size: int = BLOCK) -> DataFrame:
     over = nodes.select(F.col("node").alias("parent"), F.col("conv_id").alias("parent_conv_id"))
     out = nodes.drop("n_leaves", "saved_tokens").join(over, "parent", "left").join(sums, "node").join(ends, "node", "left")
     return out.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", F.coalesce("ends_sha256", F.lit(_NONE)).alias("ends_sha256"))
+
+
+def oracle_sql(every: int = 100, most: int = 6) -> str:
+    """DuckDB SQL for ``trie`` of ``shared_heads`` over conversations whose turns have numbers of their own: prefixes as texts."""
+    bits = "flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: [CAST(unicode(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))"
+    crc = f"xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], {bits}), lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a % 2 = 1 THEN xor(a >> 1, CAST(3988292384 AS BIGINT)) ELSE a >> 1 END), CAST(4294967295 AS BIGINT))"
+    prefix = lambda n: f"array_to_string(list_slice(q, 1, {n}), chr(30))"
+    return f"""WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS n, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+        c AS (SELECT conv_id, conv_id - conv_id % {every} AS base, {crc} % {most} AS h FROM (SELECT DISTINCT conv_id FROM t)),
+        r AS (SELECT c.conv_id, t.n, t.role, t.text FROM c JOIN t ON t.conv_id = c.base AND t.n <= c.h UNION ALL SELECT c.conv_id, t.n, t.role, t.text FROM c JOIN t ON t.conv_id = c.conv_id AND t.n > c.h),
+        g AS (SELECT conv_id, list(length(role) || ':' || role || text ORDER BY n) AS q, list(length(text) ORDER BY n) AS cs FROM r GROUP BY conv_id),
+        s AS (SELECT c.conv_id, coalesce(g.q, []) AS q, coalesce(g.cs, []) AS cs FROM c LEFT JOIN g ON g.conv_id = c.conv_id),
+        p AS (SELECT conv_id, q, cs, unnest(range(len(q) + 1)) AS d FROM s),
+        k AS (SELECT conv_id, d, q, {prefix('d')} AS key, {prefix('d - 1')} AS up, CASE WHEN d = 0 THEN 0 ELSE cs[d] END AS chars FROM p),
+        nodes AS (SELECT d, key, min(up) AS up, min(conv_id) AS conv_id, count(*) AS n_convs, max(chars) AS chars, any_value(q) AS q FROM k GROUP BY d, key),
+        kids AS (SELECT d - 1 AS d, up AS key, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY d, up),
+        full_nodes AS (SELECT n.*, coalesce(kids.n_children, 0) AS n_children FROM nodes n LEFT JOIN kids ON kids.d = n.d AND kids.key = n.key),
+        above AS (SELECT CASE WHEN n_children = 0 THEN 1 ELSE 0 END AS leaf, (n_convs - 1) * chars AS saved, q, unnest(range(d + 1)) AS j FROM full_nodes),
+        sums AS (SELECT j AS d, {prefix('j')} AS key, sum(leaf) AS n_leaves, sum(saved) AS saved_tokens FROM above GROUP BY j, {prefix('j')}),
+        ends AS (SELECT len(q) AS d, {prefix('len(q)')} AS key, sha256(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id)) AS ends_sha256 FROM s GROUP BY len(q), {prefix('len(q)')})
+        SELECT n.conv_id, n.d AS depth, o.conv_id AS parent_conv_id, n.n_convs, n.n_children, CAST(sums.n_leaves AS BIGINT) AS n_leaves, CAST(sums.saved_tokens AS BIGINT) AS saved_tokens, coalesce(e.ends_sha256, sha256('')) AS ends_sha256
+        FROM full_nodes n JOIN sums ON sums.d = n.d AND sums.key = n.key LEFT JOIN nodes o ON n.d > 0 AND o.d = n.d - 1 AND o.key = n.up LEFT JOIN ends e ON e.d = n.d AND e.key = n.key"""

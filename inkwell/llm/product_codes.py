@@ -206,3 +206,26 @@ def compress(vectors: DataFrame, parts: int = PARTS, entries: int = ENTRIES, rou
     by = F.broadcast(by) if by.count() <= BROADCAST_LABELS else by
     out = coded.join(by, coded.label.eqNullSafe(by.of))
     return out.select("vec_id", "code", "error", "label_error", F.lit(books_digest(books)).alias("codebooks_sha256"))
+
+
+def oracle_sql(parts: int = PARTS, entries: int = ENTRIES, rounds: int = ROUNDS, width: int = 4) -> str:
+    """DuckDB SQL for ``compress`` over embeddings of parts * width components: every distance to every entry."""
+    fine = "embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+    columns = [f"x{i}" for i in range(width)]
+    far = " + ".join(f"(a.{c} - b.{c}) * (a.{c} - b.{c})" for c in columns)
+    steps = [
+        f"v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e, unnest(range({parts})) AS p FROM embeddings WHERE {fine})",
+        "a AS (SELECT vec_id, label, p, " + ", ".join(f"e[p * {width} + {i + 1}] AS {c}" for i, c in enumerate(columns)) + " FROM v)",
+        f"c0 AS (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS k, {', '.join(columns)} FROM a QUALIFY row_number() OVER (PARTITION BY p ORDER BY vec_id) <= {entries})",
+    ]
+    for r in range(rounds + 1):
+        steps.append(f"d{r} AS (SELECT a.vec_id, a.label, a.p, b.k, {', '.join(f'a.{c}' for c in columns)}, {far} AS d FROM a JOIN c{r} b ON a.p = b.p)")
+        steps.append(f"n{r} AS (SELECT * FROM d{r} QUALIFY row_number() OVER (PARTITION BY vec_id, p ORDER BY d, k) = 1)")
+        if r < rounds:
+            means = ", ".join(f"CAST(floor(sum({c}) / CAST(count(*) AS DOUBLE)) AS BIGINT) AS {c}" for c in columns)
+            steps.append(f"m{r} AS (SELECT p, k, {means} FROM n{r} GROUP BY p, k)")
+            steps.append(f"c{r + 1} AS (SELECT c.p, c.k, {', '.join(f'coalesce(m.{c}, c.{c}) AS {c}' for c in columns)} FROM c{r} c LEFT JOIN m{r} m ON m.p = c.p AND m.k = c.k)")
+    listed = " || ',' || ".join(f"CAST({c} AS VARCHAR)" for c in columns)
+    steps.append(f"book AS (SELECT sha256(string_agg({listed}, ',' ORDER BY p, k)) AS codebooks_sha256 FROM c{rounds})")
+    steps.append(f"coded AS (SELECT vec_id, label, string_agg(printf('%02x', k), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM n{rounds} GROUP BY vec_id, label)")
+    return f"WITH {', '.join(steps)} SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM coded, book"

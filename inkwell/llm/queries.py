@@ -103,4 +103,6 @@ ORACLE_SQL: dict[str, str] = {
         SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
     """,
     "op4_licences": licences.oracle_sql(),
+    "op12_product_codes": product_codes.oracle_sql(),
+    "op13_prefix_trie": prefix_trie.oracle_sql(),
 }
