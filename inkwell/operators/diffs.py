@@ -106,3 +106,17 @@ def minimal_edits(source: str, candidate: str) -> Column:
         return pa.array([None if a is None or b is None else [dict(zip(("start", "end", "text"), o, strict=True)) for o in shortest_edits(a, b)] for a, b in pairs], kind)
 
     return run(source, candidate)
+
+
+def edited(pairs: DataFrame) -> DataFrame:
+    """doc_id, before, after, ops: the shortest edits of columns before and after, where these are made by Python functions themselves."""
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("text", pa.string())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = zip(b.column("before").to_pylist(), b.column("after").to_pylist(), strict=True)
+            ops = [None if x is None or y is None else [dict(zip(("start", "end", "text"), o, strict=True)) for o in shortest_edits(x, y)] for x, y in texts]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ops, kind)], ["doc_id", "before", "after", "ops"])
+
+    rows = pairs.select("doc_id", "before", "after")
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, before string, after string, ops array<{OP}>")

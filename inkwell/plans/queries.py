@@ -464,8 +464,8 @@ def recursive_rollback(spark: S, d: str) -> DataFrame:
 
 def minimal_edits(spark: S, d: str) -> DataFrame:
     """The shortest edits from every text to what a clean-up makes of it, carried out again."""
-    r = sanitize.sanitize(_marked(spark, d)).select("doc_id", "text", "clean").withColumn("ops", diffs.minimal_edits("text", "clean"))
-    r = r.withColumn("again", operations.apply("text", "ops"))
+    r = diffs.edited(sanitize.sanitize(_marked(spark, d)).select("doc_id", F.col("text").alias("before"), F.col("clean").alias("after")))
+    r = r.withColumn("again", operations.apply("before", "ops"))
     return r.select("doc_id", F.sha2("again", 256).alias("sha256"), (F.size("ops") > 0).alias("changed"))
 
 
