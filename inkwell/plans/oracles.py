@@ -104,7 +104,7 @@ def oracle_sql() -> dict[str, str]:
                 FROM f JOIN cut c ON c.doc_id = f.doc_id AND c.k = f.k + 1)
             SELECT doc_id, CAST(min(s) AS INTEGER) AS start, CAST(max(e) AS INTEGER) AS "end", max(r) AS risk FROM f GROUP BY doc_id, g""",
         "windows_clipped": f"""WITH {windows}, words AS (SELECT doc_id, s, coalesce(lead(e) OVER (PARTITION BY doc_id ORDER BY s), e) AS e, p FROM (SELECT doc_id, e - length(p) AS s, e, p FROM (SELECT doc_id, p, sum(length(p)) OVER (PARTITION BY doc_id ORDER BY i) AS e FROM (
-                SELECT doc_id, unnest(regexp_extract_all(text, '\s+|\S+')) AS p, generate_subscripts(regexp_extract_all(text, '\s+|\S+'), 1) AS i FROM documents)) WHERE regexp_matches(p, '^\S'))),
+                SELECT doc_id, unnest(regexp_extract_all(text, '\\s+|\\S+')) AS p, generate_subscripts(regexp_extract_all(text, '\\s+|\\S+'), 1) AS i FROM documents)) WHERE regexp_matches(p, '^\\S'))),
             held AS (SELECT doc_id, s, e FROM words WHERE regexp_matches(p, '^[A-Z]')),
             bounds AS (SELECT doc_id, coalesce(max(e) OVER (PARTITION BY doc_id ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a, s AS b FROM held
                 UNION ALL SELECT d.doc_id, coalesce(max(h.e), 0), length(any_value(d.text)) FROM documents d LEFT JOIN held h USING (doc_id) GROUP BY d.doc_id)
@@ -114,8 +114,8 @@ def oracle_sql() -> dict[str, str]:
             p AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS p, generate_subscripts(string_split(text, chr(10)), 1) AS i, len(string_split(text, chr(10))) AS n FROM marked),
             l AS (SELECT doc_id, i, n, p, sum(length(p) + 1) OVER (PARTITION BY doc_id ORDER BY i) - 1 AS b FROM p),
             lines AS (SELECT doc_id, i - 1 AS line, b - length(p) AS a, b FROM l WHERE NOT (i = n AND p = '')),
-            q AS (SELECT doc_id, unnest(regexp_extract_all(text, '\s+|\S+')) AS p, generate_subscripts(regexp_extract_all(text, '\s+|\S+'), 1) AS i FROM marked),
-            words AS (SELECT doc_id, b - length(p) AS a, b FROM (SELECT doc_id, p, sum(length(p)) OVER (PARTITION BY doc_id ORDER BY i) AS b FROM q) WHERE regexp_matches(p, '^\S'))
+            q AS (SELECT doc_id, unnest(regexp_extract_all(text, '\\s+|\\S+')) AS p, generate_subscripts(regexp_extract_all(text, '\\s+|\\S+'), 1) AS i FROM marked),
+            words AS (SELECT doc_id, b - length(p) AS a, b FROM (SELECT doc_id, p, sum(length(p)) OVER (PARTITION BY doc_id ORDER BY i) AS b FROM q) WHERE regexp_matches(p, '^\\S'))
             SELECT e.doc_id, CAST(e.s AS INTEGER) AS start, CAST(e.e AS INTEGER) AS "end", CAST((SELECT min(line) FROM lines WHERE lines.doc_id = e.doc_id AND a <= e.s AND e.s < b) AS INTEGER) AS line,
                 EXISTS (SELECT 1 FROM words WHERE words.doc_id = e.doc_id AND CASE WHEN e.s = e.e THEN a < e.s AND e.s < b ELSE a < e.e AND e.s < b END) AS in_word,
                 CAST(CASE WHEN e.s = e.e AND e.e >= length(text) THEN e.s - 1 ELSE e.s END AS INTEGER) AS region_start, CAST(CASE WHEN e.s = e.e AND e.e < length(text) THEN e.e + 1 ELSE e.e END AS INTEGER) AS region_end FROM e""",
