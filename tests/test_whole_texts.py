@@ -3,6 +3,9 @@
 import random
 import time
 
+import pytest
+
+from inkwell.operators import select
 from inkwell.operators.select import diverse_beam, is_alike, similarity
 from inkwell.plans import queries
 
@@ -57,3 +60,34 @@ def test_long_texts_are_compared_in_time():
     began = time.process_time()
     assert is_alike(a, b, 0.92) and not is_alike(a, b[::-1], 0.92)
     assert time.process_time() - began < 8
+
+
+def test_unlike_texts_are_told_by_their_short_stretches(monkeypatch):
+    """A text and its reverse hold the same characters, but no blocks are matched to tell them apart."""
+    r = random.Random(4)
+    text = " ".join(r.choices("what stands here is a text of some words that are read but one way, not from their ends".split(), k=500))
+    monkeypatch.setattr(select, "_reaches", lambda *_: pytest.fail("blocks were matched"))
+    assert not is_alike(text, text[::-1] + "1", 0.9)
+
+
+@pytest.mark.parametrize("rows_a_batch", [1, 3, 1000])
+def test_beam_of_groups_across_batches(spark, rows_a_batch):
+    r = random.Random(rows_a_batch)
+    rows = [(d, place, "".join(r.choices("ab", k=r.randint(0, 5))) * r.choice([1, 90])) for d in (None, 1, 2, 3, 4) for place in range(r.randint(1, 12))]
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(key)
+    spark.conf.set(key, str(rows_a_batch))
+    try:
+        got = {(x.doc_id, x.place) for x in diverse_beam(spark.createDataFrame(rows, "doc_id long, place int, text string").repartition(3), 3).collect()}
+    finally:
+        spark.conf.set(key, old)
+    want = set()
+    for d in {d for d, _, _ in rows}:
+        mine = [(p, t) for e, p, t in rows if e == d]
+        chosen = []
+        for p, t in mine:
+            if len(chosen) < 3 and all(similarity(u, t) < 0.9 for _, u in chosen):
+                chosen.append((p, t))
+        chosen += [x for x in mine if x not in chosen][: 3 - len(chosen)]
+        want |= {(d, p) for p, _ in chosen}
+    assert got == want
