@@ -188,3 +188,24 @@ def test_window_regions(spark):
     spans = spark.createDataFrame([(1, 3, 5)], "doc_id long, start int, end int")
     rows = {r.doc_id: r.regions for r in targeted.window_regions(docs, spans, lambda t: F.instr(t, "cc").cast("double"), 4, 2, 3).collect()}
     assert rows[2] is None and rows[3] is None and all(r.end <= 3 or r.start >= 5 for r in rows[1]) and rows[1]
+
+
+def test_tokens_are_matched_in_time_and_as_the_alignment_does(monkeypatch):
+    """Long texts with edits far apart are decided without aligning them whole."""
+    r = random.Random(6)
+    whole = difflib.SequenceMatcher
+
+    def small(junk, a, b, autojunk):
+        assert len(a) * len(b) <= 40_000, "aligned whole"
+        return whole(junk, a, b, autojunk=autojunk)
+
+    for _ in range(20):
+        a = r.choices(["the", "cat", "sat", ",", "on", "a", "mat", "."], k=900)
+        b = list(a)
+        for i in sorted(r.sample(range(900), r.randint(1, 4)), reverse=True):
+            b[i : i + r.randint(0, 3)] = r.choices(["the", "x", "y"], k=r.randint(0, 3))
+        want = min(1.0, 1.0 - sum(m.size for m in whole(None, a, b, autojunk=False).get_matching_blocks()) / max(len(a), len(b)))
+        with monkeypatch.context() as m:
+            m.setattr(difflib, "SequenceMatcher", small)
+            assert fidelity._tokens_ratio(a, b) == want
+            assert all(fidelity.exceeds(a, b, most) == (want > most) for most in (0.0, 0.001, 0.01, 0.3, want, 1.0))
