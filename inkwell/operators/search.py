@@ -133,20 +133,48 @@ def structured(completions: DataFrame, allowed: tuple[str, ...], limit: int) ->
     return rows.withColumn("refusal", F.when(F.col("rank") > limit, "over the limit").otherwise(F.col("refusal"))).drop("_n")
 
 
-def beam(docs: DataFrame, phrases: list[tuple[str, str]], scorer: Scorer, width: int = 4, depth: int = 2) -> DataFrame:
-    """doc_id, depth, result, risk: each depth replaces one more phrase, drops repeats, keeps the skyline's best ``width``."""
-    start = docs.select("doc_id", F.col("text").alias("source"), F.col("text").alias("result")).withColumns({"risk": scorer(F.col("result")), "n_ops": F.lit(0)})
-    front, out = start, start.withColumn("depth", F.lit(0))
+def beam(docs: DataFrame, phrases: list[tuple[str, str]], scorer: Scorer, width: int = 4, depth: int = 2, folder: str | None = None) -> DataFrame:
+    """doc_id, depth, result, risk: each depth replaces one more phrase, drops repeats, keeps the skyline's best ``width``.
+
+    Texts of a document meet in one row, where its candidates grow, so each is made and scored once. Each depth is
+    committed and the next one starts from it.
+    """
+    settings = {"phrases": phrases, "width": width, "depth": depth}
+    rounds = Rounds(docs.sparkSession, folder, settings, docs.select("doc_id", "text"))
+    out = docs.select("doc_id", F.lit(0).alias("depth"), F.lit(0).alias("n_ops"), F.col("text").alias("result"), scorer(F.col("text")).alias("risk"))
+    text = F.col("text")
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a stated number is not coalesced: few bytes become many texts
+    front = docs.select("doc_id", "text").filter("text is not null").repartition(tasks, "doc_id").groupBy("doc_id").agg(F.collect_list(F.struct(text.alias("source"), text.alias("result"))).alias("front"))
     for d in range(1, depth + 1):
-        options = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in phrases))
-        grown = front.select("doc_id", "source", "result", F.explode(options).alias("o")).filter(F.col("result").contains(F.col("o.a")))
-        place = F.expr("locate(o.a, result)")
-        new = F.concat(F.substring(F.col("result"), F.lit(1), place - 1), F.col("o.b"), F.substring(F.col("result"), place + F.length("o.a"), F.length("result")))
-        grown = grown.select("doc_id", "source", new.alias("result")).distinct()
-        drift = F.abs(F.length("result") - F.length("source")) / F.greatest(F.length("source"), F.lit(1))
-        grown = grown.withColumns({"risk": scorer(F.col("result")), "drift": drift, "content_hash": F.sha2("result", 256), "n_ops": F.lit(d)})
-        sky = select.skyline(grown, costs=("risk", "drift"))
-        w = Window.partitionBy("doc_id").orderBy("risk", "drift", "content_hash")
-        front = sky.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= width).select("doc_id", "source", "result", "risk", "n_ops")
-        out = out.unionByName(front.withColumn("depth", F.lit(d)))
-    return out.select("doc_id", "depth", "n_ops", "result", "risk")
+        name = f"beam-{d}"
+        if not rounds.has(name):
+            rounds.commit(_grown_beam(front, phrases, scorer, width), name)
+        front = rounds.read(name)
+        each = front.select("doc_id", F.explode("front").alias("c"))
+        out = out.unionByName(each.select("doc_id", F.lit(d).alias("depth"), F.lit(d).alias("n_ops"), "c.result", "c.risk"))
+    return out
+
+
+def _grown_beam(rows: DataFrame, phrases: list[tuple[str, str]], scorer: Scorer, width: int) -> DataFrame:
+    """doc_id and the next front of each row. A document without an id has no rival on the skyline, as null equals nothing."""
+
+    def grown(x: Column) -> Column:
+        source, result = x["source"], x["result"]
+
+        def one(a: str, b: str) -> Column:
+            place = F.instr(result, a)
+            new = F.concat(F.substring(result, F.lit(1), place - 1), F.lit(b), F.substring(result, place + len(a), F.length(result)))
+            return F.when(place > 0, F.struct(source.alias("source"), new.alias("result")))
+
+        return F.array_compact(F.array(*(one(a, b) for a, b in phrases)))
+
+    def judged(c: Column) -> Column:
+        drift = F.abs(F.length(c["result"]) - F.length(c["source"])) / F.greatest(F.length(c["source"]), F.lit(1))
+        return F.struct(scorer(c["result"]).alias("risk"), drift.alias("drift"), F.sha2(c["result"], 256).alias("content_hash"), c["source"].alias("source"), c["result"].alias("result"))
+
+    rows = rows.select("doc_id", F.array_distinct(F.flatten(F.transform("front", grown))).alias("g"))
+    rows = rows.select("doc_id", F.transform("g", judged).alias("g"))
+    rows = rows.withColumn("costs", F.transform("g", lambda c: F.struct(c["risk"].alias("risk"), c["drift"].alias("drift"))))
+    beats = lambda o, c: (o["risk"] <= c["risk"]) & (o["drift"] <= c["drift"]) & ((o["risk"] < c["risk"]) | (o["drift"] < c["drift"]))
+    kept = F.filter("g", lambda c: F.col("doc_id").isNull() | ~F.exists("costs", lambda o: F.coalesce(beats(o, c), F.lit(False))))
+    return rows.select("doc_id", F.slice(F.array_sort(kept), 1, width).alias("front")).filter(F.size("front") > 0)

@@ -1,5 +1,6 @@
 """Shortest edits, hops, structured proposals, known scores and keyed streams, against plain versions."""
 
+import hashlib
 import json
 import random
 import time
@@ -176,3 +177,21 @@ def test_files_that_killed_tasks(spark, tmp_path):
     (tmp_path / "b.bin").write_bytes(b"1")
     found = {r.path.rsplit("/", 1)[-1]: (r.content, r.problem) for r in readers.read_attachments(spark, str(tmp_path), 3).collect()}
     assert found == {"a.bin": (None, "too large"), "b.bin": (b"1", None)}
+
+
+def test_beam_grows_in_the_rows_of_documents(spark):
+    """Each depth starts from what the one before has left, so no text is shuffled, made or scored again; repeated ids share a beam."""
+    phrases = [("the ", "a "), ("de ", "du "), (", ", "; ")]
+    rows = [(1, "the de , the"), (1, "de the th"), (2, "none"), (3, None), (None, "the de "), (None, "de , ")]
+    out = search.beam(spark.createDataFrame(rows, "doc_id long, text string"), phrases, lambda t: (F.length(t) - F.length(F.replace(t, F.lit("th"), F.lit("t")))).cast("double"))
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    want = {(d, 0, t) for d, t in rows}
+    front = {d: [(t, t) for e, t in rows if e == d and t is not None] for d, _ in rows}
+    for depth in (1, 2):
+        for d, held in front.items():
+            made = {(s, r.replace(a, b, 1)) for s, r in held for a, b in phrases if a in r}
+            cost = {x: (float(x[1].count("th")), abs(len(x[1]) - len(x[0])) / max(1, len(x[0]))) for x in made}
+            kept = [x for x in made if d is None or not any(p[0] <= cost[x][0] and p[1] <= cost[x][1] and p != cost[x] for p in cost.values())]
+            front[d] = sorted(kept, key=lambda x: (*cost[x], hashlib.sha256(x[1].encode()).hexdigest()))[:4]
+            want |= {(d, depth, r) for _, r in front[d]}
+    assert {(r.doc_id, r.depth, r.result) for r in out.collect()} == want
