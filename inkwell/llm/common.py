@@ -138,6 +138,15 @@ def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     return df.mapInArrow(fn, schema)
 
 
+def whole_groups(rows: DataFrame, keys: list[str], order: list[str] = ()) -> DataFrame:
+    """Rows dealt and sorted so that one task reads all rows of a key in a row.
+
+    Dealt by the keys' hash and not by the keys themselves: behind a join on the same keys Spark leaves that
+    repartition out, and a skewed part of the join is split among tasks then, with rows of one key in several of them.
+    """
+    return rows.repartition(F.xxhash64(*keys)).sortWithinPartitions(*keys, *order)
+
+
 def by_bytes(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.RecordBatch]:
     """Re-cut batches so that each holds about ``limit`` bytes of ``column`` (one row at least)."""
     for batch in batches:

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import discard, materialize, with_text
+from inkwell.llm.common import discard, materialize, whole_groups, with_text
 from inkwell.llm.components import connected_components
 
 #: Most members of a bucket that one step links; the last level's buckets cannot exceed it.
@@ -159,7 +159,7 @@ def near_links(fps: DataFrame, distance: int = 3, bucket: int = BUCKET) -> DataF
         pairs = shared.filter("n = 2").select("a", "b").filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance)
         most = bucket if level < 3 else 1 << 62
         crowded = shared.filter((F.col("n") > 2) & (F.col("n") <= most)).select(*keys)
-        members = keyed.join(crowded, keys).select(*keys, "fp").repartition(*keys).sortWithinPartitions(*keys)
+        members = whole_groups(keyed.join(crowded, keys).select(*keys, "fp"), keys)
         found = pairs.union(members.mapInArrow(_bucket_links(distance, level), "a bigint, b bigint")).distinct()
         out = found if out is None else out.union(found)
         over = shared.filter(F.col("n") > most).select(*keys)
