@@ -127,3 +127,16 @@ def test_inspection_puts_both_kinds_in_one_order(spark):
         (1, 0, 1, "zero_width"), (1, 1, 4, "confusable"), (1, 2, 9, "zero_width"), (1, 3, 13, "confusable"), (4, 0, 1, "zero_width"),
     ]
     assert got[1].codepoint == 0x430 and got[1].protected_by == "substitution_would_change_meaning" and not got[1].removable
+
+
+def test_all_policies_in_one_pass(spark):
+    """The same as each policy on its own, though a text is read and handed to Python once."""
+    odd = [(1, None), (2, ""), (3, "éx​ ạ́"), (4, "​" * 40 + "é" * 30), (5, "a‍b  ­́"), (6, "plain"), (None, "́‮a b")]
+    docs = spark.createDataFrame(odd, "doc_id long, text string")
+    rows = sanitize.all_policies(docs)
+    assert rows._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    want = set()
+    for name in ("report", "safe", "typographic", "aggressive"):
+        alone = sanitize.sanitize(docs, inspect.UnicodePolicy(name=name))
+        want |= {(r.doc_id, name, len(r.ops), r.clean) for r in alone.collect()}
+    assert {(r.doc_id, r.policy, r.n_ops, r.clean) for r in rows.collect()} == want
