@@ -63,10 +63,11 @@ def one_shot(docs: DataFrame, options: DataFrame, scorer: Scorer, threshold: flo
     return select.best(scored(candidates(docs, options), scorer, threshold)).select("doc_id", "idx", "result", "risk", "target_met")
 
 
-def hops(docs: DataFrame, step: Callable[[DataFrame, int], DataFrame], scorer: Scorer, most: int = 3, patience: int = 1, threshold: float | None = None, folder: str | None = None, settings: dict | None = None) -> DataFrame:
+def hops(docs: DataFrame, step: Callable[[DataFrame, int], DataFrame | Column], scorer: Scorer, most: int = 3, patience: int = 1, threshold: float | None = None, folder: str | None = None, settings: dict | None = None) -> DataFrame:
     """doc_id, hop, text, risk, baseline, hops_run, met, reason: hop after hop from the best text so far.
 
-    step(docs, hop) gives each document's next text (doc_id, text); it may take another style for each hop. A
+    step(docs, hop) gives each document's next text, as a table (doc_id, text) or, where it follows from the text alone, as a
+    column over docs, which spares the shuffle that brings both texts together; it may take another style for each hop. A
     text that isn't better is rolled back. A document stops when its risk is at most
     the threshold, or after ``patience`` hops in a row without gain. Each hop's state is
     committed, so plans stay as long as one hop, and a run with a folder and equal settings goes on where one was stopped.
@@ -81,14 +82,16 @@ def hops(docs: DataFrame, step: Callable[[DataFrame, int], DataFrame], scorer: S
         rounds.commit(first.withColumns({"risk": F.col("baseline"), "hop": F.lit(0), "idle": F.lit(0), "hops_run": F.lit(0), "reason": reason}), "hop-0")
         last = 0
     left = lambda hop: rounds.read(f"hop-{hop}").filter("reason is not null" if most else "true").drop("idle")
-    for hop in range(last, most + 1):
+    for hop in range(last, most):
         if not rounds.has(f"done-{hop}"):
             rounds.commit(left(hop), f"done-{hop}")
-        if hop == most:
-            break
         front = rounds.read(f"hop-{hop}").filter("reason is null")
-        nxt = step(front.select("doc_id", "text"), hop + 1).select("doc_id", F.col("text").alias("n_text"))
-        j = front.join(nxt, "doc_id", "left").withColumn("n_risk", scorer(F.col("n_text")).cast("double"))
+        nxt = step(front.select("doc_id", "text"), hop + 1)
+        if isinstance(nxt, Column):
+            j = front.withColumn("n_text", nxt)
+        else:
+            j = front.join(nxt.select("doc_id", F.col("text").alias("n_text")), "doc_id", "left")
+        j = j.withColumn("n_risk", scorer(F.col("n_text")).cast("double"))
         better = F.coalesce(F.col("n_risk") < F.col("risk"), F.lit(False))
         pick = lambda a, b, better=better: F.when(better, a).otherwise(b)
         j = j.select(
@@ -98,10 +101,9 @@ def hops(docs: DataFrame, step: Callable[[DataFrame, int], DataFrame], scorer: S
         reason = F.when(met(F.col("risk")), "requested target met; stopping early").when(F.col("idle") >= patience, "stagnation limit reached; stopping early").when(F.lit(hop + 1 == most), "hop schedule exhausted")
         rounds.commit(j.withColumn("reason", reason), f"hop-{hop + 1}")
         rounds.drop(f"hop-{hop}")
-    out = None
-    for hop in range(most + 1):
-        part = rounds.read(f"done-{hop}")
-        out = part if out is None else out.unionByName(part)
+    out = left(most)  # the last hop's state stands as it is, every document in it is done
+    for hop in range(most):
+        out = out.unionByName(rounds.read(f"done-{hop}"))
     return out.select("doc_id", "hop", "text", "risk", "baseline", "hops_run", met(F.col("risk")).alias("met"), "reason")
 
 

@@ -92,6 +92,25 @@ def test_hops_roll_back_stop_and_go_on(spark, tmp_path, monkeypatch):
     assert max(plans[1:]) < 1.2 * min(plans[1:])  # a hop's plan doesn't hold those before it
 
 
+def test_hops_by_a_column_need_no_shuffle(spark, monkeypatch):
+    """A step that follows from the text alone gives what its table gives; the last hop's state isn't written twice."""
+    docs = spark.createDataFrame([(1, "xxxx"), (2, "xab"), (3, ""), (4, "xxbb"), (5, None)], "doc_id long, text string")
+    made = lambda hop: F.replace("text", F.lit(("x", "b", "xx")[hop - 1]), F.lit(("xx", "", "a")[hop - 1]))
+    want = search.hops(docs, lambda rows, hop: rows.select("doc_id", made(hop).alias("text")), risk, 3, 2, 0.0).collect()
+    names, plans, commit = [], [], Rounds.commit
+
+    def kept(self, df, name):
+        names.append(name)
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return commit(self, df, name)
+
+    monkeypatch.setattr(Rounds, "commit", kept)
+    got = search.hops(docs, lambda _, hop: made(hop), risk, 3, 2, 0.0).collect()
+    key = lambda r: r.doc_id
+    assert sorted(got, key=key) == sorted(want, key=key)
+    assert names == ["hop-0", "done-0", "hop-1", "done-1", "hop-2", "done-2", "hop-3"] and not any("Exchange" in p or "Join" in p for p in plans)
+
+
 def test_structured_proposals(spark):
     ok = lambda r, o="a": json.dumps({"replacement": r, "operator": o})
     said = [
