@@ -33,6 +33,20 @@ def test_clip_is_the_difference_of_intervals(spark):
     assert none.count() == sum(r[1] < r[2] for r in regions if r[0] is not None) + none.filter("doc_id is null").count()
 
 
+def test_clip_is_one_sort(spark):
+    """A task sorts its rows once, by hash of the document, and holds no window, aggregate or join; a region without an id is whole."""
+    rng = random.Random(4)
+    regions = [(d, a, a + rng.randrange(1, 30), 1.0) for d in range(3) for a in range(400)]
+    spans = [(d, a, a + rng.randrange(0, 4)) for d in range(2) for a in sorted(rng.sample(range(420), 60))]
+    made = lambda r, s: localize.clip(spark.createDataFrame(r, "doc_id long, start int, end int, risk double"), spark.createDataFrame(s, "doc_id long, start int, end int"))
+    got = made(regions, spans)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, got.collect()), key=str) == clipped(regions, spans)
+    assert plan.count("Exchange ") == plan.count("Sort ") == 1 and not any(x in plan for x in ("Window", "Aggregate", "Join"))
+    alone = made([(None, 1, 5, 1.0)], [(None, 2, 3), (1, 0, 9), (2, 0, 9)])
+    assert [tuple(r) for r in alone.collect()] == [(None, 1, 5, 1.0)]
+
+
 def test_merged_rows_are_the_merged_array(spark):
     rng = random.Random(2)
     rows = []
