@@ -7,7 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from inkwell.operators import fidelity, targeted
+from inkwell.operators import fidelity, select, structure, targeted
 from inkwell.sources.rounds import Rounds
 
 REGIONS = "doc_id long, text string, regions array<struct<start:int,end:int,risk:double>>, extra int"
@@ -209,3 +209,60 @@ def test_tokens_are_matched_in_time_and_as_the_alignment_does(monkeypatch):
             m.setattr(difflib, "SequenceMatcher", small)
             assert fidelity._tokens_ratio(a, b) == want
             assert all(fidelity.exceeds(a, b, most) == (want > most) for most in (0.0, 0.001, 0.01, 0.3, want, 1.0))
+
+
+def test_regions_in_the_row_are_those_of_tables(spark):
+    rng = random.Random(8)
+    words = ["the", "cat", "42%", "https://a.org/b", "en", "\n\n", " ", '"said la', 'so"', "2024-05-06", "get_id()", "then."]
+    rows = [(d, " ".join(rng.choices(words, k=rng.randrange(0, 60)))) for d in range(80)] + [(90, None), (91, " \n "), (92, "12 34 56 78 90")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for size, stride in ((6, 3), (2, 5), (9, 9)):
+        want, got = ({r.doc_id: r.regions for r in targeted.window_regions(docs, spans, risk, size, stride, 4).collect()} for spans in (structure.spans(docs), "text/plain"))
+        assert got == want and any(want.values()) and None in want.values()
+
+
+def test_a_round_scores_each_text_once_and_reads_spans_from_the_frontier(spark, monkeypatch):
+    docs = spark.createDataFrame(documents(), REGIONS)
+    plan = targeted.step(targeted.begin(docs, options, risk, CASES[0]), 1, risk, CASES[0])._jdf.queryExecution().optimizedPlan().toString()
+    judged = next(line for line in plan.splitlines() if "#" in line and "transform(" in line)
+    assert judged.count("regexp_extract_all") == 1
+    text = "the cat has 12 fish"
+    held = [{"start": a, "end": b, "kind": k} for a, b, k, _ in structure.spans_of(text)]
+    region = {"start": 0, "end": 7, "risk": 1.0, "options": [{"replacement": "a cat", "operator": "x"}]}
+    beam = [{"candidate_id": "c", "ops": [], "queries": 0}]
+    want = targeted.grow(text, [region], beam, [], 0, 1, CASES[1])
+    monkeypatch.setattr(structure, "spans_of", None)
+    assert targeted.grow(text, [region], beam, [], 0, 1, CASES[1], held) == want and want["made"]
+
+
+def test_edits_far_apart_are_matched_without_hashing_whole_texts(monkeypatch):
+    r = random.Random(3)
+    monkeypatch.setattr(select, "_Windows", None)
+    for _ in range(20):
+        a = "".join(r.choices("abcdefgh ", k=3000))
+        b = list(a)
+        for i in sorted(r.sample(range(3000), 3), reverse=True):
+            b[i : i + r.randint(0, 3)] = r.choices("xyz", k=r.randint(0, 3))
+        b = "".join(b)
+        same = sum(m.size for m in difflib.SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks())
+        assert select.matched(a, b) == same
+        assert [select.reaches(a, b, n) for n in (same, same + 1)] == [True, False]
+
+
+def test_tokens_and_block_kinds_of_edits_are_those_of_the_whole_text():
+    r = random.Random(12)
+    words = ["the", "cat's", "a-b", "12%", "\n\n", "\n", "  ", "\t", "end.", " "]
+    for _ in range(400):
+        text = "".join(r.choice(words) + r.choice([" ", ""]) for _ in range(r.randint(1, 30)))
+        facts = fidelity._Facts(text, "text/plain")
+        for _ in range(4):
+            cuts = sorted(r.choices(range(len(text) + 1), k=2 * r.randint(0, 3)))
+            ops = [(a, b, r.choice([text[a:b], "", "x", "an ox", "\n", " \n\n y", text[a:b] + "s"])) for a, b in zip(cuts[::2], cuts[1::2], strict=True)]
+            if len({o[:2] for o in ops if o[0] == o[1]}) < sum(o[0] == o[1] for o in ops):
+                continue
+            result = targeted.edited(text, ops)
+            a, b, kept = facts.tokens_of(result, ops)
+            names = {c: t for t, c in facts._codes.items()}
+            assert [names[c] for c in a] == fidelity.TOKEN.findall(text) and [names[c] for c in b] == fidelity.TOKEN.findall(result)
+            assert kept <= min(len(a), len(b))
+            assert facts.keeps_shape(result, ops) == (len(structure.plain_blocks(text)) == len(structure.plain_blocks(result)))
