@@ -266,3 +266,37 @@ def test_tokens_and_block_kinds_of_edits_are_those_of_the_whole_text():
             assert [names[c] for c in a] == fidelity.TOKEN.findall(text) and [names[c] for c in b] == fidelity.TOKEN.findall(result)
             assert kept <= min(len(a), len(b))
             assert facts.keeps_shape(result, ops) == (len(structure.plain_blocks(text)) == len(structure.plain_blocks(result)))
+
+
+def test_identifiers_are_those_of_the_whole_pattern():
+    r = random.Random(5)
+    parts = ["get_id()", "a.b-c()", "FooBar", "Foo1Bar2", "A_B", "AB_C1", "snake_case", "1234567", "deadbeef,", "v1.2.3", "1.2.3-rc.1", "٣.٤.٥", "word", "Word", "\n"]
+    whole = next(p for kind, _, p in structure.PATTERNS if kind == "identifier")
+    for _ in range(2000):
+        text = "".join(r.choice(parts) + r.choice([" ", "", ".", "_", "()"]) for _ in range(r.randint(1, 6)))
+        assert structure._identifiers(structure._Source(text, "text/plain", ())) == [m.span() for m in whole.finditer(text)], text
+
+
+def test_spans_are_found_once_for_regions_and_rounds(spark):
+    docs = spark.createDataFrame([(1, "the cat has 12 fish and the dog"), (2, None)], "doc_id long, text string")
+    rows = targeted.window_regions(docs, "text/plain", risk, 4, 2, 3)
+    got = {r.doc_id: [(x.start, x.end, x.kind) for x in r.held] for r in targeted.begin(rows, options, risk, CASES[0]).collect()}
+    assert got == {1: [(12, 14, "number")], 2: []}
+    assert [r.held for r in targeted.begin(rows.drop("held").filter("doc_id = 1"), options, risk, CASES[0]).collect()] == [r.held for r in rows.filter("doc_id = 1").collect()]
+
+
+def test_a_round_is_dealt_to_several_tasks_a_core_and_settings_stay(spark, tmp_path):
+    key, seen = "spark.sql.files.minPartitionNum", []
+    before = spark.conf.get(key, None)
+    rounds = Rounds(spark, f"{tmp_path}/r")
+
+    class Told:
+        schema = spark.range(1).schema
+
+        @property
+        def write(self):
+            seen.append(spark.conf.get(key, None))
+            return spark.range(1).write
+
+    rounds.commit(Told(), "round-0")
+    assert seen == [str(4 * spark.sparkContext.defaultParallelism)] and spark.conf.get(key, None) == before
