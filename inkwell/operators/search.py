@@ -174,9 +174,9 @@ def _grown_beam(rows: DataFrame, phrases: list[tuple[str, str]], scorer: Scorer,
         drift = F.abs(F.length(c["result"]) - F.length(c["source"])) / F.greatest(F.length(c["source"]), F.lit(1))
         return F.struct(scorer(c["result"]).alias("risk"), drift.alias("drift"), F.sha2(c["result"], 256).alias("content_hash"), c["source"].alias("source"), c["result"].alias("result"))
 
-    rows = rows.select("doc_id", F.array_distinct(F.flatten(F.transform("front", grown))).alias("g"))
-    rows = rows.select("doc_id", F.transform("g", judged).alias("g"))
-    rows = rows.withColumn("costs", F.transform("g", lambda c: F.struct(c["risk"].alias("risk"), c["drift"].alias("drift"))))
+    # scored in a lambda whose argument is bound once: as columns of their own these would be put into each other, and made again for every rival
     beats = lambda o, c: (o["risk"] <= c["risk"]) & (o["drift"] <= c["drift"]) & ((o["risk"] < c["risk"]) | (o["drift"] < c["drift"]))
-    kept = F.filter("g", lambda c: F.col("doc_id").isNull() | ~F.exists("costs", lambda o: F.coalesce(beats(o, c), F.lit(False))))
-    return rows.select("doc_id", F.slice(F.array_sort(kept), 1, width).alias("front")).filter(F.size("front") > 0)
+    kept = lambda g: F.filter(g, lambda c: F.col("doc_id").isNull() | ~F.exists(g, lambda o: F.coalesce(beats(o, c), F.lit(False))))
+    best = lambda g: F.slice(F.array_sort(kept(g)), 1, width)
+    made = F.transform(F.array_distinct(F.flatten(F.transform("front", grown))), judged)
+    return rows.select("doc_id", F.get(F.transform(F.array(made), best), F.lit(0)).alias("front"))  # an empty front ends the document

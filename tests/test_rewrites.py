@@ -214,3 +214,13 @@ def test_beam_grows_in_the_rows_of_documents(spark):
             front[d] = sorted(kept, key=lambda x: (*cost[x], hashlib.sha256(x[1].encode()).hexdigest()))[:4]
             want |= {(d, depth, r) for _, r in front[d]}
     assert {(r.doc_id, r.depth, r.result) for r in out.collect()} == want
+
+
+def test_a_beam_scores_each_candidate_once(spark):
+    """The plan makes and scores candidates in one place, not again for a filter or for each rival."""
+    front = spark.createDataFrame([(1, [("the en", "the en")]), (2, [("x", "x")])], "doc_id long, front array<struct<source:string,result:string>>")
+    score = lambda t: F.size(F.regexp_extract_all(t, F.lit("(?:th|en)"), 0)).cast("double")
+    made = search._grown_beam(front, [("the ", "a "), ("en", "in")], score, 2)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == plan.count("array_distinct") == 1
+    assert {r.doc_id: [c.result for c in r.front] for r in made.collect()} == {1: ["the in"], 2: []}
